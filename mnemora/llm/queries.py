@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm import pii
+from mnemora.llm import language, pii, tokens
 from mnemora.sources.tables import spread, table
 
 
@@ -24,7 +24,37 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(spread(_personal_texts(spark, d)), "content").distinct()
 
 
+def _speech(spark: SparkSession, d: str) -> DataFrame:
+    chat = table(spark, d, "chat_messages").select(F.lit("chat_messages").alias("rec_table"), F.col("msg_id").alias("rec_id"), F.col("content").alias("text"), "lang")
+    rubq = table(spark, d, "rubq_records").select(F.lit("rubq_records").alias("rec_table"), "rec_id", F.col("context").alias("text"), "lang")
+    return chat.unionByName(rubq)
+
+
+def _stretches(spark: SparkSession, d: str) -> DataFrame:
+    rows = _speech(spark, d)
+    return language.find_stretches(spread(rows), "text", language.fit(rows))
+
+
+def _segments(found: DataFrame) -> DataFrame:
+    return found.select("rec_table", "rec_id", F.inline("stretches")).select("rec_table", "rec_id", "seg", F.col("lang"), "confidence")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(language.wrong_or_mixed(_stretches(spark, d))).select("rec_table", "rec_id", "seg", "lang").distinct()
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(_stretches(spark, d)).withColumn("confidence", F.round("confidence", 6)).distinct()
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id")
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_segments": p1_segments,
+    "p8_ids": p8_ids,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
 }
