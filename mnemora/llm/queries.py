@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm import language, pii, tokens
+from mnemora import workspace
+from mnemora.llm import ingest_dedup, language, pii, tokens
 from mnemora.sources.tables import spread, table
 
 
@@ -47,6 +48,14 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(_stretches(spark, d)).withColumn("confidence", F.round("confidence", 6)).distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "memory_nodes").select(F.col("content").alias("text"))
+    items = table(spark, d, "batch_ingest").select("request_id", F.posexplode("contents").alias("pos", "text"))
+    history = ingest_dedup.History(spark, workspace.new_dir(spark, "history")).accept(spread(nodes))
+    cases = history.check(spread(items.select(ingest_dedup.order_of("request_id", "pos").alias("ord"), "text")))
+    return cases.select(F.expr("ord div 16777216").alias("request_id"), F.expr("ord % 16777216").alias("pos"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id")
 
@@ -54,6 +63,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_segments": p1_segments,
+    "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
