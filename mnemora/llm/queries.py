@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora import workspace
-from mnemora.llm import ingest_dedup, language, pii, tokens
+from mnemora.llm import ingest_dedup, language, leaks, neighbours, pii, tokens
 from mnemora.sources.tables import spread, table
 
 
@@ -56,15 +56,25 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return cases.select(F.expr("ord div 16777216").alias("request_id"), F.expr("ord % 16777216").alias("pos"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, d, "node_vectors"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items")).distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_segments": p1_segments,
     "p6_found": p6_found,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
 }
