@@ -1,26 +1,26 @@
 """New batches against all accepted history, by content-defined chunks.
 
 A text is cut where a rolling hash over its last two words says so, so an edit
-moves only the boundaries beside it. The persistent table of the history holds
-each text's chunk hashes and word hashes; a batch is looked up by its chunks.
-
-Texts with the same words have the same signature and are one entry, so groups
-of copies, however large, cost one row. An entry's chunks are ranked from the
-rarest on, and it is looked up by those that make up all but ``coverage`` of its
-bytes: any entry that shares more bytes than ``coverage`` is met in one of them,
-and the commonest chunks need not be joined. Candidates are decided exactly, by
-the share of distinct words in both.
-
-An entry is accepted where it is near no accepted earlier one, which depends on
-the entries before it. Entries without candidates are accepted at once, and an
-entry near such a chunk's leader, or near history, is none in one linear pass,
-so a large group of reworked copies does not meet in pairs. What remains is
-resolved in rounds over its links.
+moves only the boundaries beside it; one more hash stands for its set of words,
+so that moved sentences are met too. The persistent table of the history holds
+each text's chunk hashes and sizes; a batch is looked up by its chunks.
+
+A text's chunks are ranked from the rarest on, and it is looked up by those that
+make up all but ``coverage`` of its bytes, so the commonest chunks need not be
+joined. Texts that share at least ``least`` of its bytes in those are candidates:
+by that, every text that shares ``coverage`` + ``least`` of the bytes is met.
+Candidates are decided exactly, by the share of distinct words in both.
+
+A text is accepted where it is near no accepted earlier one, which depends on
+the texts before it. Texts without candidates are accepted at once, and a text
+near such a chunk leader, or near a leader of the history, is a duplicate in one
+linear pass, so a large group of reworked copies does not meet in pairs; of
+exact copies a task keeps one. What remains is resolved in rounds over links.
 
 Defined cases: null and blank items are neither cases nor accepted; texts
 without words are compared as they stand; equal texts after the first are
 cases; an empty history or batch is allowed; whole texts are read; positions
-must be under 2**24 and request ids under 2**38; other columns are ignored.
+must be under 2**24 and request ids under 2**37; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +29,18 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora import workspace
 
 _TAG = re.compile(r"<[^<>]*>")
 _WORDS = re.compile(r"\w+").findall
-_SIGNATURE = "ord bigint, sig bigint, total int, words array<int>, chunks array<bigint>, sizes array<int>"
+_SIGNATURE = "id bigint, total int, chunks array<bigint>, sizes array<int>"
 _ORDER = 1 << 24
+_BROADCAST_PAIRS = 200_000  # pairs up to which their ids are sent to every executor: 3.2 MB
 
 
 def words_of(text: str) -> list[str]:
@@ -64,8 +66,13 @@ def cut(words: list[str], hashes: list[int], *, divisor: int = 3, least: int = 3
         yield start, len(words)
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """(ord, sig, total, words, chunks, sizes) of (ord, text); null and blank texts fall away."""
+def signatures(texts: DataFrame, *, kept: int = 1_000_000) -> DataFrame:
+    """(id, total, chunks, sizes) of (id, text); null and blank texts fall away.
+
+    Of texts a task has met before, as long as it is among the last ``kept``,
+    only those with a lesser id give a row again: a group of copies is a row or
+    so for each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -73,12 +80,19 @@ def signatures(texts: DataFrame) -> DataFrame:
         h64 = xxhash.xxh64_intdigest
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         known: dict[str, int] = {}
+        met: dict[int, int] = {}
         for b in batches:
             rows = []
-            for ord_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if len(met) > kept:
+                met.clear()
+            if len(known) > 300_000:
+                known.clear()
+            for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                same = h64(text)
+                if met.get(same, id_ + 1) <= id_:
+                    continue
+                met[same] = id_
                 words = words_of(text)
-                if len(known) > 300_000:
-                    known.clear()
                 hs = []
                 for w in words:
                     h = known.get(w)
@@ -89,119 +103,158 @@ def signatures(texts: DataFrame) -> DataFrame:
                 for a, z in cut(words, hs):
                     piece = " ".join(words[a:z])
                     parts[signed(h64(piece))] = len(piece)
-                distinct = sorted(set(words))
-                sig = signed(h64(" ".join(distinct) if distinct else "\0" + text))
-                rows.append((ord_, sig, sum(parts.values()), sorted({h - (1 << 32) if h >> 31 else h for h in hs}), list(parts), list(parts.values())))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["ord", "sig", "total", "words", "chunks", "sizes"])
+                # texts of the same words, in any order, share a chunk of no bytes of its own
+                parts[signed(h64("\1" + " ".join(sorted(set(words))) if words else "\0" + text))] = 0
+                rows.append((id_, sum(parts.values()), list(parts), list(parts.values())))
+            cols = list(zip(*rows)) if rows else [()] * 4
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "total", "chunks", "sizes"])
+
+    return texts.where(_solid()).mapInArrow(run, _SIGNATURE)
+
+
+def word_hashes(texts: DataFrame) -> DataFrame:
+    """(id, words): hashes of the distinct words; of a text without words, that of the text."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(s: pd.Series) -> pd.Series:
+        import xxhash
+
+        h = lambda w: xxhash.xxh64_intdigest(w) - (1 << 63)
+        return s.map(lambda t: [h(w) for w in set(words_of(t))] or [h("\0" + t)])
 
-    return texts.where(F.regexp_like("text", F.lit(r"\S"))).mapInArrow(run, _SIGNATURE)
+    return texts.select("id", run("text").alias("words"))
 
 
-def order_of(request: str, pos: str) -> F.Column:
+def _solid() -> Column:
+    return F.regexp_like("text", F.lit(r"\S"))
+
+
+def order_of(request: str, pos: str) -> Column:
+    """Ids of items in the order they are compared in."""
     return F.col(request).cast("bigint") * _ORDER + F.col(pos)
 
 
 class History:
-    """Accepted texts as signatures in a table of parquet parts under a manifest; a batch is added by one rename."""
+    """Accepted texts' chunks in a table of parquet parts under a manifest; a batch is added by one rename.
+
+    ``texts`` gives the accepted texts, which are read again only for the
+    candidates of a batch.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, *, near: float = 0.7, coverage: float = 0.2):
-        self.spark, self.path, self.near, self.coverage = spark, path, near, coverage
+    def __init__(self, spark: SparkSession, path: str, *, texts: DataFrame | None = None, near: float = 0.7, coverage: float = 0.2, least: float = 0.08):
+        self.spark, self.path, self.near, self.coverage, self.least = spark, path, near, coverage, least
+        self.texts = None if texts is None else self._named(texts)
+
+    @staticmethod
+    def _named(texts: DataFrame) -> DataFrame:
+        # history comes before every item: its ids are negative, made of the text, so that copies have one
+        return texts.select((-1 - F.xxhash64("text").bitwiseAND((1 << 62) - 1)).alias("id"), "text")
 
     def _parts(self) -> list[str]:
         return (workspace.read_json(self.spark, f"{self.path}/manifest.json") or {"parts": []})["parts"]
 
-    def _add(self, part: str) -> None:
+    def _add(self, part: str, texts: DataFrame) -> None:
         workspace.replace_json(self.spark, f"{self.path}/manifest.json", {"parts": [*self._parts(), part]})
+        self.texts = texts if self.texts is None else self.texts.unionByName(texts)
 
     def accept(self, texts: DataFrame) -> "History":
-        """Take ``text`` rows as accepted without comparing them."""
-        part = f"{self.path}/part-{len(self._parts())}"
-        signatures(texts.select(F.lit(-1).cast("bigint").alias("ord"), "text")).write.mode("overwrite").parquet(part)
-        self._add(part)
+        """Take the ``text`` rows as accepted without comparing them."""
+        named, part = self._named(texts), f"{self.path}/part-{len(self._parts())}"
+        signatures(named).write.mode("overwrite").parquet(part)
+        self._add(part, named)
         return self
 
     def read(self) -> DataFrame:
         parts = self._parts()
-        return self.spark.read.schema(_SIGNATURE).parquet(*parts).withColumn("ord", F.lit(-1).cast("bigint")) if parts else self.spark.createDataFrame([], _SIGNATURE)
+        return self.spark.read.schema(_SIGNATURE).parquet(*parts) if parts else self.spark.createDataFrame([], _SIGNATURE)
 
     def check(self, items: DataFrame, *, append: bool = True) -> DataFrame:
-        """(ord) of the items that are duplicates or near-duplicates; the others join the history where ``append``."""
-        spark = self.spark
-        batch = workspace.materialise(signatures(items.select("ord", "text")), "batch")
+        """(id) of the items (id, text) that are duplicates or near-duplicates; the others join the history where ``append``."""
+        items = items.select("id", "text").where(_solid())
+        batch = workspace.materialise(signatures(items), "batch")
         everything = self.read().unionByName(batch)
-        first = everything.groupBy("sig").agg(F.min("ord").alias("first"))
-        postings = (
-            everything.select("ord", "sig", "total", F.explode(F.arrays_zip("chunks", "sizes")).alias("c"))
-            .select(F.col("c.chunks").alias("chunk"), "sig", "ord", "total", F.col("c.sizes").alias("size"))
-            .groupBy("chunk", "sig")
-            .agg(F.min("ord").alias("first"), F.max("total").alias("total"), F.max("size").alias("size"))
-        )
+        texts = items if self.texts is None else items.unionByName(self.texts)
         chunk = Window.partitionBy("chunk")
+        # one shuffle, on the chunk: what follows up to the table is local to it
         shared = workspace.materialise(
-            postings.withColumn("df", F.count("*").over(chunk))
-            .withColumn("lead", F.min(F.struct("first", "sig")).over(chunk))
-            .where("df > 1"),
+            everything.select("id", "total", F.explode(F.arrays_zip("chunks", "sizes")).alias("c"))
+            .select(F.col("c.chunks").alias("chunk"), "id", "total", F.col("c.sizes").alias("size"))
+            .repartition("chunk")
+            .withColumn("df", F.count("*").over(chunk))
+            .where("df > 1")
+            .withColumn("lead", F.min("id").over(chunk)),
             "shared",
         )
-        # chunks of no other entry come first in an entry's ranking; they weigh what is missing from its shared ones
-        rank = Window.partitionBy("sig").orderBy("df", "chunk")
-        own = shared.where("first >= 0")
-        looked = (
-            own.withColumn("before", F.sum("size").over(rank.rowsBetween(Window.unboundedPreceding, -1)))
-            .withColumn("alone", F.col("total") - F.sum("size").over(Window.partitionBy("sig")))
-            .where(F.col("alone") + F.coalesce("before", F.lit(0)) <= (1 - self.coverage) * F.col("total"))
+        # chunks of no other text come first in a text's ranking; they weigh what its shared ones leave
+        own = Window.partitionBy("id")
+        before = F.sum("size").over(own.orderBy("df", "chunk").rowsBetween(Window.unboundedPreceding, -1))
+        alone = F.col("total") - F.sum("size").over(own)
+        probes = workspace.materialise(
+            shared.where("id >= 0")
+            .withColumn("rank", alone + F.coalesce(before, F.lit(0)))
+            .where(((F.col("size") == 0) | (F.col("rank") <= (1 - self.coverage) * F.col("total"))) & (F.col("lead") < F.col("id")))
+            .select("id", "chunk", "lead", "size", "total"),
+            "probes",
         )
-        probes = workspace.materialise(looked.select("sig", "first", "chunk", "lead").where("lead.sig <> sig"), "probes")
-        led = probes.select("sig").distinct()
-        # leaders that nothing earlier can be near to are accepted for certain, as is history
-        leads = probes.select("sig", F.col("lead.sig").alias("other"), F.col("lead.first").alias("other_first")).distinct()
-        certain = leads.join(led.withColumnRenamed("sig", "other"), "other", "left_anti").unionByName(
-            leads.where("other_first < 0").select("other", "sig", "other_first")
-        ).select("sig", "other").distinct()
-        plain = workspace.materialise(self._near(certain, everything).select("sig").distinct(), "plain")
-        left = probes.join(plain, "sig", "left_anti").select("sig", "first", "chunk")
-        met = (
-            left.join(shared.select("chunk", F.col("sig").alias("other"), F.col("first").alias("other_first")), "chunk")
-            .where("other_first < first")
-            .select("sig", "other", "first", "other_first")
-            .distinct()
+        # a leader nothing earlier can be near to is accepted for certain, as history is
+        leads = self._covered(probes.select("id", F.col("lead").alias("other"), "size", "total"))
+        searched = probes.select(F.col("id").alias("other")).distinct()
+        certain = leads.where("other < 0").unionByName(leads.where("other >= 0").join(searched, "other", "left_anti"))
+        plain = workspace.materialise(self._near(certain, texts).select("id").distinct(), "plain")
+        met = self._covered(
+            probes.join(plain, "id", "left_anti")
+            .select("id", "chunk", "size", "total")
+            .join(shared.select("chunk", F.col("id").alias("other")), "chunk")
+            .where("other < id")
         )
-        links = workspace.materialise(self._near(met, everything), "links")
-        by_history = plain.unionByName(links.where("other_first < 0").select("sig")).distinct()
-        rejected = self._resolve(links.where("other_first >= 0").select("sig", "other"), workspace.materialise(by_history, "rejected"))
-        accepted = first.where("first >= 0").join(rejected, "sig", "left_anti")
+        links = workspace.materialise(self._near(met, texts), "links")
+        by_history = plain.unionByName(links.where("other < 0").select("id")).distinct()
+        rejected = self._resolve(links.where("other >= 0"), workspace.materialise(by_history, "rejected"))
+        accepted = batch.select("id").join(rejected, "id", "left_anti")
         if append:
             part = f"{self.path}/part-{len(self._parts())}"
-            batch.join(accepted.select(F.col("first").alias("ord")), "ord", "left_semi").write.mode("overwrite").parquet(part)
-            self._add(part)
-        return batch.select("ord").join(accepted.select(F.col("first").alias("ord")), "ord", "left_anti")
-
-    def _near(self, pairs: DataFrame, everything: DataFrame) -> DataFrame:
-        """The pairs (sig, other, ...) whose distinct words agree in at least ``near`` of those in either."""
-        wanted = pairs.select("sig").unionByName(pairs.select(F.col("other").alias("sig"))).distinct()
-        words = everything.select("sig", "words").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("words").alias("words"))
+            self._append(batch.join(rejected, "id", "left_anti"), part)
+            later = items.select((F.col("id") - (1 << 62)).alias("id"), "text")
+            self.texts = later if self.texts is None else self.texts.unionByName(later)
+        return items.select("id").join(accepted, "id", "left_anti")
+
+    def _append(self, entries: DataFrame, part: str) -> None:
+        # items keep their place before later ones: below every id to come, above none of the history's
+        entries.select((F.col("id") - (1 << 62)).alias("id"), "total", "chunks", "sizes").write.mode("overwrite").parquet(part)
+        workspace.replace_json(self.spark, f"{self.path}/manifest.json", {"parts": [*self._parts(), part]})
+
+    def _covered(self, hits: DataFrame) -> DataFrame:
+        """Pairs whose shared chunks among those looked up make up at least ``least`` of the text."""
+        return hits.groupBy("id", "other").agg(F.sum(F.when(F.col("size") == 0, F.col("total")).otherwise(F.col("size"))).alias("size"), F.max("total").alias("total")).where(F.col("size") >= self.least * F.col("total")).select("id", "other")
+
+    def _near(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs (id, other) whose distinct words agree in at least ``near`` of those in either."""
+        pairs = workspace.materialise(pairs, "pairs")
+        wanted = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
+        few = pairs.limit(_BROADCAST_PAIRS + 1).count() <= _BROADCAST_PAIRS
+        chosen = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").dropDuplicates(["id"])
+        words = word_hashes(chosen)
         both = F.size(F.array_intersect("words", "other_words"))
         union = F.size("words") + F.size("other_words") - both
         return (
-            pairs.join(words, "sig")
-            .join(words.select(F.col("sig").alias("other"), F.col("words").alias("other_words")), "other")
+            pairs.join(words, "id")
+            .join(words.select(F.col("id").alias("other"), F.col("words").alias("other_words")), "other")
             .where(both >= F.ceil(union * self.near - 1e-9))
-            .drop("words", "other_words")
+            .select("id", "other")
         )
 
     def _resolve(self, links: DataFrame, rejected: DataFrame) -> DataFrame:
-        """Entries near an accepted earlier one: per round, those whose earlier neighbours are all settled.
+        """Texts near an accepted earlier one: per round, those whose earlier neighbours are all settled.
 
         Rounds are as many as the longest chain of texts each near the one
         before but not to those accepted; each handles the links still open.
         """
         while True:
-            gone = rejected.select(F.col("sig").alias("other"))
-            links = workspace.materialise(links.join(rejected, "sig", "left_anti").join(gone, "other", "left_anti"), "open")
+            gone = rejected.select(F.col("id").alias("other"))
+            links = workspace.materialise(links.join(rejected, "id", "left_anti").join(gone, "other", "left_anti"), "open")
             if links.isEmpty():
                 return rejected
-            open_ = links.select(F.col("sig").alias("other")).distinct()
-            near = links.join(open_, "other", "left_anti").select("sig").distinct()
+            open_ = links.select(F.col("id").alias("other")).distinct()
+            near = links.join(open_, "other", "left_anti").select("id").distinct()
             rejected = workspace.materialise(rejected.unionByName(near), "rejected")

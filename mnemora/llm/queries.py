@@ -52,8 +52,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "memory_nodes").select(F.col("content").alias("text"))
     items = table(spark, d, "batch_ingest").select("request_id", F.posexplode("contents").alias("pos", "text"))
     history = ingest_dedup.History(spark, workspace.new_dir(spark, "history")).accept(spread(nodes))
-    cases = history.check(spread(items.select(ingest_dedup.order_of("request_id", "pos").alias("ord"), "text")))
-    return cases.select(F.expr("ord div 16777216").alias("request_id"), F.expr("ord % 16777216").alias("pos"))
+    cases = history.check(spread(items.select(ingest_dedup.order_of("request_id", "pos").alias("id"), "text")))
+    return cases.select(F.expr("id div 16777216").alias("request_id"), F.expr("id % 16777216").alias("pos"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
