@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora import workspace
-from mnemora.llm import ingest_dedup, language, leaks, neighbours, pii, tokens
+from mnemora.llm import ingest_dedup, language, leaks, neighbours, pii, tokens, toxicity
 from mnemora.sources.tables import spread, table
 
 
@@ -68,6 +68,19 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items")).distinct()
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    return toxicity.score(spread(docs), toxicity.fit(docs, table(spark, d, "doc_labels")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.flagged(_scored(spark, d), "doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(_scored(spark, d))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_segments": p1_segments,
@@ -75,6 +88,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
 }
