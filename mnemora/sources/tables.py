@@ -11,12 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *, rows_per_task: int = 2_000) -> DataFrame:
-    """Give CPU-heavy Python stages enough tasks although their input is a small file.
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy Python stages enough tasks where their input is a few small files.
 
-    Round-robin over the session's shuffle partitions; no key, so no skew.
+    Round-robin over the session's shuffle partitions, so there is no key and no
+    skew. Inputs of at least as many files as cores are left as they are.
     """
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def import_json(spark: SparkSession, path: str) -> DataFrame:
