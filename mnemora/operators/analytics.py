@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemora.functions.times import micros
+
 
 def distribution(df: DataFrame, by: str) -> DataFrame:
     """Rows per value and their share in per cent."""
@@ -31,8 +33,8 @@ def salience_bins(nodes: DataFrame, salience: str = "salience") -> DataFrame:
 
 
 def lifecycle(nodes: DataFrame, created: str, now: Column) -> DataFrame:
-    """Average, median, least and greatest age in hours."""
-    h = (F.unix_micros(now) - F.unix_micros(created)) / 3.6e9
+    """Average, median, least and greatest age in hours at ``now``, in microseconds since 1970."""
+    h = (now - micros(created)) / 3.6e9
     r = lambda c, name: F.round(c, 1).alias(name)
     return nodes.where(F.col(created).isNotNull()).select(h.alias("h")).agg(r(F.avg("h"), "avg_h"), r(F.percentile("h", 0.5), "median_h"), r(F.min("h"), "min_h"), r(F.max("h"), "max_h"))
 
@@ -67,7 +69,7 @@ def normalised_entropy(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def trailing_counts(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     """``events`` with the number of the key's events in the trailing window, itself included."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000 + 1, 0)
+    w = Window.partitionBy(key).orderBy(micros(at)).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return events.withColumn("n", F.count("*").over(w))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemora.functions.times import micros
+
 
 def upsert(table: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """The latest row of each key among both, by one aggregation."""
@@ -42,15 +44,15 @@ def beyond_capacity(nodes: DataFrame, keep: int, key: str = "node_id") -> DataFr
 
 def prunable(nodes: DataFrame, policy: DataFrame, created: str, now: Column) -> DataFrame:
     """Rows that are old, of low salience and of low amplitude by their tier's policy (tier, max_hours, min_salience, min_amplitude)."""
-    age = (F.unix_micros(now) - F.unix_micros(created)) / 3.6e9
+    age = (now - micros(created)) / 3.6e9
     p = nodes.join(F.broadcast(policy), "tier")  # a row per tier
     return p.where((age >= F.col("max_hours")) & (F.col("salience") <= F.col("min_salience")) & (F.col("amplitude") <= F.col("min_amplitude"))).select(*nodes.columns)
 
 
 def expired(rows: DataFrame, key: str, at: str, *, cutoff: Column, keep: int) -> DataFrame:
     """Rows older than the cut-off or beyond the newest ``keep``."""
-    edge = rows.select(at, key).where(F.col(at).isNotNull()).orderBy(F.desc(at), key).limit(keep).agg(F.max(F.struct(-F.unix_micros(at), F.col(key))).alias("e"))
-    beyond = F.struct(-F.unix_micros(at), F.col(key)) > F.col("e")
+    edge = rows.select(at, key).where(F.col(at).isNotNull()).orderBy(F.desc(at), key).limit(keep).agg(F.max(F.struct(-micros(at), F.col(key))).alias("e"))
+    beyond = F.struct(-micros(at), F.col(key)) > F.col("e")
     return rows.crossJoin(F.broadcast(edge)).where((F.col(at) < cutoff) | beyond).drop("e")
 
 
