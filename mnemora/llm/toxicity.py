@@ -57,7 +57,7 @@ SEEDS = {
 
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
 _TAG = re.compile(r"<[^<>]*>")
-_SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)\]}]*\s+|[\n\r\t]+|\\[nrt]|\"\s*[,}\]]+|[{\[]+\s*\"")
+_SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)\]}]*\s+|[\n\r\t]+|\\[nrt]|\"\s*[:,}\]]+\s*\"?|[{\[]+\s*\"")
 _SPACED = re.compile(r"(?<!\w)(?:\w ){2,}\w(?!\w)")
 _TOKEN = re.compile(r"[^\W_$@*]*[\w$@*][\w$@*’']*")
 _REPEAT = re.compile(r"(.)\1+")
