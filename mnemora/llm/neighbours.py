@@ -139,7 +139,7 @@ def search_cell(points: pd.DataFrame, queries: pd.DataFrame, centre: np.ndarray,
 
 
 def nearest(
-    nodes: DataFrame, *, k: int = 5, least: float = 0.8, cell_rows: int = 512, probes: int = 6, reach: float | None = None,
+    nodes: DataFrame, *, k: int = 5, least: float = 0.8, cell_rows: int = 512, probes: int = 12, reach: float | None = None,
     max_cells: int = 8192, sample_rows: int = 20_000, queries_per_task: int = 20_000,
 ) -> DataFrame:
     """(key, other, sim): for each row of (key string, vector array<float>) its k most similar others of at least ``least``.
