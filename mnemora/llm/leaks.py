@@ -9,7 +9,8 @@ sure to hold, and at least n - k - (w - 1)(k + 1) of them stand in the quote on
 one diagonal. Item windows are indexed by the blocks of their fingerprints:
 cut into ``radius`` + 1 blocks, any fingerprint within the radius agrees in one.
 Pairs with as many hits on a diagonal as are sure are verified exactly, word by
-word along the diagonal, words weighing their length.
+word along the diagonal, words weighing their length; the stretch found must hold ``bar`` times ``part``
+of the item, which is more than a third where ``part`` is a half.
 
 Documents are read once and stay where they are; items are sent to the
 executors in blocks of at most ``block_windows`` windows, each block a pass, so
@@ -100,10 +101,10 @@ class BlockIndex:
 class Items:
     """Windows of a block of items."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], *, part: float, noise: int, sizes: tuple[int, ...], radius: int):
+    def __init__(self, items: list[tuple[int, list[str]]], *, part: float, noise: int, sizes: tuple[int, ...], radius: int, bar: float = 0.74):
         import xxhash
 
-        self.part, self.ids, self.words = part, [k for k, _ in items], [w for _, w in items]
+        self.floor, self.ids, self.words = bar * part, [k for k, _ in items], [w for _, w in items]
         groups: dict[int, list[int]] = {}
         self.least = []
         for k, words in enumerate(self.words):
@@ -158,13 +159,14 @@ class Items:
                         found.add((doc_, k_))
         return sorted(found)
 
-    def verify(self, doc: list[str], item: list[str], diagonal: int, drift: int = 4, floor: float = 0.8) -> bool:
+    def verify(self, doc: list[str], item: list[str], diagonal: int, drift: int = 4, floor: float = 0.65) -> bool:
         """Whether a stretch along the diagonal holds enough of the item's words, equal by ``floor`` of their weight."""
         stretch = self.stretch(doc, item, diagonal, drift, floor)
-        return stretch >= (0.5 * self.part + 0.5 / 3) * len(item) if self.part == 0.5 else stretch >= self.part * len(item)
+        # strange words near a quote's ends cut the heaviest stretch short, so the bar lies under ``part``
+        return stretch >= self.floor * len(item)
 
     @staticmethod
-    def stretch(doc: list[str], item: list[str], diagonal: int, drift: int = 4, floor: float = 0.8) -> int:
+    def stretch(doc: list[str], item: list[str], diagonal: int, drift: int = 4, floor: float = 0.65) -> int:
         """Words of the item in the heaviest stretch: that of the greatest sum of equal weight over ``floor``."""
         last, score = -1, []
         for i, w in enumerate(item):

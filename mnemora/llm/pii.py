@@ -129,7 +129,7 @@ _SPELLED = re.compile(r"(?i)[a-z0-9-]+(?:(?: ?[\[(]dot[\])] ?| dot |\.)[a-z0-9-]
 def _email(text: str, low: str, i: int, j: int) -> tuple[int, int] | None:
     """Expand the at-sign at i:j to a local part and a domain with at least two labels."""
     start = i
-    if i and text[i - 1] == " ":
+    if text[i] != "@" and i and text[i - 1] == " ":
         start = i - 1
     m = _LOCAL.search(text, max(0, start - 80), start)
     if not m:
@@ -246,7 +246,7 @@ def find_items(text: str | None, given: tuple[str, ...] = tuple(GIVEN)) -> list[
         if b and b.group(1).lower() not in OPENERS and not (m and m.group(1)):
             take("person", b.start(), j)
         elif m and m.group(1):
-            take("person", i, m.end() if m.group(2) and m.group(2).lower() not in OPENERS else m.end(1))
+            take("person", i, m.end() if m.group(2) and m.group(2).lower() not in OPENERS else m.end(1) + 1)
         elif m and m.group(3).lower() not in OPENERS:
             take("person", i, m.end())
     return sorted(taken, key=lambda x: x[1])
