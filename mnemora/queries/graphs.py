@@ -8,7 +8,8 @@ from mnemora.operators import graph as G
 from mnemora.queries.analytics import _N, nodes
 from mnemora.sources.tables import table
 
-_SEED = F.col("node_id").endswith("00")
+def _seed():
+    return F.col("node_id").endswith("00")
 
 
 def _edges(s, d):
@@ -24,12 +25,12 @@ def out_degree(s, d):
 
 
 def causal_bfs3(s, d):
-    seeds = nodes(s, d).where(_SEED).select(F.col("node_id").alias("node"), F.lit(1.0).alias("score"))
+    seeds = nodes(s, d).where(_seed()).select(F.col("node_id").alias("node"), F.lit(1.0).alias("score"))
     return G.spread_activation(_edges(s, d), seeds, hops=3).select("node", F.round("score", 6).alias("score"), "depth")
 
 
 def descendants(s, d):
-    seeds = nodes(s, d).where(_SEED).select(F.col("node_id").alias("node"))
+    seeds = nodes(s, d).where(_seed()).select(F.col("node_id").alias("node"))
     return G.reachable(_edges(s, d), seeds)
 
 

@@ -40,12 +40,10 @@ def once(events: DataFrame, keys: list[str], *, at: str = "ts", late: str = "1 h
 
 
 def rate_limit(events: DataFrame, *, key: str, at: str, most: int, seconds: int) -> DataFrame:
-    """(key, at, allowed) by a sliding window of accepted requests; a key's state is at most ``most`` times."""
+    """(key, at, allowed) by a sliding window of accepted requests; a key's state is at most ``most`` times,
+    and is kept; timers by processing time would keep a run over available data from ending."""
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         taken = list(state.get[0]) if state.exists else []
         for p in parts:
             p = p.sort_values(at, kind="stable")
@@ -57,11 +55,10 @@ def rate_limit(events: DataFrame, *, key: str, at: str, most: int, seconds: int)
                     taken.append(int(t))
             yield pd.DataFrame({key: [k[0]] * len(p), at: p[at].to_numpy(), "allowed": allowed})
         state.update((taken,))
-        state.setTimeoutDuration(seconds * 1000)
 
     f = {x.name: x.dataType.simpleString() for x in events.schema}
     out = f"`{key}` {f[key]}, `{at}` {f[at]}, allowed boolean"
-    return events.select(key, at).groupBy(key).applyInPandasWithState(step, out, "taken array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select(key, at).groupBy(key).applyInPandasWithState(step, out, "taken array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def circuit_breaker(calls: DataFrame, *, key: str, at: str, failed: str, failures: int = 5, cooldown: int = 30) -> DataFrame:
