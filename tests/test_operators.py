@@ -163,3 +163,19 @@ def test_streaming_rate_limit_and_breaker(spark, tmp_path):
     got = run_stream(spark, tmp_path / "b", rows, "k string, t timestamp, f boolean", lambda e: S.circuit_breaker(e, key="k", at="t", failed="f"))
     states = [r.state for r in sorted(got, key=lambda r: r.t)]
     assert states == ["closed"] * 5 + ["open", "half_open", "closed"]
+
+
+def test_field_operators(spark):
+    from mnemora.operators import field as D
+
+    df, x = vectors(spark, 30, 4, 6)
+    q = df.where("id < 3").withColumnRenamed("id", "query_id")
+    near = {(r.query_id, r.id) for r in D.neighbours(df, q, 2).collect()}
+    for i in range(3):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1)).round(6)
+        assert {(i, j) for j in sorted((j for j in range(30) if j != i), key=lambda j: (d[j], j))[:2]} == {p for p in near if p[0] == i}
+    assert D.noise_scale(1, 0, 1e-5) == float("inf")
+    rot, _ = np.linalg.qr(np.random.default_rng(2).standard_normal((4, 4)))
+    pairs = spark.createDataFrame([(v.tolist(), (v @ rot + 1).tolist()) for v in x], "a array<double>, b array<double>")
+    r, ma, mb = D.procrustes(pairs, "a", "b")
+    assert np.abs((x - ma) @ r + mb - (x @ rot + 1)).max() < 1e-6
