@@ -7,15 +7,24 @@ each text's chunk hashes and sizes; a batch is looked up by its chunks.
 
 A text's chunks are ranked from the rarest on, and it is looked up by those that
 make up all but ``coverage`` of its bytes, so the commonest chunks need not be
-joined. Texts that share at least ``least`` of its bytes in those are candidates:
-by that, every text that shares ``coverage`` + ``least`` of the bytes is met.
-Candidates are decided exactly, by the share of distinct words in both.
+joined. The first text of such a chunk is its leader; what shares at least
+``least`` of its bytes with a leader of the history and proves near to it is a
+duplicate in one linear pass, and so is a text of the same words as an earlier
+one, whether that was accepted or not.
+
+Chunks do not settle the others: words changed here and there leave few chunks
+whole. These are compared by words, which misses nothing: in one order of all
+words, common ones last, two texts near each other share a word among the first
+of both (prefix filter). Texts that meet in a word are held against each other by
+size and by a sketch of 128 bits, which differs in at most as many bits as the texts
+in words, and then decided exactly, by the share of distinct words in both.
+The order is kept beside the table, and any order gives the same results.
 
 A text is accepted where it is near no accepted earlier one, which depends on
-the texts before it. Texts without candidates are accepted at once, and a text
-near such a chunk leader, or near a leader of the history, is a duplicate in one
-linear pass, so a large group of reworked copies does not meet in pairs; of
-exact copies a task keeps one. What remains is resolved in rounds over links.
+the texts before it. Leaders of large groups within a batch are compared first;
+those near nothing earlier are accepted for certain, so a large group of reworked
+copies does not meet in pairs; of exact copies a task keeps one. What remains
+is resolved in rounds over links.
 
 Defined cases: null and blank items are neither cases nor accepted; texts
 without words are compared as they stand; equal texts after the first are
@@ -27,8 +36,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,7 +50,7 @@ from mnemora import workspace
 
 _TAG = re.compile(r"<[^<>]*>")
 _WORDS = re.compile(r"\w+").findall
-_SIGNATURE = "id bigint, total int, chunks array<bigint>, sizes array<int>"
+_SIGNATURE = "id bigint, total int, chunks array<bigint>, sizes array<int>, n int, low bigint, high bigint, prefix array<bigint>"
 _ORDER = 1 << 24
 _BROADCAST_PAIRS = 200_000  # pairs up to which their ids are sent to every executor: 3.2 MB
 
@@ -66,8 +78,34 @@ def cut(words: list[str], hashes: list[int], *, divisor: int = 3, least: int = 3
         yield start, len(words)
 
 
-def signatures(texts: DataFrame, *, kept: int = 1_000_000) -> DataFrame:
-    """(id, total, chunks, sizes) of (id, text); null and blank texts fall away.
+def common_words(texts: DataFrame, *, most: int = 20_000, one_in: int = 8) -> list[int]:
+    """Hashes of the most frequent words of a sample of the texts, from the rarest on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        n: Counter[str] = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                n.update(set(words_of(t)))
+        yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh32_intdigest, n), pa.int64()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+
+    sample = texts.where(_solid() & (F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)).select("text")
+    rows = sample.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()  # at most ``most`` rows
+    return [r.word for r in rows][::-1]
+
+
+def first_words(n: int | Column, share: float) -> int | Column:
+    """How many of a text's n words must be looked at to meet one of any ``share`` of them."""
+    up = -((-(n * share - 1e-9)) // 1) if isinstance(n, int) else F.ceil(n * share - 1e-9)
+    return int(n - up + 1) if isinstance(n, int) else n - up + 1
+
+
+def signatures(texts: DataFrame, order: list[int], *, near: float = 0.7, kept: int = 1_000_000) -> DataFrame:
+    """(id, total, chunks, sizes, n, low, high, prefix) of (id, text); null and blank texts fall away.
+
+    ``n`` counts the distinct words, ``prefix`` holds the first of them in the
+    order of ``order`` and ``low`` and ``high`` the parities of their hashes.
 
     Of texts a task has met before, as long as it is among the last ``kept``,
     only those with a lesser id give a row again: a group of copies is a row or
@@ -81,6 +119,7 @@ def signatures(texts: DataFrame, *, kept: int = 1_000_000) -> DataFrame:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         known: dict[str, int] = {}
         met: dict[int, int] = {}
+        place, bits, firsts = held.value, [1 << k for k in range(64)], {}
         for b in batches:
             rows = []
             if len(met) > kept:
@@ -97,22 +136,124 @@ def signatures(texts: DataFrame, *, kept: int = 1_000_000) -> DataFrame:
                 for w in words:
                     h = known.get(w)
                     if h is None:
-                        h = known[w] = xxhash.xxh32_intdigest(w)
+                        h = xxhash.xxh32_intdigest(w)
+                        h = known[w] = place.get(h, 0) << 32 | h  # sorts in the order; cut() reads the lower 32 bits
                     hs.append(h)
                 parts = {}
                 for a, z in cut(words, hs):
                     piece = " ".join(words[a:z])
                     parts[signed(h64(piece))] = len(piece)
                 # texts of the same words, in any order, share a chunk of no bytes of its own
-                parts[signed(h64("\1" + " ".join(sorted(set(words))) if words else "\0" + text))] = 0
-                rows.append((id_, sum(parts.values()), list(parts), list(parts.values())))
-            cols = list(zip(*rows)) if rows else [()] * 4
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "total", "chunks", "sizes"])
+                # words of one hash stay two and lie side by side, so the order is one of words all the same
+                tokens = sorted([known[w] for w in set(words)])
+                parts[signed(h64(array("q", tokens).tobytes() if words else "\0" + text))] = 0
+                n, low, high = len(tokens), 0, 0
+                for h in tokens:
+                    if h & 64:
+                        high ^= bits[h & 63]
+                    else:
+                        low ^= bits[h & 63]
+                if n not in firsts:
+                    firsts[n] = first_words(n, near) if n else 0
+                rows.append((id_, sum(parts.values()), list(parts), list(parts.values()), n, signed(low), signed(high), tokens[: firsts[n]]))
+            cols = list(zip(*rows)) if rows else [()] * 8
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "total", "chunks", "sizes", "n", "low", "high", "prefix"])
+
+    held = texts.sparkSession.sparkContext.broadcast({h: k + 1 for k, h in enumerate(order)})
 
     return texts.where(_solid()).mapInArrow(run, _SIGNATURE)
 
 
+def sketch_pairs(word, id_, n, low, high, first, asked, near: float, small: int = 48):
+    """(id, other) that may be near, of rows sorted by word and n: one of them asked, a word in both prefixes, sizes and sketches close enough."""
+    out_a, out_b = [], []
+    differ = (1 - near) / (1 + near)
+    allowed = np.minimum(np.floor(np.arange(2 * int(n.max(initial=0)) + 1) * differ + 1e-6), 255).astype(np.uint8)
+    most = np.floor(n / near + 1e-6).astype(n.dtype)  # words of the longest text near one of n
+
+    def keep(i, j) -> None:
+        out_a.append(id_[i])
+        out_b.append(id_[j])
+
+    def few(i, j) -> None:
+        near_ = np.bitwise_count(low[i] ^ low[j]) + np.bitwise_count(high[i] ^ high[j]) <= allowed[n[i] + n[j]]
+        keep(i[near_], j[near_])
+
+    edge = np.flatnonzero(np.diff(word, prepend=word[:1] - 1)) if len(word) else np.zeros(0, np.int64)
+    ends = np.append(edge[1:], len(word))
+    length = ends - edge
+    end = np.repeat(ends, length)
+    i = np.flatnonzero(np.repeat(length <= small, length) & first)
+    for s in range(1, small):
+        i = i[i + s < end[i]]
+        if not len(i):
+            break
+        j = i + s
+        ok = (n[j] <= most[i]) & (asked[i] | asked[j])
+        few(i[ok], j[ok])
+    for a, z in zip(edge[length > small], ends[length > small]):
+        every = np.arange(a, z)
+        some = every[asked[a:z]]
+        short = every[first[a:z]]
+        cuts = np.flatnonzero(np.diff(n[short])) + 1
+        for x in np.split(short, cuts):
+            if not len(x):
+                continue
+            k = n[x[0]]
+            for xs, ys in ((x[asked[x]], every), (x[~asked[x]], some)):
+                ys = ys[np.searchsorted(n[ys], k) : np.searchsorted(n[ys], most[x[0]], side="right")]
+                if not len(xs) or not len(ys):
+                    continue
+                bound, ly, hy = allowed[k + n[ys]], low[ys], high[ys]
+                step = max(1, 500_000 // len(ys))
+                for at in range(0, len(xs), step):
+                    part = xs[at : at + step]
+                    at_ = np.flatnonzero(np.bitwise_count(low[part][:, None] ^ ly) <= bound)
+                    r, c = np.divmod(at_, len(ys))
+                    both = np.bitwise_count(low[part[r]] ^ ly[c]) + np.bitwise_count(high[part[r]] ^ hy[c]) <= bound[c]
+                    keep(part[r[both]], ys[c[both]])
+    if not out_a:
+        return np.zeros((2, 0), np.int64)
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    pairs = np.stack([np.maximum(a, b), np.minimum(a, b)])[:, a != b]
+    return np.unique(pairs, axis=1) if pairs.shape[1] else pairs
+
+
+def word_pairs(rows: DataFrame, asked: Column, near: float, words: DataFrame | None = None) -> DataFrame:
+    """(id, other), other < id: every pair of signatures whose words can agree by ``near``, one of them asked; and some besides.
+
+    ``words`` holds those of the asked where they are few.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts)
+            word, id_, n, low, high, first, ask = (t.column(c).to_numpy() for c in ("word", "id", "n", "low", "high", "first", "asked"))
+            a, b = sketch_pairs(word, id_, n, low.view(np.uint64), high.view(np.uint64), first, ask, near)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "other"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            word = b.column(0).to_numpy()
+            at = int(np.searchsorted(word, word[-1]))  # where the last word, which may go on, begins
+            if at or (held and held[-1].column(0)[-1].as_py() != word[0]):
+                if held or at:
+                    yield pairs([*held, b.slice(0, at)] if at else held)
+                held = []
+            held.append(b.slice(at))
+        if held:
+            yield pairs(held)
+
+    t = rows.select("id", "n", "low", "high", asked.alias("asked"), F.posexplode("prefix").alias("pos", "word"))
+    t = t.select("word", "id", "n", "low", "high", (F.col("pos") < first_words(F.col("n"), 2 * near / (1 + near))).alias("first"), "asked")
+    t = t if words is None else t.join(words, "word", "left_semi")
+    return t.repartition("word").sortWithinPartitions("word", "n").mapInArrow(run, "id bigint, other bigint").distinct()
+
+
 def word_hashes(texts: DataFrame) -> DataFrame:
     """(id, words): hashes of the distinct words; of a text without words, that of the text."""
 
@@ -142,8 +283,8 @@ class History:
     candidates of a batch.
     """
 
-    def __init__(self, spark: SparkSession, path: str, *, texts: DataFrame | None = None, near: float = 0.7, coverage: float = 0.2, least: float = 0.08):
-        self.spark, self.path, self.near, self.coverage, self.least = spark, path, near, coverage, least
+    def __init__(self, spark: SparkSession, path: str, *, texts: DataFrame | None = None, near: float = 0.7, coverage: float = 0.2, least: float = 0.08, group: int = 32):
+        self.spark, self.path, self.near, self.coverage, self.least, self.group = spark, path, near, coverage, least, group
         self.texts = None if texts is None else self._named(texts)
 
     @staticmethod
@@ -154,6 +295,14 @@ class History:
     def _parts(self) -> list[str]:
         return (workspace.read_json(self.spark, f"{self.path}/manifest.json") or {"parts": []})["parts"]
 
+    def _order(self, texts: DataFrame) -> list[int]:
+        """The order of words, which the first texts set for good."""
+        kept = workspace.read_json(self.spark, f"{self.path}/order.json")
+        if kept is None:
+            kept = {"words": common_words(texts)}
+            workspace.replace_json(self.spark, f"{self.path}/order.json", kept)
+        return kept["words"]
+
     def _add(self, part: str, texts: DataFrame) -> None:
         workspace.replace_json(self.spark, f"{self.path}/manifest.json", {"parts": [*self._parts(), part]})
         self.texts = texts if self.texts is None else self.texts.unionByName(texts)
@@ -161,7 +310,7 @@ class History:
     def accept(self, texts: DataFrame) -> "History":
         """Take the ``text`` rows as accepted without comparing them."""
         named, part = self._named(texts), f"{self.path}/part-{len(self._parts())}"
-        signatures(named).write.mode("overwrite").parquet(part)
+        signatures(named, self._order(named), near=self.near).write.mode("overwrite").parquet(part)
         self._add(part, named)
         return self
 
@@ -172,19 +321,18 @@ class History:
     def check(self, items: DataFrame, *, append: bool = True) -> DataFrame:
         """(id) of the items (id, text) that are duplicates or near-duplicates; the others join the history where ``append``."""
         items = items.select("id", "text").where(_solid())
-        batch = workspace.materialise(signatures(items), "batch")
+        batch = workspace.materialise(signatures(items, self._order(items), near=self.near), "batch")
         everything = self.read().unionByName(batch)
         texts = items if self.texts is None else items.unionByName(self.texts)
         chunk = Window.partitionBy("chunk")
-        # one shuffle, on the chunk: what follows up to the table is local to it
-        shared = workspace.materialise(
+        # one shuffle, on the chunk
+        shared = (
             everything.select("id", "total", F.explode(F.arrays_zip("chunks", "sizes")).alias("c"))
             .select(F.col("c.chunks").alias("chunk"), "id", "total", F.col("c.sizes").alias("size"))
             .repartition("chunk")
             .withColumn("df", F.count("*").over(chunk))
             .where("df > 1")
-            .withColumn("lead", F.min("id").over(chunk)),
-            "shared",
+            .withColumn("lead", F.min("id").over(chunk))
         )
         # chunks of no other text come first in a text's ranking; they weigh what its shared ones leave
         own = Window.partitionBy("id")
@@ -197,18 +345,13 @@ class History:
             .select("id", "chunk", "lead", "size", "total"),
             "probes",
         )
-        # a leader nothing earlier can be near to is accepted for certain, as history is
-        leads = self._covered(probes.select("id", F.col("lead").alias("other"), "size", "total"))
-        searched = probes.select(F.col("id").alias("other")).distinct()
-        certain = leads.where("other < 0").unionByName(leads.where("other >= 0").join(searched, "other", "left_anti"))
-        plain = workspace.materialise(self._near(certain, texts).select("id").distinct(), "plain")
-        met = self._covered(
-            probes.join(plain, "id", "left_anti")
-            .select("id", "chunk", "size", "total")
-            .join(shared.select("chunk", F.col("id").alias("other")), "chunk")
-            .where("other < id")
-        )
-        links = workspace.materialise(self._near(met, texts), "links")
+        leads = workspace.materialise(self._covered(probes.select("id", F.col("lead").alias("other"), "size", "total")), "leads")
+        # history is accepted, and what has the words of an earlier text is near whatever that one is near
+        same = probes.where("size = 0").select("id", F.col("lead").alias("other"))
+        plain = workspace.materialise(self._near(leads.where("other < 0").unionByName(same).distinct(), texts).select("id").distinct(), "plain")
+        plain = self._large_groups(leads.where("other >= 0").join(plain, "id", "left_anti"), plain, everything, texts)
+        open_ = everything.join(plain, "id", "left_anti")
+        links = workspace.materialise(self._near(word_pairs(open_, F.col("id") >= 0, self.near), texts), "links")
         by_history = plain.unionByName(links.where("other < 0").select("id")).distinct()
         rejected = self._resolve(links.where("other >= 0"), workspace.materialise(by_history, "rejected"))
         accepted = batch.select("id").join(rejected, "id", "left_anti")
@@ -224,6 +367,19 @@ class History:
         entries.select((F.col("id") - (1 << 62)).alias("id"), "total", "chunks", "sizes").write.mode("overwrite").parquet(part)
         workspace.replace_json(self.spark, f"{self.path}/manifest.json", {"parts": [*self._parts(), part]})
 
+    def _large_groups(self, leads: DataFrame, plain: DataFrame, everything: DataFrame, texts: DataFrame) -> DataFrame:
+        """``plain`` and the texts near a leader of more than ``group`` texts that is near nothing earlier itself."""
+        large = leads.groupBy("other").count().where(F.col("count") > self.group).select(F.col("other").alias("id"))
+        large = workspace.materialise(large.join(plain, "id", "left_anti").withColumn("large", F.lit(True)), "large")
+        if large.isEmpty():
+            return plain
+        rows = everything.join(plain, "id", "left_anti").join(large, "id", "left")
+        words = rows.where("large").select(F.explode("prefix").alias("word")).distinct()
+        met = word_pairs(rows, F.coalesce("large", F.lit(False)), self.near, words).join(large, "id", "left_semi")
+        certain = large.join(self._near(met, texts), "id", "left_anti").select(F.col("id").alias("other"))
+        near = self._near(leads.join(certain, "other", "left_semi").select("id", "other"), texts)
+        return workspace.materialise(plain.unionByName(near.select("id").distinct()).distinct(), "plain")
+
     def _covered(self, hits: DataFrame) -> DataFrame:
         """Pairs whose shared chunks among those looked up make up at least ``least`` of the text."""
         return hits.groupBy("id", "other").agg(F.sum(F.when(F.col("size") == 0, F.col("total")).otherwise(F.col("size"))).alias("size"), F.max("total").alias("total")).where(F.col("size") >= self.least * F.col("total")).select("id", "other")
