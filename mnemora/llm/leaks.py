@@ -4,9 +4,11 @@ The fingerprint of a window is its SimHash: the majority, bit by bit, of its
 words' hashes. A window's length follows from the item's. A quote of at least
 ``part`` of an item of L words with one word in ``noise`` replaced has n words
 and k = n / noise strange ones, so it holds a clean run of (n - k) / (k + 1)
-words; the windows of an item are the longest of ``sizes`` that such a run is
-sure to hold, and at least n - k - (w - 1)(k + 1) of them stand in the quote on
-one diagonal. Item windows are indexed by the blocks of their fingerprints:
+words, and at least n - k - (w - 1)(k + 1) windows of w words stand in it on
+one diagonal. A longer quote can have shorter runs, as k steps up at multiples of
+``noise``; the windows of an item are therefore the longest of ``sizes`` that a run
+of its quotes of every length n is sure to hold, and the number of hits is the
+least of all n. Item windows are indexed by the blocks of their fingerprints:
 cut into ``radius`` + 1 blocks, any fingerprint within the radius agrees in one.
 Pairs with as many hits on a diagonal as are sure are verified exactly, word by
 word along the diagonal, words weighing their length; the stretch found must hold ``bar`` times ``part``
@@ -108,12 +110,9 @@ class Items:
         groups: dict[int, list[int]] = {}
         self.least = []
         for k, words in enumerate(self.words):
-            n = -(-len(words) // 2) if part == 0.5 else int(np.ceil(part * len(words)))
-            strange = n // noise
-            clean = -(-(n - strange) // (strange + 1))
-            size = max((s for s in sizes if s <= clean), default=min(sizes))
+            size, least = self.sure(len(words), part, noise, sizes)
             groups.setdefault(size, []).append(k)
-            self.least.append(max(1, n - strange - (size - 1) * (strange + 1)))
+            self.least.append(least)
         self.classes = []
         for size, members in groups.items():
             prints, item, at = [], [], []
@@ -124,6 +123,15 @@ class Items:
                 at += range(len(p))
             self.classes.append((size, BlockIndex(np.concatenate(prints), radius), np.array(item, np.int64), np.array(at, np.int64)))
 
+    @staticmethod
+    def sure(length: int, part: float, noise: int, sizes: tuple[int, ...]) -> tuple[int, int]:
+        """Window size and hits that quotes of every length of an item of ``length`` words are sure to have."""
+        n = np.arange(-(-length // 2) if part == 0.5 else int(np.ceil(part * length)), length + 1)
+        strange = n // noise
+        clean = int((-(-(n - strange) // (strange + 1))).min())
+        size = max((s for s in sizes if s <= clean), default=min(sizes))
+        return size, max(1, int((n - strange - (size - 1) * (strange + 1)).min()))
+
     def find(self, docs: list[list[str]], known: dict[str, int]) -> list[tuple[int, int]]:
         """(document, item) of the verified quotes in a batch of documents' words."""
         import xxhash

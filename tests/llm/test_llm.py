@@ -239,6 +239,20 @@ def test_leaks(spark):
     assert leaks.find_leaks(d, i.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("length, n", [(31, 20), (52, 30), (70, 40), (39, 20), (58, 30), (100, 50), (64, 64)])
+def test_quotes_with_evenly_replaced_words(length, n):
+    rng = random.Random(length)
+    item = [f"word{k}" for k in rng.sample(range(5000), length)]
+    search = leaks.Items([(7, item)], part=0.5, noise=10, sizes=(3, 4, 6, 8), radius=3)
+    docs = []
+    for a in range(length - n + 1):
+        quote, k = item[a : a + n], n // 10
+        for i in range(1, k + 1):  # the clean runs differ by one word at most
+            quote[i * (n - k) // (k + 1) + i - 1] = f"strange{a}x{i}"
+        docs.append([f"f{k}x" for k in range(20)] + quote + [f"g{k}x" for k in range(20)])
+    assert search.find(docs, {}) == [(d, 0) for d in range(len(docs))]
+
+
 def test_block_index_finds_all_within_the_radius():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 300, dtype=np.uint64)
