@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +52,64 @@ def health(nodes: DataFrame, asked: DataFrame, *, radius: float = 2.0, slack: fl
     return a.select("asked", "dead", F.round("fragmented", 6).alias("fragmented"), F.round("mean", 6).alias("mean"), state.alias("state"))
 
 
+def pairwise_distance(nodes: DataFrame, *, block_rows: int = 4096) -> DataFrame:
+    """One row (pairs, mean): over the distances of all pairs of different nodes, in blocks of nodes against all; null of no pair."""
+    spark = nodes.sparkSession
+    source = nodes.select("id", "vector").where("id is not null and vector is not null")
+
+    def one(block: list) -> DataFrame:
+        held = spark.sparkContext.broadcast((np.array([r.id for r in block]), np.array([r.vector for r in block], np.float64)))
+
+        def run(batches):
+            ids, q = held.value
+            for b in batches:
+                if len(b):
+                    other = b.id.to_numpy()[:, None] != ids[None, :]
+                    d = -scoring._spatial(q, np.array(b.vector.tolist(), np.float64), "euclidean", 1.0, 1.0)
+                    yield pd.DataFrame({"pairs": [int(other.sum())], "total": [float(d[other].sum())]})
+
+        return source.mapInPandas(run, "pairs bigint, total double")
+
+    result, block = spark.createDataFrame([], "pairs bigint, total double"), []
+    for r in source.toLocalIterator():
+        block.append(r)
+        if len(block) == block_rows:
+            result, block = result.unionByName(one(block)), []
+    if block:
+        result = result.unionByName(one(block))
+    pairs = F.coalesce(F.sum("pairs"), F.lit(0))
+    return result.agg(pairs.alias("pairs"), F.when(pairs > 0, F.sum("total") / pairs).alias("mean"))
+
+
+def every(nodes: DataFrame) -> DataFrame:
+    """All nodes as a query set."""
+    return nodes.withColumnRenamed("id", "query_id")
+
+
+def dead_zones(nodes: DataFrame, *, slack: float = 0.75) -> DataFrame:
+    """(id, distance) of every node whose nearest neighbour lies beyond the median of all times 1 + slack; none of fewer than three nodes."""
+    near = neighbours(nodes, every(nodes), 1)
+    limit = near.agg(F.percentile("distance", 0.5).alias("median"), F.count("*").alias("n"))
+    return near.crossJoin(F.broadcast(limit)).where((F.col("n") >= 3) & (F.col("distance") > F.col("median") * (1 + slack))).select(F.col("query_id").alias("id"), "distance")
+
+
+def whole_health(nodes: DataFrame, *, radius: float = 2.0, slack: float = 0.75, converged: float = 0.05) -> DataFrame:
+    """One row on all nodes: dead zones, share without a neighbour in the radius, mean distance of all pairs, hyperconvergence, state.
+
+    Every node is held against every other, in blocks of queries; the cost is that of all pairs.
+    """
+    near = neighbours(nodes, every(nodes), 1)
+    limit = near.agg(F.percentile("distance", 0.5).alias("median"))
+    count = nodes.where("id is not null and vector is not null").agg(F.count("*").alias("nodes"))
+    a = near.crossJoin(F.broadcast(limit)).agg(
+        F.count_if(F.col("distance") > F.col("median") * (1 + slack)).alias("dead"), F.coalesce(F.avg((F.col("distance") > radius).cast("double")), F.lit(0.0)).alias("fragmented")
+    )
+    a = a.crossJoin(count).crossJoin(pairwise_distance(nodes).select("mean")).withColumn("dead", F.when(F.col("nodes") < 3, 0).otherwise(F.col("dead")))
+    a = a.withColumn("hyperconverged", F.coalesce((F.col("nodes") >= 3) & (F.col("mean") < converged), F.lit(False)))
+    state = F.when(F.col("hyperconverged") | (F.col("fragmented") > 0.8), "critical").when((F.col("dead") > 0.3 * F.col("nodes")) | (F.col("fragmented") > 0.6), "degraded").otherwise("stable")
+    return a.select("nodes", "dead", F.round("fragmented", 6).alias("fragmented"), F.round("mean", 6).alias("mean_pairwise"), "hyperconverged", state.alias("state"))
+
+
 def merge_candidates(nodes: DataFrame, asked: DataFrame, *, reach: float = 2.5, gap: float = 1.0) -> DataFrame:
     """(query_id, id, distance): the nearest node within reach whose phase lies more than ``gap`` apart on the circle, of ten nearest."""
     n = neighbours(nodes, asked, 10).where(F.col("distance") < reach).join(nodes.select("id", F.col("phase").alias("p")), "id")

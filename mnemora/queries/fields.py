@@ -1,4 +1,4 @@
-"""Tension, health, merges and groups of the vectors' field; every hundredth vector asks."""
+"""Tension, health, merges and groups of the vectors' field; every hundredth vector asks, in the queries ending in ``_all`` and ``dead_zones`` every one."""
 
 from __future__ import annotations
 
@@ -26,6 +26,25 @@ def merge_candidates(s, d):
     return D.merge_candidates(n, _asked(n))
 
 
+def tension_topology_all(s, d):
+    n = _nodes(s, d)
+    t = D.tension(n, D.every(n))
+    return t.select("query_id", F.round("tension", 5).alias("tension"), F.round(D.soft_gate(F.col("tension")), 5).alias("gate"))
+
+
+def field_health_all(s, d):
+    return D.whole_health(_nodes(s, d))
+
+
+def dead_zones(s, d):
+    return D.dead_zones(_nodes(s, d))
+
+
+def merge_candidates_all(s, d):
+    n = _nodes(s, d)
+    return D.merge_candidates(n, D.every(n))
+
+
 def _engrams(s, d):
     n = _nodes(s, d)
     return n, D.engrams(scoring.topk(n.select("id", "vector"), _asked(n), 20, kernel="cosine01"))
@@ -75,3 +94,15 @@ SQL = {
           round(CASE WHEN score > 0.3 THEN sqrt(list_sum(list_transform(list_zip(v, hv), lambda z: pow(z[1] + 0.02 * (z[2] - z[1]), 2)))) ELSE sqrt(list_inner_product(hv, hv)) END, 5) AS norm FROM b WHERE k = 1""",
     "dp_clip": f"WITH {_N} SELECT id, round(least(sqrt(list_inner_product(v, v)), 0.5), 6) AS norm FROM n",
 }
+
+# the same fields with every node asking: the sampled set of _N taken whole
+_ASKS = " WHERE id % 100 = 0"
+_ALL = _NEAR.replace(_ASKS, "")
+SQL |= {
+    "tension_topology_all": SQL["tension_topology"].replace(_ASKS, ""),
+    "merge_candidates_all": SQL["merge_candidates"].replace(_ASKS, ""),
+    "dead_zones": f"WITH {_ALL}, x AS (SELECT query_id, distance FROM nn WHERE place = 1), m AS (SELECT quantile_cont(distance, 0.5) AS m FROM x) SELECT query_id AS id, distance FROM x, m WHERE distance > m * 1.75::DOUBLE",
+    "field_health_all": f"""WITH {_ALL}, x AS (SELECT distance FROM nn WHERE place = 1), m AS (SELECT quantile_cont(distance, 0.5) AS m FROM x), w AS (SELECT avg(sqrt(d2)) AS mean FROM p WHERE id <> query_id),
+        hh AS (SELECT count(*) AS nodes, count(*) FILTER (distance > m * 1.75::DOUBLE) AS dead, avg(CAST(distance > 2 AS DOUBLE)) AS f FROM x, m)
+        SELECT nodes, dead, round(f, 6) AS fragmented, round(mean, 6) AS mean_pairwise, mean < 0.05 AS hyperconverged, CASE WHEN mean < 0.05 OR f > 0.8 THEN 'critical' WHEN dead > 0.3 * nodes OR f > 0.6 THEN 'degraded' ELSE 'stable' END AS state FROM hh, w""",
+}

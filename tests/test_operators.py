@@ -179,3 +179,26 @@ def test_field_operators(spark):
     pairs = spark.createDataFrame([(v.tolist(), (v @ rot + 1).tolist()) for v in x], "a array<double>, b array<double>")
     r, ma, mb = D.procrustes(pairs, "a", "b")
     assert np.abs((x - ma) @ r + mb - (x @ rot + 1)).max() < 1e-6
+
+
+def test_health_of_the_whole_field(spark):
+    from mnemora.operators import field as D
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((130, 6)) * 0.3
+    x[[17, 77]] += [[9.0] * 6, [-9.0] * 6]  # no id divisible by 100 lies apart
+    n = spark.createDataFrame([(k, v.tolist(), k % 6 * 1.0, 0.5) for k, v in enumerate(x)], "id bigint, vector array<double>, phase double, salience double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    mean = d.sum() / (130 * 129)
+    np.fill_diagonal(d, np.inf)
+    dead = {int(k) for k in np.flatnonzero(d.min(1) > np.median(d.min(1)) * 1.75)}
+    assert {17, 77} <= dead == {r.id for r in D.dead_zones(n).collect()}
+    h = D.whole_health(n).first()
+    assert (h.nodes, h.dead, h.hyperconverged, h.state) == (130, len(dead), False, "stable")
+    assert abs(h.mean_pairwise - mean) < 1e-5 and abs(h.fragmented - 2 / 130) < 1e-6
+    parts = D.pairwise_distance(n, block_rows=50).first()
+    assert parts.pairs == 130 * 129 and abs(parts.mean - mean) < 1e-9
+    assert D.merge_candidates(n, D.every(n)).where("query_id % 100 <> 0").count() > 50
+    close = D.whole_health(n.withColumn("vector", F.transform("vector", lambda v: v * 0.001))).first()
+    assert close.hyperconverged and close.state == "critical"
+    assert D.whole_health(n.where("false")).first().nodes == 0
