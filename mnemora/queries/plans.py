@@ -10,7 +10,7 @@ from mnemora.plans import pipeline as P
 from mnemora.queries import similarity as S
 from mnemora.queries.analytics import _N, nodes
 from mnemora.queries.similarity import _top, _G, _PHASE, _WEIGHT
-from mnemora.sources.tables import table
+from mnemora.sources.tables import spread, table, wrapped_texts
 from mnemora.streaming import events as st
 
 
@@ -60,12 +60,18 @@ def export_markdown(s, d):
 
 
 def import_records(s, d):
-    """JSON and CSV wrapped documents taken apart to their records."""
+    """Documents of the source json_import taken apart to their JSON records; ``import_records_all`` takes every wrapped document."""
     docs = table(s, d, "documents").where("source = 'json_import' and text is not null").select("doc_id", F.try_parse_json("text").alias("v"))
     rows = docs.select("doc_id", F.explode(F.coalesce(F.try_variant_get("v", "$.records", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))).alias("r"))
     return rows.select("doc_id", F.try_variant_get("r", "$.text", "string").alias("text")).groupBy("doc_id").agg(F.count("*").alias("records"), F.sum(F.length("text")).alias("chars"))
 
 
+def import_records_all(s, d):
+    """JSON and CSV wrapped documents of any source taken apart to their records."""
+    docs = spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(wrapped_texts("text")).alias("text"))
+    return docs.groupBy("doc_id").agg(F.count("*").alias("records"), F.sum(F.length("text")).alias("chars"))
+
+
 def _stream(s, d, make, mode: str):
     """Run a streaming query over the events file to its end, into files that are read back."""
     source = table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
@@ -121,6 +127,11 @@ SQL = {
         SELECT tier, string_agg('- ' || node_id || ' (' || printf('%.3f', salience) || ')', chr(10) ORDER BY k) AS markdown FROM r WHERE k <= 5 GROUP BY tier""",
     "import_records": """WITH j AS (SELECT doc_id, CAST(text AS JSON) AS v FROM documents WHERE source = 'json_import' AND text IS NOT NULL AND json_valid(text)),
         r AS (SELECT doc_id, unnest(CAST(CASE WHEN json_type(v) = 'ARRAY' THEN v ELSE v->'$.records' END AS JSON[])) AS r FROM j) SELECT doc_id, count(*) AS records, CAST(sum(length(r->>'$.text')) AS BIGINT) AS chars FROM r GROUP BY doc_id""",
+    "import_records_all": """WITH j AS (SELECT doc_id, CAST(text AS JSON) AS v FROM documents WHERE json_valid(text)),
+        r AS (SELECT doc_id, unnest(CAST(CASE WHEN json_type(v) = 'ARRAY' THEN v ELSE v->'$.records' END AS JSON[]))->>'$.text' AS t FROM j),
+        c AS (SELECT doc_id, unnest(regexp_extract_all(substr(text, strpos(text, chr(10)) + 1), '(?m)^[^,\n]*,("(?:[^"]|"")*"|[^"\n]*)$', 1)) AS f FROM documents WHERE starts_with(text, 'id,text' || chr(10))),
+        a AS (SELECT * FROM r UNION ALL SELECT doc_id, CASE WHEN starts_with(f, '"') THEN replace(substr(f, 2, length(f) - 2), '""', '"') ELSE f END FROM c)
+        SELECT doc_id, count(*) AS records, CAST(sum(length(t)) AS BIGINT) AS chars FROM a GROUP BY doc_id""",
     "stream_hourly": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_once": "SELECT event_id, user_id FROM events WHERE event_type = 'purchase'",
 }

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import io
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,6 +63,33 @@ def import_csv(spark: SparkSession, path: str, sep: str = ",", text_column: str
     )
 
 
+_HEADER = re.compile(r"\ufeff?\s*\w+(?:,\w+)*\r?\n")
+
+
+def csv_texts(value: str | None, text_column: str = "text") -> list[str | None] | None:
+    """``text_column`` of the records of a text that starts with a CSV header naming it, else None; blank lines are no records."""
+    head = _HEADER.match(value or "")
+    if not head or text_column not in (names := head[0].strip("\ufeff \t\r\n").split(",")) or len(names) < 2:
+        return None
+    at = names.index(text_column)
+    csv.field_size_limit(2**31 - 1)
+    rows = csv.reader(io.StringIO(value[head.end() :], newline=""))
+    return [r[at] if at < len(r) else None for r in rows if r]
+
+
+def wrapped_texts(text: str | Column) -> Column:
+    """Texts of the records of a JSON list, a JSON object with ``records`` or CSV with a header, told by the text alone; null of any other text."""
+
+    @F.pandas_udf("array<string>")
+    def of_csv(s: pd.Series) -> pd.Series:
+        return s.map(csv_texts)
+
+    t = F.col(text) if isinstance(text, str) else text
+    v = F.try_parse_json(t)
+    of_json = F.coalesce(F.try_variant_get(v, "$.records", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
+    return F.coalesce(F.transform(of_json, lambda r: F.try_variant_get(r, "$.text", "string")), of_csv(t))
+
+
 def import_text(spark: SparkSession, path: str, size: int = 500, overlap: int = 50) -> DataFrame:
     """Whole files cut into overlapping word chunks."""
     from mnemora.functions.text import chunk_words

@@ -202,3 +202,23 @@ def test_health_of_the_whole_field(spark):
     close = D.whole_health(n.withColumn("vector", F.transform("vector", lambda v: v * 0.001))).first()
     assert close.hyperconverged and close.state == "critical"
     assert D.whole_health(n.where("false")).first().nodes == 0
+
+
+def test_wrapped_documents_of_any_source(spark, tmp_path):
+    from mnemora.queries import plans
+
+    rows = [
+        (1, '[{"text": "ab"}, {"text": "c"}]', "json_import"),
+        (2, '{"records": [{"text": "abc"}]}', None),
+        (3, 'id,text\n0,"one, ""two""\nlines"\n\n1,plain\n', "csv_import"),
+        (4, "id,text\r\n0,é🙂\r\n", "notes"),
+        (5, "id,text and more words\nof a note", "csv_import"),
+        (6, "just words", "csv_import"),
+        (7, None, "csv_import"),
+        (8, "text\nalone", None),
+        (9, "text,id\nfirst,3", None),
+        (10, '[{"text": "cut', "json_import"),
+    ]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in plans.import_records_all(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2, 3), (2, 1, 3), (3, 2, 21), (4, 1, 2), (9, 1, 5)}
