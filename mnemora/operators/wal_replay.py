@@ -65,14 +65,17 @@ def watermark(changes: DataFrame, *, block: int = 1_000_000) -> Column | int:
     clocks = changes.select("clock").distinct().where("clock > 0")
     full = clocks.groupBy(F.expr(f"(clock - 1) div {block}").alias("b")).agg(F.count("*").alias("n"))
     open_ = {r.b: r.n for r in full.where(F.col("n") < block).orderBy("b").limit(1).collect()}
-    first_missing = full.count()
+    from pyspark.sql import Window
+
+    # blocks are counted from 0, so the first whose place is not its number stands behind a missing one
+    placed = full.withColumn("k", F.row_number().over(Window.orderBy("b")) - 1)
+    behind = placed.where("b <> k").agg(F.min("k")).first()[0]
+    first_missing = placed.count() if behind is None else behind
     b = min([*open_, first_missing])
     present = clocks.where(f"(clock - 1) div {block} = {b}").select((F.col("clock") - b * block).alias("c"))
     if b not in open_:
         return b * block
     # within the first open block: the longest prefix whose k-th clock is k
-    from pyspark.sql import Window
-
     n = present.withColumn("k", F.row_number().over(Window.orderBy("c"))).where("c = k").agg(F.max("c")).first()[0]
     return b * block + (n or 0)
 

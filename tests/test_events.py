@@ -196,3 +196,10 @@ def test_open_feed_holds_changes_behind_a_gap(spark):
     assert wal.live_nodes(df, upto=2).count() == 2
     assert wal.live_nodes(spark.createDataFrame([], WAL)).count() == 0
     assert wal.live_nodes(df.withColumn("node_id", F.lit("clash")).withColumn("content", F.lit(1))).count() == 5
+
+
+def test_watermark_stops_at_a_missing_block(spark):
+    add = lambda k: json.dumps({"op": "add", "node_id": f"n{k}"})
+    for clocks, want in [((1, 2, 5, 6), 2), ((3, 4), 0), ((1, 2, 3, 4), 4), ((1, 2, 5), 2), ((1, 2, 3, 4, 7, 8, 9), 4)]:
+        df = spark.createDataFrame([(k, k, "o", add(k), None) for k in clocks], WAL)
+        assert wal.watermark(wal.parse_changes(df), block=2) == want
