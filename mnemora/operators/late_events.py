@@ -6,6 +6,10 @@ windows that cover the pane are composed again from the panes' partial counts.
 A pane closes ``grace`` after its end; an arrival from then on corrects it up
 to and including ``cutoff`` after its end, and is dropped later.
 
+A pane's partial is kept per tick of lateness: tick 0 holds what came before
+the close, later ticks the corrections by arrival, so the values a pane went
+through can be told from the partials alone. The cut-off bounds the ticks.
+
 Defined cases: a null or blank ``id``, an event time that is null, zero,
 negative or not finite, and an id that never arrived are left out; redelivered
 rows count once, by the earliest arrival; equal rows are one; an empty table
@@ -14,12 +18,16 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora import workspace
 
 HOUR = 3_600_000
+_INDEX = "id string, event_type string, event_ms bigint, arrival_ms bigint, pane_start bigint, outcome string"
+_PARTIAL = "event_type string, pane_start bigint, outcome string, tick bigint, n bigint"
 
 
 def event_millis(c: str | Column) -> Column:
@@ -63,32 +71,34 @@ def slice_events(
     )
 
 
-def pane_counts(sliced: DataFrame) -> DataFrame:
-    """Partial counts per event type and pane; the hot types are combined before the shuffle."""
-    count = lambda what: F.sum((F.col("outcome") == what).cast("long")).alias(what)
-    return sliced.groupBy("event_type", "pane_start").agg(count("on_time"), count("corrected"), count("dropped"))
+def pane_partials(sliced: DataFrame, *, tick_ms: int = HOUR) -> DataFrame:
+    """(event_type, pane_start, outcome, tick, n): partial counts of each pane; hot types are combined before the shuffle."""
+    tick = F.when(F.col("outcome") == "corrected", F.expr(f"arrival_ms div {tick_ms} + 1")).otherwise(F.lit(0)).cast("bigint")
+    return sliced.groupBy("event_type", "pane_start", "outcome", tick.alias("tick")).agg(F.count("*").alias("n"))
+
+
+def pane_counts(partials: DataFrame) -> DataFrame:
+    """(event_type, pane_start, on_time, corrected, dropped) of the panes' partials."""
+    count = lambda what: F.sum(F.when(F.col("outcome") == what, F.col("n")).otherwise(0)).alias(what)
+    return partials.groupBy("event_type", "pane_start").agg(count("on_time"), count("corrected"), count("dropped"))
+
+
+def _windows_of(pane: str, size_panes: int, pane_ms: int, window: str) -> Column:
+    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(size_panes - 1)), lambda k: F.col(pane) - k * pane_ms)).alias(window)
 
 
 def compose_windows(panes: DataFrame, *, size_panes: int, pane_ms: int = HOUR) -> DataFrame:
-    """Sliding windows of ``size_panes`` panes, a new one each pane, from the panes' partials alone."""
-    covers = F.explode(F.transform(F.sequence(F.lit(0), F.lit(size_panes - 1)), lambda k: F.col("pane_start") - k * pane_ms))
+    """Sliding windows of ``size_panes`` panes, a new one each pane, from the panes' counts alone."""
     return (
-        panes.withColumn("window_start", covers)
+        panes.select("*", _windows_of("pane_start", size_panes, pane_ms, "window_start"))
         .groupBy("event_type", "window_start")
         .agg(F.sum("on_time").alias("at_close"), F.sum(F.col("on_time") + F.col("corrected")).alias("events"))
     )
 
 
-def revisions(sliced: DataFrame, *, tick_ms: int = HOUR) -> DataFrame:
-    """Each value a pane's count took: its count at the close, then one row per tick of late arrivals.
-
-    The window runs over panes' partials per tick, of which the cut-off bounds the number.
-    """
-    from pyspark.sql import Window
-
-    kept = sliced.where("outcome <> 'dropped'")
-    tick = F.when(F.col("outcome") == "on_time", F.lit(0)).otherwise(F.expr(f"arrival_ms div {tick_ms} + 1"))
-    deltas = kept.groupBy("event_type", "pane_start", tick.alias("tick")).agg(F.count("*").alias("n"))
+def revisions(partials: DataFrame) -> DataFrame:
+    """Each value a pane's count took: its count at the close, then one row per tick of late arrivals."""
+    deltas = partials.where("outcome <> 'dropped'").groupBy("event_type", "pane_start", "tick").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("event_type", "pane_start").orderBy("tick")
     return deltas.select(
         "event_type",
@@ -99,41 +109,62 @@ def revisions(sliced: DataFrame, *, tick_ms: int = HOUR) -> DataFrame:
 
 
 class PaneStore:
-    """Pane partials in a table, corrected batch by batch.
-
-    Each batch appends its new ids and their panes' deltas under its own
-    number, so that a batch that is run again replaces what it wrote before.
-    ``apply`` returns the windows to emit again: those that cover a pane the
-    batch changed. Ids are compared with stored ids of the same panes only, so
-    the cost follows the batch and the panes it touches.
+    """Panes' partial counts in a table, corrected batch by batch.
+
+    A batch appends its own partials; stored ones are never read to be
+    rewritten. Ids that came before are told by an index laid out by the day of
+    the pane, of which only the days a batch touches are read: an id always
+    comes again at the same event time, so in the same day. ``apply`` returns
+    the windows to emit again, composed of the stored partials of the panes in
+    their reach. One rename of the manifest makes a batch visible, so a reader
+    sees all of it or none; a batch that is run again takes the place of its
+    first run. Batches must come in the order of arrival, as the first delivery
+    of an id decides; rows without arrival time count for nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, *, size_panes: int = 1, pane_ms: int = HOUR, grace_ms: int = 300_000, cutoff_ms: int = 24 * HOUR):
         self.spark, self.path, self.size, self.pane_ms = spark, path, size_panes, pane_ms
         self.rule = {"pane_ms": pane_ms, "grace_ms": grace_ms, "cutoff_ms": cutoff_ms}
 
-    def _batches(self) -> list[int]:
-        return (workspace.read_json(self.spark, f"{self.path}/manifest.json") or {"batches": []})["batches"]
+    def _batches(self) -> dict[str, dict]:
+        """By batch number: the folder of its files and the days its index holds."""
+        return (workspace.read_json(self.spark, f"{self.path}/manifest.json") or {"batches": {}})["batches"]
 
-    def _stored(self, batches: list[int]) -> DataFrame | None:
-        return self.spark.read.parquet(*(f"{self.path}/batch-{b}" for b in batches)) if batches else None
+    def _index(self, batches: dict[str, dict], days: set[int] | None = None) -> DataFrame | None:
+        paths = [f"{b['path']}/ids/day={d}" for b in batches.values() for d in b["days"] if days is None or d in days]
+        return self.spark.read.schema(_INDEX).parquet(*paths) if paths else None
 
     def apply(self, batch: DataFrame, number: int) -> DataFrame:
-        before = [b for b in self._batches() if b != number]
-        new = slice_events(batch, **self.rule)
-        if (stored := self._stored(before)) is not None:
-            new = new.join(stored.select("id", "pane_start"), ["id", "pane_start"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{self.path}/batch-{number}")
-        workspace.replace_json(self.spark, f"{self.path}/manifest.json", {"batches": sorted([*before, number])})
+        batches = {k: b for k, b in self._batches().items() if k != str(number)}
+        out = f"{self.path}/batch-{number}-{uuid.uuid4().hex}"
+        day = F.expr(f"pane_start div {24 * HOUR}")
+        new = slice_events(batch, **self.rule).withColumn("day", day)
+        stored = [d for b in batches.values() for d in b["days"]]
+        if stored:
+            new = workspace.materialise(new, "sliced")
+            days = {r.day for r in new.select("day").distinct().collect()}  # one row a day
+            if (seen := self._index(batches, days)) is not None:
+                new = new.join(seen.select("id"), "id", "left_anti")
+        new.write.partitionBy("day").parquet(f"{out}/ids")
+        rows = self.spark.read.schema(_INDEX + ", day bigint").parquet(f"{out}/ids")
+        pane_partials(rows).coalesce(1).write.parquet(f"{out}/panes")
+        days = sorted(r.day for r in rows.select("day").distinct().collect())  # one row a day
+        workspace.replace_json(self.spark, f"{self.path}/manifest.json", {"batches": batches | {str(number): {"path": out, "days": days}}})
+        touched = self.spark.read.parquet(f"{out}/panes").where("outcome <> 'dropped'").select("event_type", "pane_start").distinct()
         reach = F.explode(F.transform(F.sequence(F.lit(1 - self.size), F.lit(self.size - 1)), lambda k: F.col("pane_start") + k * self.pane_ms))
-        touched = self.spark.read.parquet(f"{self.path}/batch-{number}").where("outcome <> 'dropped'").select("event_type", "pane_start").distinct()
         near = touched.select("event_type", reach.alias("pane_start")).distinct()
-        emitted = touched.select(
-            "event_type",
-            F.explode(F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)), lambda k: F.col("pane_start") - k * self.pane_ms)).alias("window_start"),
-        ).distinct()
-        windows = compose_windows(self.panes().join(near, ["event_type", "pane_start"], "left_semi"), size_panes=self.size, pane_ms=self.pane_ms)
-        return windows.join(emitted, ["event_type", "window_start"], "left_semi")
+        emitted = touched.select("event_type", _windows_of("pane_start", self.size, self.pane_ms, "window_start")).distinct()
+        panes = pane_counts(self.partials().join(near, ["event_type", "pane_start"], "left_semi"))
+        return compose_windows(panes, size_panes=self.size, pane_ms=self.pane_ms).join(emitted, ["event_type", "window_start"], "left_semi")
+
+    def partials(self) -> DataFrame:
+        paths = [f"{b['path']}/panes" for b in self._batches().values()]
+        return self.spark.read.schema(_PARTIAL).parquet(*paths) if paths else self.spark.createDataFrame([], _PARTIAL)
 
     def panes(self) -> DataFrame:
-        return pane_counts(self._stored(self._batches()))
+        return pane_counts(self.partials())
+
+    def events(self) -> DataFrame:
+        """(id, event_type, event_ms, arrival_ms, pane_start, outcome) of every id so far."""
+        index = self._index(self._batches())
+        return index if index is not None else self.spark.createDataFrame([], _INDEX)

@@ -12,45 +12,60 @@ from mnemora.operators import wal_replay as wal
 from mnemora.sources.tables import table
 
 
-def _sliced(spark: SparkSession, d: str) -> DataFrame:
-    return late.slice_events(table(spark, d, "analytics_log"))
+def _in_batches(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log in two batches by arrival: all but the last day of arrivals, then that day; rows without arrival come first."""
+    arrival = late.arrival_millis("received_at")
+    last = log.agg(F.max(arrival)).first()[0] or 0
+    new = F.coalesce(arrival > last - ses.DAY_MS, F.lit(False))
+    return log.where(~new), log.where(new)
+
+
+def pane_store(spark: SparkSession, d: str) -> late.PaneStore:
+    store = late.PaneStore(spark, workspace.new_dir(spark, "panes"))
+    for number, batch in enumerate(_in_batches(table(spark, d, "analytics_log").select("id", "event_type", "timestamp", "received_at"))):
+        store.apply(batch, number)
+    return store
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _sliced(spark, d).where("outcome <> 'on_time'").select("id", F.expr("pane_start div 1000").alias("hour_start"), "outcome")
+    return pane_store(spark, d).events().where("outcome <> 'on_time'").select("id", F.expr("pane_start div 1000").alias("hour_start"), "outcome")
 
 
 def p2_hourly(spark: SparkSession, d: str) -> DataFrame:
-    return late.pane_counts(_sliced(spark, d)).select(
-        "event_type", F.expr("pane_start div 1000").alias("hour_start"), "on_time", "corrected", "dropped"
-    )
+    return pane_store(spark, d).panes().select("event_type", F.expr("pane_start div 1000").alias("hour_start"), "on_time", "corrected", "dropped")
 
 
 def p2_windows(spark: SparkSession, d: str) -> DataFrame:
-    w = late.compose_windows(late.pane_counts(_sliced(spark, d)), size_panes=3)
+    w = late.compose_windows(pane_store(spark, d).panes(), size_panes=3)
     return w.select("event_type", F.expr("window_start div 1000").alias("window_start"), "at_close", "events")
 
 
 def p2_revisions(spark: SparkSession, d: str) -> DataFrame:
-    r = late.revisions(_sliced(spark, d))
+    r = late.revisions(pane_store(spark, d).partials())
     return r.select("event_type", F.expr("pane_start div 1000").alias("hour_start"), "revision", "events")
 
 
+def replica(spark: SparkSession, d: str) -> wal.Replica:
+    """The log applied as two batches in the order of storage, and the end of the feed."""
+    log = table(spark, d, "wal")
+    lo, hi = log.agg(F.min("id"), F.max("id")).first()
+    first = F.coalesce(F.col("id") <= ((lo or 0) + (hi or 0)) // 2, F.lit(True))
+    return wal.Replica(spark, workspace.new_dir(spark, "replica")).apply(log.where(first), 0).apply(log.where(~first), 1).close()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return wal.live_nodes(table(spark, d, "wal")).select("node_id", "clock", "origin")
+    return replica(spark, d).live().select("node_id", "clock", "origin")
 
 
 def p3_state(spark: SparkSession, d: str) -> DataFrame:
-    return wal.live_nodes(table(spark, d, "wal"))
+    return replica(spark, d).live()
 
 
 def session_table(spark: SparkSession, d: str) -> ses.SessionTable:
-    """The log applied as two batches: all but the last day of arrivals, then that day."""
-    log = table(spark, d, "analytics_log").select("id", "user_id", "session_id", "timestamp", "received_at")
-    arrival = late.arrival_millis("received_at")
-    last = log.agg(F.max(arrival)).first()[0] or 0
-    new = F.coalesce(arrival > last - ses.DAY_MS, F.lit(False))
-    return ses.SessionTable(spark, workspace.new_dir(spark, "sessions")).apply(log.where(~new)).apply(log.where(new))
+    store = ses.SessionTable(spark, workspace.new_dir(spark, "sessions"))
+    for batch in _in_batches(table(spark, d, "analytics_log").select("id", "user_id", "session_id", "timestamp", "received_at")):
+        store.apply(batch)
+    return store
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Intermediate tables go to the folder the cluster names in
 ``spark.checkpoint.dir``, which every executor can read. Only where that is
-unset (tests, a laptop) a folder of our own is made.
+unset and Spark runs in one process (tests, a laptop) a folder of our own is
+made; on a cluster without a shared folder this is an error.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; made locally only where none is set."""
+    """The folder all executors share; made locally only where none is set and there is one machine."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="mnemora-")

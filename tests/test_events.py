@@ -71,10 +71,10 @@ def test_redelivery_counts_once_by_the_earliest_arrival(spark):
 def test_windows_and_revisions_from_panes(spark):
     rows = [event("a", BASE, iso(1)), event("b", BASE + 3600, iso(3601)), event("c", BASE + 1, iso(3600 * 3)), event("d", BASE + 2, iso(3600 * 3 + 5))]
     sliced = late.slice_events(log(spark, rows))
-    w = {r.window_start: (r.at_close, r.events) for r in late.compose_windows(late.pane_counts(sliced), size_panes=2).collect()}
+    w = {r.window_start: (r.at_close, r.events) for r in late.compose_windows(late.pane_counts(late.pane_partials(sliced)), size_panes=2).collect()}
     ms = int(BASE * 1000)
     assert w == {ms - 3600000: (1, 3), ms: (2, 4), ms + 3600000: (1, 1)}
-    r = sorted((x.pane_start, x.revision, x.events) for x in late.revisions(sliced).collect())
+    r = sorted((x.pane_start, x.revision, x.events) for x in late.revisions(late.pane_partials(sliced)).collect())
     assert r == [(ms, 0, 1), (ms, 1, 3), (ms + 3600000, 0, 1)]
 
 
@@ -86,6 +86,17 @@ def test_pane_store_emits_only_touched_windows_and_survives_a_repeat(spark, tmp_
         out = [(r.window_start, r.at_close, r.events) for r in store.apply(late_row, 1).collect()]
         assert out == [(int(BASE * 1000), 1, 2)]
     assert sum(r.on_time + r.corrected for r in store.panes().collect()) == 3
+    assert sorted((r.id, r.outcome) for r in store.events().collect()) == [("a", "on_time"), ("b", "on_time"), ("c", "corrected")]
+
+
+def test_pane_store_reads_only_the_days_a_batch_touches(spark, tmp_path):
+    store = late.PaneStore(spark, f"file://{tmp_path}/panes")
+    store.apply(log(spark, [event(f"d{k}", BASE + k * 86400, iso(k * 86400 + 1)) for k in range(5)]), 0)
+    held = store._batches()["0"]
+    assert len(held["days"]) == 5
+    assert len(store._index({"0": held}, {held["days"][0]}).inputFiles()) == 1
+    assert store.apply(log(spark, [event("d0", BASE, iso(50))]), 1).count() == 0  # an id that came before changes no pane
+    assert late.PaneStore(spark, f"file://{tmp_path}/none").panes().count() == 0
 
 
 def test_empty_log(spark):
@@ -129,6 +140,16 @@ def test_sessions_in_batches_equal_sessions_at_once(spark, tmp_path, seed):
     assert got == brute_sessions(rows)
 
 
+def test_a_batch_writes_only_the_sessions_it_touches(spark, tmp_path):
+    rows = [event(f"e{k:04}", BASE + k * 7200, None, "u" + str(k % 5)) for k in range(100)]
+    table = ses.SessionTable(spark, f"file://{tmp_path}/t").apply(log(spark, rows))
+    table.apply(log(spark, [event("x1", BASE + 60, None, "u0"), event("x2", BASE + 99 * 7200 + 60, None, "u4")]))
+    assert spark.read.parquet(f"file://{tmp_path}/t/sessions-2").count() == 2
+    assert spark.read.parquet(f"file://{tmp_path}/t/gone-2").count() == 2
+    before = sorted(map(tuple, table.read().collect()))
+    assert len(before) == 100 and sorted(map(tuple, table.compact().read().collect())) == before
+
+
 def test_gap_is_inclusive_and_ties_go_by_id(spark):
     rows = [event("b", BASE, None), event("a", BASE, None), event("c", BASE + 1800, None), event("d", BASE + 3600.001, None)]
     got = ses.merge(ses.pieces(ses.actor_events(log(spark, rows)))).collect()
@@ -198,8 +219,51 @@ def test_open_feed_holds_changes_behind_a_gap(spark):
     assert wal.live_nodes(df.withColumn("node_id", F.lit("clash")).withColumn("content", F.lit(1))).count() == 5
 
 
+def test_replica_holds_gaps_and_equals_one_pass_at_the_end(spark, tmp_path):
+    rng, rows = random.Random(8), []
+    for k in range(1, 61):
+        if k in (17, 18, 40):
+            continue  # clocks that come late or never
+        op = rng.choice(["add", "update", "delete"])
+        rows.append((k, k, f"o{k % 2}", json.dumps({"op": op, "node_id": f"n{rng.randrange(6)}", "content": f"t{k}", "salience": k / 60}), None))
+    late_rows = [(900, 17, "o1", json.dumps({"op": "add", "node_id": "n1", "content": "late"}), None), (901, 18, "o0", json.dumps({"op": "delete", "node_id": "n2"}), None)]
+    r = wal.Replica(spark, f"file://{tmp_path}/replica")
+    frame = lambda x: spark.createDataFrame(x, WAL)
+    state = lambda df: {x.node_id: (x.clock, x.origin, x.content, x.salience) for x in df.collect()}
+    assert r.read().count() == 0
+    r.apply(frame(rows[:30]), 0)
+    assert r.manifest()["watermark"] == 16
+    assert state(r.live()) == brute_wal([x for x in rows if x[1] <= 16])
+    r.apply(frame(rows[:30]), 0)  # a batch that is done already
+    r.apply(frame(late_rows + rows[5:8]), 1)  # the gap closes; repeats of committed changes alter nothing
+    assert r.manifest()["watermark"] == 32
+    r.apply(frame(rows[30:]), 2)
+    assert r.manifest()["watermark"] == 39
+    assert state(r.live()) == brute_wal([x for x in rows + late_rows if x[1] <= 39])
+    r.close().compact()
+    assert state(r.live()) == brute_wal(rows + late_rows) and len(r.manifest()["parts"]) == 1
+
+
+def test_an_origin_that_lags_holds_the_watermark(spark, tmp_path):
+    add = lambda k: json.dumps({"op": "add", "node_id": f"n{k}"})
+    r = wal.Replica(spark, f"file://{tmp_path}/r").apply(spark.createDataFrame([(1, 1, "a", add(1), None), (2, 1, "b", add(2), None), (3, 2, "a", add(3), None), (4, 3, "a", add(4), None)], WAL), 0)
+    assert r.manifest()["watermark"] == 1  # b may still send clocks 2 and 3
+    assert r.apply(spark.createDataFrame([(5, 3, "b", add(5), None)], WAL), 1).manifest()["watermark"] == 3
+
+
+def test_copies_that_differ_count_as_one_of_them(spark):
+    rows = [(1, 1, "a", json.dumps({"op": "add", "node_id": "n", "content": "x", "salience": 0.1}), None), (2, 1, "a", json.dumps({"op": "add", "node_id": "n", "content": "y", "salience": 0.9}), None),
+            (3, 2, "a", json.dumps({"op": "noop", "node_id": "m"}), None), (4, 2, "a", json.dumps({"op": "add", "node_id": "m"}), None)]
+    got = {r.node_id: (r.content, r.salience) for r in wal.live_nodes(spark.createDataFrame(rows, WAL)).collect()}
+    assert got["n"] in {("x", 0.1), ("y", 0.9)} and "m" in got
+
+
 def test_watermark_stops_at_a_missing_block(spark):
     add = lambda k: json.dumps({"op": "add", "node_id": f"n{k}"})
-    for clocks, want in [((1, 2, 5, 6), 2), ((3, 4), 0), ((1, 2, 3, 4), 4), ((1, 2, 5), 2), ((1, 2, 3, 4, 7, 8, 9), 4)]:
+    for clocks, want in [((1, 2, 5, 6), 2), ((3, 4), 0), ((1, 2, 3, 4), 4), ((1, 2, 5), 2), ((1, 2, 3, 4, 7, 8, 9), 4), ((), 0)]:
         df = spark.createDataFrame([(k, k, "o", add(k), None) for k in clocks], WAL)
         assert wal.watermark(wal.parse_changes(df), block=2) == want
+        assert wal.watermark(wal.parse_changes(df.where("clock > 1")), after=1, block=2) == max(want, 1)
+    for clocks in ([*range(1, 11), *range(21, 31)], [*range(1, 11), *range(21, 26)]):
+        df = spark.createDataFrame([(k, k, "o", add(k), None) for k in clocks], WAL)
+        assert wal.watermark(wal.parse_changes(df), block=10) == 10
