@@ -47,8 +47,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora import workspace
+from mnemora.llm.markup import without_tags
 
-_TAG = re.compile(r"<[^<>]*>")
 _WORDS = re.compile(r"\w+").findall
 _SIGNATURE = "id bigint, total int, chunks array<bigint>, sizes array<int>, n int, low bigint, high bigint, prefix array<bigint>"
 _ORDER = 1 << 24
@@ -57,9 +57,7 @@ _BROADCAST_PAIRS = 200_000  # pairs up to which their ids are sent to every exec
 
 def words_of(text: str) -> list[str]:
     """Words of a text: letters, digits and ``_``, without case, accents and tags."""
-    if "<" in text:
-        text = _TAG.sub(" ", text)
-    text = text.lower()
+    text = without_tags(text).lower()
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return _WORDS(text)

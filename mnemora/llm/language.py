@@ -2,22 +2,27 @@
 
 Each language has a probability for every piece of a fixed public byte
 vocabulary. The probability of a word is the sum over all ways to cut it into
-pieces, found by the forward algorithm; a sentence's is the product over its
-words. A Viterbi pass over the sentences of a text, with a price for changing
-language, gives the stretches; the confidence of a stretch is the posterior of
-its language under equal priors.
+pieces, found by the forward algorithm for whole blocks of words at a time; a
+sentence's is the product over its words. A Viterbi pass over the sentences of
+a text, with a price for changing language, gives the stretches. A stretch that
+a model with equal probabilities for all pieces explains better, by a margin, is
+``other``: text of a language nothing was learnt of. The confidence of a stretch
+is the posterior of its language under equal priors, at a temperature set on
+fragments of sentences that were kept out of the counts, times the odds that the
+stretch is as familiar, word by word, as such sentences are.
 
 The pieces' probabilities are learnt by expectation maximisation (forward and
-backward sums) from the text's own labels. Labels are partly wrong, so sampled
-records are labelled again by the model and it is learnt once more. The sample
-is bounded: at most ``per_label`` records of each label, chosen by a hash of the
-text; the model holds at most one number per piece and language.
+backward sums) from the text's own labels, which also say what languages there
+are. Labels are partly wrong, so sampled sentences are labelled again by the
+model and it is learnt once more. The sample is bounded: at most ``per_label``
+records of each label, chosen by a hash of the text, and ``per_text`` sentences
+of each; the model holds one number per piece and language.
 
 Defined cases: null and empty texts, and texts without words of a language
 (numbers, code, links, names alone) have no stretch; unknown or missing labels
 count as missing; letters of other scripts and missing accents are learnt from
-written-over copies of the words; texts of any length are read whole; repeated
-rows give equal results; other columns stay untouched.
+written-over copies of the words; texts and words of any length are read whole;
+repeated rows give equal results; other columns stay untouched.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import base64
 import os
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,8 +42,6 @@ from pyspark.sql import functions as F
 
 from mnemora.llm import pii
 
-LANGS = ("en", "ru", "de", "es", "fr", "uk", "pt")
-
 #: Names of languages (fixed values): two letters, three letters, English.
 NAMES = {
     "en": "en eng english", "ru": "ru rus russian", "de": "de deu ger german", "es": "es spa spanish", "fr": "fr fra fre french",
@@ -52,7 +55,11 @@ LATIN = dict(zip("абвгґдеєжзиіїйклмнопрстуфхцчшщъ
 LATIN_RU = LATIN | {"г": "g", "и": "i"}
 
 SWITCH = 7.0  # nats a change of language costs
-_LONGEST = 48  # bytes of a word scored at once; longer words are scored in parts
+OTHER = "other"  # the outcome where no language learnt explains a stretch
+OTHER_WORDS = 6  # words a stretch must have to be called that
+NOVEL = 0.25  # weight of the evidence of words unknown to all languages
+MARGIN = -1.5  # nats a word by which all languages must at least fall short of equal pieces
+CLIP = 8.0  # nats a word may speak against a language, so that one odd word does not outweigh a sentence
 
 
 def vocabulary_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -61,10 +68,11 @@ def vocabulary_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
 
 
 @lru_cache(maxsize=2)
-def load_pieces(path: str, longest: int = 24) -> frozenset[bytes]:
+def load_pieces(path: str) -> frozenset[bytes]:
+    """Every piece of a vocabulary, and every single byte."""
     with open(path, "rb") as f:
         pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-    return frozenset(p for p in pieces if len(p) <= longest) | frozenset(bytes([b]) for b in range(256))
+    return frozenset(pieces) | frozenset(bytes([b]) for b in range(256))
 
 
 def label_of(c: str | Column) -> Column:
@@ -84,9 +92,9 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ][^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|\s*\n\s*|\s+/\s+")
 
 
-def sentences(text: str) -> list[list[str]]:
+def sentences(text: str, given: frozenset[str] = frozenset()) -> list[list[str]]:
     """Words of each sentence, in lower case, without personal items, code, links and tokens that hold digits."""
-    items = pii.find_items(text)
+    items = pii.find_items(text, given)
     if items:
         text = "".join(text[a:b] + " " for a, b in zip([0, *(z for _, _, z in items)], [*(a for _, a, _ in items), len(text)]))
     return [_WORD.findall(_CODE.sub(" ", s).lower()) for s in _SENTENCE.split(text)]
@@ -96,149 +104,327 @@ def sentences(text: str) -> list[list[str]]:
 
 
 class PieceModel:
-    """Piece probabilities of each language, and the sums over segmentations."""
+    """Piece probabilities of each language, and the sums over segmentations.
+
+    Pieces are found by a polynomial hash of their bytes (with their length in
+    it), in one sorted table, for whole blocks of words at a time.
+    """
 
-    def __init__(self, langs: tuple[str, ...], probs: dict[bytes, np.ndarray]):
-        self.langs, self.probs = langs, probs
-        self.longest = max(map(len, probs), default=1)
-        self._seen: dict[str, np.ndarray] = {}
+    def __init__(self, langs: tuple[str, ...], pieces: list[bytes], probs: np.ndarray, temperature: float = 1.0, margin: float = -np.inf, usual: float = np.inf, given: frozenset[str] = frozenset()):
+        self.langs, self.temperature, self.margin, self.usual, self.given = langs, temperature, margin, usual, given
+        self.longest, self.plain = max(map(len, pieces), default=1), float(np.log(max(2, len(pieces))))
+        keys = _hashes(pieces)
+        order = np.argsort(keys)
+        self.keys, self.probs, self.pieces = keys[order], np.asarray(probs, float)[order], [pieces[k] for k in order]
+        self._seen: dict[str, int] = {}
+        self._scores = np.zeros((0, self.probs.shape[1]))
 
     def __getstate__(self):
-        return {"langs": self.langs, "probs": self.probs, "longest": self.longest, "_seen": {}}
-
-    def forward(self, w: bytes) -> np.ndarray:
-        """alpha[j]: summed probability, per language, of all segmentations of the first j bytes."""
-        get, n = self.probs.get, len(w)
-        alpha = np.zeros((n + 1, len(self.langs)))
-        alpha[0] = 1.0
-        for i in range(n):
-            a = alpha[i]
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = get(w[i:j])
-                if p is not None:
-                    alpha[j] += a * p
-        return alpha
-
-    def word(self, w: str) -> np.ndarray:
-        """Log probabilities of a word, per language."""
-        s = self._seen.get(w)
-        if s is None:
-            b = (" " + w).encode("utf-8", "replace")
-            s = sum(np.log(self.forward(b[k : k + _LONGEST])[-1] + 1e-300) for k in range(0, len(b), _LONGEST))
-            if len(self._seen) > 200_000:
-                self._seen.clear()
-            self._seen[w] = s
-        return s
-
-    def score(self, words: list[str]) -> np.ndarray:
-        s = np.zeros(len(self.langs))
-        for w in words:
-            s = s + self.word(w)
-        return s
-
-    def stretches(self, text: str | None, min_words: int = 2) -> list[tuple[str, float]]:
-        """(language, confidence) of each longest run of sentences in one language, in text order."""
-        parts = [p for p in sentences(text or "") if p]
-        if sum(len(w) > 1 for p in parts for w in p) < min_words:
-            return []
+        return self.__dict__ | {"_seen": {}, "_scores": np.zeros((0, self.probs.shape[1])), "pieces": None}
+
+    def _hits(self, prefix: np.ndarray, rows: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, length, piece) of the pieces that end before byte j, by row."""
+        length = np.arange(1, min(j, self.longest) + 1)
+        h = (prefix[rows, j][:, None] - prefix[rows[:, None], j - length[None, :]] * _POWERS(length)[None, :]) * _MIX + length.astype(np.uint64)[None, :]
+        at = np.minimum(np.searchsorted(self.keys, h.ravel()), len(self.keys) - 1).reshape(h.shape)
+        r, k = np.nonzero(self.keys[at] == h)
+        return rows[r], length[k], at[r, k]
+
+    def forward(self, raw: list[bytes]) -> np.ndarray:
+        """Log of the summed probability, per language, of all segmentations of each byte string.
+
+        The sums are scaled per row and language as they go, so strings of any
+        length are summed whole.
+        """
+        size, out = np.fromiter(map(len, raw), np.int64, len(raw)), np.zeros((len(raw), self.probs.shape[1]))
+        for block in _blocks(size):
+            n, prefix = size[block], _prefix_hashes([raw[k] for k in block])
+            alpha = np.zeros((len(block), prefix.shape[1], self.probs.shape[1]))
+            alpha[:, 0] = 1.0
+            scale = np.zeros((len(block), self.probs.shape[1]))
+            for j in range(1, prefix.shape[1]):
+                row, length, piece = self._hits(prefix, np.flatnonzero(n >= j), j)
+                if len(row):
+                    part = alpha[row, j - length] * self.probs[piece]
+                    first = np.flatnonzero(np.diff(row, prepend=-1))
+                    alpha[row[first], j] = np.add.reduceat(part, first, axis=0)
+                if j % 16 == 0:
+                    window = alpha[:, max(0, j + 1 - self.longest) : j + 1]
+                    top = np.maximum(window.max(axis=1), 1e-290)
+                    window /= top[:, None]
+                    scale += np.log(top)
+                done = np.flatnonzero(n == j)
+                if len(done):
+                    out[block[done]] = np.log(np.maximum(alpha[done, j], 1e-300)) + scale[done]
+        return out
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of words, per language; those met before are looked up."""
+        if len(self._seen) > 300_000:
+            self._seen, self._scores = {}, self._scores[:0]
+        new = [w for w in dict.fromkeys(words) if w not in self._seen]
+        if new:
+            n = len(self._seen)
+            self._seen.update(zip(new, range(n, n + len(new))))
+            if len(self._scores) < n + len(new):
+                self._scores = np.concatenate([self._scores[:n], np.zeros((max(n, len(new)), self.probs.shape[1]))])
+            scores = self.forward([_bytes_of(w) for w in new])
+            known = scores[:, : len(self.langs)]
+            best = known.max(axis=1, keepdims=True)
+            # what is less likely than two pieces of an equal share is a name or a word nobody has learnt: weak evidence
+            known[:] = np.where(best < -2 * self.plain, best - NOVEL * (best - known), known)
+            np.maximum(known, best - CLIP, out=known)
+            self._scores[n : n + len(new)] = scores
+        return self._scores[[self._seen[w] for w in words]]
+
+    def sentences(self, sentences: list[list[str]]) -> np.ndarray:
+        """Summed log probabilities of the words of each sentence; no sentence may be empty."""
+        if not sentences:
+            return np.zeros((0, self.probs.shape[1]))
+        starts = np.cumsum([0, *map(len, sentences)])[:-1]
+        return np.add.reduceat(self.words([w for s in sentences for w in s]), starts, axis=0)
+
+    def stretches(self, texts: list[str | None], min_words: int = 2) -> list[list[tuple[str, float]]]:
+        """For each text (language, confidence) of each longest run of sentences in one language, in text order."""
+        parts = [[p for p in sentences(t or "", self.given) if p] for t in texts]
+        parts = [p if sum(len(w) > 1 for x in p for w in x) >= min_words else [] for p in parts]
+        flat = self.sentences([x for p in parts for x in p])
+        out, at = [], 0
+        for p in parts:
+            out.append(self._runs(flat[at : at + len(p)], [len(x) for x in p]) if p else [])
+            at += len(p)
+        return out
+
+    def _runs(self, scores: np.ndarray, words: list[int]) -> list[tuple[str, float]]:
+        known = scores[:, : len(self.langs)]
         # a lone word is weak evidence, often a name: it can't change the language by itself
-        scores = [self.score(p) if len(p) > 1 else 0.3 * self.score(p) for p in parts]
-        best, back = scores[0], []
-        for s in scores[1:]:
-            k = int(best.argmax())
-            stay = best >= best[k] - SWITCH
-            back.append(np.where(stay, np.arange(len(best)), k))
-            best = np.where(stay, best, best[k] - SWITCH) + s
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        path.reverse()
-        runs: list[tuple[int, np.ndarray]] = []
-        for k, s in zip(path, scores):
-            if runs and runs[-1][0] == k:
-                runs[-1] = (k, runs[-1][1] + s)
-            else:
-                runs.append((k, s))
-        return [(self.langs[k], float(1.0 / np.exp(np.clip(s - s[k], -700, 700)).sum())) for k, s in runs]
-
-
-def _variants(word: str, lang: str) -> set[str]:
+        weight = np.where(np.array(words) > 1, 1.0, 0.3)
+        rows = (known * weight[:, None]).tolist()
+        path = [int(np.argmax(known[0]))] if len(rows) == 1 else _viterbi(rows)
+        out: list[tuple[str, float]] = []
+        a = 0
+        for z in range(1, len(path) + 1):
+            if z == len(path) or path[z] != path[a]:
+                found = self._judge(path[a], (scores[a:z] * weight[a:z, None]).sum(0), float(np.dot(words[a:z], weight[a:z])))
+                if out and out[-1][0] == found[0]:  # stretches of unknown languages side by side
+                    found = (found[0], max(out.pop()[1], found[1]))
+                out.append(found)
+                a = z
+        return out
+
+    def _judge(self, k: int, s: np.ndarray, words: float) -> tuple[str, float]:
+        """A stretch's language with its confidence, or ``other`` where no language explains its words."""
+        known = s[: len(self.langs)]
+        if self.probs.shape[1] > len(self.langs) and words >= OTHER_WORDS:
+            lack = self.margin * words - (known[k] - s[-1])
+            if lack > 0:
+                return OTHER, float(1.0 / (1.0 + np.exp(-min(lack / self.temperature, 700.0))))
+        sure = 1.0 / np.exp(np.clip((known - known[k]) / self.temperature, -700, 700)).sum()
+        if self.probs.shape[1] > len(self.langs) and np.isfinite(self.usual):
+            lead = (known[k] - s[-1]) / max(words, 1.0) / self.usual
+            sure /= 1.0 + np.exp(np.clip(6.0 * (0.5 - lead), -700, 700))
+        return self.langs[k], float(sure)
+
+    def expect(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """Expected counts of the pieces, per language, over all segmentations of words met ``counts`` times: one E-step."""
+        raw = [_bytes_of(w) for w in words]
+        size, langs = np.fromiter(map(len, raw), np.int64, len(raw)), self.probs.shape[1]
+        total = np.zeros(self.probs.shape)
+        lift = np.exp(2.5)  # per byte, so that products of many small probabilities stay in range
+        for block in _blocks(size):
+            n, prefix = size[block], _prefix_hashes([raw[k] for k in block])
+            alpha = np.zeros((len(block), prefix.shape[1], langs))
+            alpha[:, 0] = 1.0
+            hits = []
+            for j in range(1, prefix.shape[1]):
+                row, length, piece = self._hits(prefix, np.flatnonzero(n >= j), j)
+                p = self.probs[piece] * (lift**length)[:, None]
+                hits.append((row, j - length, piece, p))
+                if len(row):
+                    first = np.flatnonzero(np.diff(row, prepend=-1))
+                    alpha[row[first], j] = np.add.reduceat(alpha[row, j - length] * p, first, axis=0)
+            whole = alpha[np.arange(len(block)), n]
+            share = np.where(whole > 0, counts[block] / np.where(whole > 0, whole, 1.0), 0.0)
+            beta = np.zeros_like(alpha)
+            beta[np.arange(len(block)), n] = 1.0
+            for j in range(prefix.shape[1] - 1, 0, -1):
+                row, i, piece, p = hits[j - 1]
+                if len(row):
+                    ends = p * beta[row, j]
+                    beta[row, i] += ends  # (row, i) occurs once for each j
+                    gamma = alpha[row, i] * ends * share[row]
+                    for k in range(langs):
+                        total[:, k] += np.bincount(piece, gamma[:, k], len(total))
+        return np.nan_to_num(total, posinf=0.0)
+
+
+def _bytes_of(word: str) -> bytes:
+    return (" " + word).encode("utf-8", "replace")
+
+
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+@lru_cache(maxsize=1)
+def _power_table() -> np.ndarray:
+    return np.cumprod(np.full(4096, _BASE, np.uint64), dtype=np.uint64)
+
+
+def _POWERS(length: np.ndarray) -> np.ndarray:
+    return _power_table()[length - 1]
+
+
+def _prefix_hashes(raw: list[bytes]) -> np.ndarray:
+    """(strings, bytes + 1): hash of each prefix."""
+    width = max(map(len, raw))
+    m = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(len(raw), width).astype(np.uint64) + np.uint64(1)
+    out = np.zeros((len(raw), width + 1), np.uint64)
+    for j in range(width):
+        out[:, j + 1] = out[:, j] * _BASE + m[:, j]
+    return out
+
+
+def _hashes(pieces: list[bytes]) -> np.ndarray:
+    size = np.array([len(p) for p in pieces], np.int64)
+    out = np.zeros(len(pieces), np.uint64)
+    for block in _blocks(size):
+        out[block] = _prefix_hashes([pieces[k] for k in block])[np.arange(len(block)), size[block]] * _MIX + size[block].astype(np.uint64)
+    return out
+
+
+def _blocks(size: np.ndarray, cells: int = 120_000) -> Iterator[np.ndarray]:
+    """Indices of strings of like length, few enough for a matrix."""
+    order = np.argsort(size, kind="stable")
+    a = 0
+    while a < len(order):
+        least = size[order[a]]
+        z = int(np.searchsorted(size[order], max(least + 2, least * 5 // 4), side="right"))
+        z = max(a + 1, min(z, a + cells // max(1, int(size[order[z - 1]]))))
+        yield order[a:z]
+        a = z
+
+
+def _viterbi(rows: list[list[float]]) -> list[int]:
+    """The best language of each sentence, a change costing ``SWITCH``."""
+    best, back, langs = rows[0], [], range(len(rows[0]))
+    for s in rows[1:]:
+        k = max(langs, key=best.__getitem__)
+        bar = best[k] - SWITCH
+        back.append([i if best[i] >= bar else k for i in langs])
+        best = [max(x, bar) + y for x, y in zip(best, s)]
+    path = [max(langs, key=best.__getitem__)]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    return path[::-1]
+
+
+def _variants(word: str) -> set[str]:
+    """The word without accents, and Cyrillic in Latin letters by two customs."""
     bare = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
-    table = LATIN_RU if lang == "ru" else LATIN
-    return {bare, "".join(table.get(c, c) for c in word)} - {word}
-
-
-def _expect(model: PieceModel, counts: dict[str, np.ndarray]) -> dict[bytes, np.ndarray]:
-    """Expected counts of the pieces over all segmentations of the words: one E-step for all languages at once."""
-    total: dict[bytes, np.ndarray] = defaultdict(lambda: np.zeros(len(model.langs)))
-    get, longest = model.probs.get, model.longest
-    for word, c in counts.items():
-        w = (" " + word).encode("utf-8", "replace")[:_LONGEST]
-        alpha, n = model.forward(w), len(w)
-        beta = np.zeros_like(alpha)
-        beta[n] = 1.0
-        hits = []
-        for i in range(n - 1, -1, -1):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = get(w[i:j])
-                if p is not None:
-                    beta[i] += p * beta[j]
-                    hits.append((i, j, p))
-        scale = c / np.maximum(alpha[n], 1e-300)
-        for i, j, p in hits:
-            total[w[i:j]] += alpha[i] * p * beta[j] * scale
-    return total
-
-
-def _maximise(total: dict[bytes, np.ndarray], pieces: frozenset[bytes], langs: tuple[str, ...]) -> PieceModel:
-    """Mixture of a language's own estimate, the mean over languages and a floor for single bytes."""
-    n = np.maximum(sum(total.values()), 1e-9)
-    probs = {}
-    floor = 1e-4 / 256
-    for piece in set(total) | {bytes([b]) for b in range(256)}:
-        own = total[piece] / n if piece in total else np.zeros(len(langs))
-        p = 0.97 * own + 0.03 * own.mean() + (floor if len(piece) == 1 else 0.0)
-        if p.max() > 1e-8:
-            probs[piece] = p
-    return PieceModel(langs, probs)
-
-
-def learn(samples: list[tuple[str, str]], pieces: frozenset[bytes], langs: tuple[str, ...] = LANGS, rounds: int = 2) -> PieceModel:
-    """Model from (label, text) pairs whose labels are mostly right."""
-    texts = [(lang, sentences(t)) for lang, t in samples]
+    return {bare, *("".join(table.get(c, c) for c in word) for table in (LATIN, LATIN_RU))} - {word}
+
+
+def _maximise(total: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+    """Mixture of a language's own estimate, the mean over languages and an equal share for every piece, so that no word is impossible in a language."""
+    own = total / np.maximum(total.sum(0), 1e-9)
+    return 0.975 * own + 0.005 * own.mean(1, keepdims=True) + 0.02 / len(pieces)
+
+
+def learn(samples: list[tuple[str, list[list[str]]]], pieces: frozenset[bytes], rounds: int = 2, langs: tuple[str, ...] | None = None, seed: int = 7) -> PieceModel:
+    """Model from (label, sentences) of texts whose labels are mostly right.
+
+    A fifth of the texts takes no part in the counts; on their sentences the
+    temperature of the confidence and the margin to ``other`` are set.
+    """
+    samples = [(lang, [p for p in parts if p]) for lang, parts in samples]
+    langs = langs or tuple(sorted({lang for lang, _ in samples}))
+    every = sorted(pieces)
     at = {lang: k for k, lang in enumerate(langs)}
-    labelled = [(at[lang], [w for p in parts for w in p]) for lang, parts in texts if lang in at]
-    model = None
+    rng = np.random.default_rng(seed)
+    kept_out = rng.random(len(samples)) < (0.2 if len(samples) >= 100 else 0.0)
+    texts = [x for x, out in zip(samples, kept_out) if not out and x[0] in at]
+    labelled = [(at[lang], p) for lang, parts in texts for p in parts]
+    model = PieceModel(langs, every, np.full((len(every), len(langs)), 1.0 / len(every)))
     for r in range(rounds + 1):
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
         for k, words in labelled:
-            for w, n in Counter(words).items():
-                counts[w][k] += n
-        for w in [w for w, c in counts.items() if c.sum() < 2]:
-            del counts[w]
-        for w, c in list(counts.items()):
-            for k in np.flatnonzero(c):
-                for v in _variants(w, langs[k]):
-                    counts[v][k] += 0.05 * c[k]
-        start = model or PieceModel(langs, {p: np.full(len(langs), 1.0 / len(pieces)) for p in pieces})
-        model = _maximise(_expect(start, counts), pieces, langs)
+            for w in words:
+                counts[w][k] += 1
+        counts = {w: c for w, c in counts.items() if c.sum() >= 2}
+        weighted: dict[str, np.ndarray] = {w: c.copy() for w, c in counts.items()}
+        for w, c in counts.items():
+            for v in _variants(w):
+                weighted[v] = weighted.get(v, 0.0) + 0.05 * c
+        total = model.expect(list(weighted), np.array(list(weighted.values())).reshape(-1, len(langs)))
+        model = PieceModel(langs, model.pieces, _maximise(total, model.pieces))
         if r < rounds:  # label the sentences again
-            labelled = [(int(model.score(p).argmax()), p) for _, parts in texts for p in parts if len(p) > 2]
-    return model
+            long = [p for _, parts in texts for p in parts if len(p) > 2]
+            labelled = list(zip(model.sentences(long).argmax(1).tolist(), long))
+    held = [(at[lang], p) for (lang, parts), out in zip(samples, kept_out) if lang in at and (out or not kept_out.any()) for p in parts]
+    return _finish(model, held, rng)
 
 
-def fit(labelled: DataFrame, *, lang: str = "lang", text: str = "text", per_label: int = 1200, path: str | None = None) -> PieceModel:
+def _finish(model: PieceModel, held: list[tuple[int, list[str]]], rng: np.random.Generator) -> PieceModel:
+    """Add the outcome ``other`` and set the temperature and the margin on sentences kept out of the counts.
+
+    ``other`` gives every piece of the vocabulary the same probability. The
+    margin, in nats a word, is what nearly all sentences of known languages have
+    over it. The temperature is that under which fragments of a few words, cut
+    out of sentences whose label and language agree, are most likely to be told
+    the language of the whole sentence.
+    """
+    langs = len(model.langs)
+    plain = np.full((len(model.pieces), 1), 1.0 / len(model.pieces))
+    full = PieceModel(model.langs, model.pieces, np.concatenate([model.probs, plain], axis=1))
+    whole = [p for _, p in held if len(p) >= OTHER_WORDS]
+    if whole:
+        s = full.sentences(whole)
+        lead = (s[:, :langs].max(1) - s[:, -1]) / np.array([len(p) for p in whole])
+        full.margin = float(min(np.quantile(lead, 0.002) - 0.5, MARGIN))
+        full.usual = float(max(np.quantile(lead, 0.01), 0.5))
+        agreed = [(int(k), p) for (k, p), row in zip([x for x in held if len(x[1]) >= OTHER_WORDS], s) if int(row[:langs].argmax()) == k]
+        pieces_, truth = [], []
+        for k, p in agreed:
+            n = int(rng.integers(1, 4))
+            a = int(rng.integers(0, len(p) - n + 1))
+            pieces_.append(p[a : a + n])
+            truth.append(k)
+        if pieces_:
+            known = full.sentences(pieces_)[:, :langs]
+            loss = lambda t: float(np.mean(np.log(np.exp(np.clip((known - known[np.arange(len(truth)), truth][:, None]) / t, -60, 60)).sum(1))))
+            full.temperature = min((1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0), key=loss)
+    return full
+
+
+def fit(
+    labelled: DataFrame, *, lang: str = "lang", text: str = "text", per_label: int = 1200, per_text: int = 64, least_share: float = 0.002, path: str | None = None
+) -> PieceModel:
     """Learn from a bounded sample of labelled rows: about ``per_label`` of each label, chosen by a hash of the text.
 
-    The sample is the only thing that reaches the driver; ``per_label`` bounds
-    it whatever the input's size.
+    Languages are those of the labels present that have at least ``least_share``
+    of the labelled rows. The sentences of the chosen texts, of a text at most
+    ``per_text`` spread over its length, are all that reaches the driver. Given
+    names are learnt from all rows, so that persons count for no language.
     """
-    rows = labelled.select(label_of(lang).alias("l"), F.substring(text, 1, 4000).alias("t")).where(F.col("l").isin(*LANGS) & (F.length("t") > 20))
-    sizes = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
+    given = pii.learn_given(labelled, text)
+    rows = labelled.select(label_of(lang).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull() & (F.length("t") > 20))
+    sizes = {r.l: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(200).collect()}
+    sizes = {k: n for k, n in sizes.items() if n >= least_share * sum(sizes.values())}
     share = F.create_map(*(F.lit(x) for k, n in (sizes or {"en": 1}).items() for x in (k, min(1.0, per_label / n))))
-    chosen = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.element_at(share, F.col("l")) * 1_000_000)
-    sample = sorted((r.l, r.t) for r in chosen.collect())
-    return learn(sample, load_pieces(path or vocabulary_path()))
+    chosen = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.try_element_at(share, F.col("l")) * 1_000_000)
+
+    @F.pandas_udf("array<array<string>>")
+    def cut(s: pd.Series) -> pd.Series:
+        def some(t: str) -> list[list[str]]:
+            parts = [p for p in sentences(t, given) if p]
+            return [parts[int(k)] for k in np.linspace(0, len(parts) - 1, per_text)] if len(parts) > per_text else parts
+
+        return s.map(some)
+
+    sample = sorted((r.l, [list(p) for p in r.s]) for r in chosen.select("l", cut("t").alias("s")).collect())
+    model = learn(sample, load_pieces(path or vocabulary_path()), langs=tuple(sizes) or None)
+    model.given = given
+    return model
 
 
 def find_stretches(df: DataFrame, text: str, model: PieceModel) -> DataFrame:
@@ -249,7 +435,9 @@ def find_stretches(df: DataFrame, text: str, model: PieceModel) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = held.value
         for s in batches:
-            yield pd.Series([[{"seg": k + 1, "lang": lang, "confidence": c} for k, (lang, c) in enumerate(m.stretches(t))] for t in s])
+            texts = s.tolist()
+            out = [x for k in range(0, len(texts), 2000) for x in m.stretches(texts[k : k + 2000])]  # bounds the memory of long texts
+            yield pd.Series([[{"seg": k + 1, "lang": lang, "confidence": c} for k, (lang, c) in enumerate(x)] for x in out])
 
     return df.withColumn("stretches", run(text))
 

@@ -18,8 +18,10 @@ Documents are read once and stay where they are; items are sent to the
 executors in blocks of at most ``block_windows`` windows, each block a pass, so
 what is broadcast is bounded whatever the number of items.
 
-Defined cases: null and empty texts and items hold nothing; items of fewer than
-``min_words`` words are not searched; equal rows give equal results; very long
+Of items of under ten words no word of a half may be replaced; a document must
+hold half of such an item exactly.
+
+Defined cases: null and empty texts and items hold nothing; equal rows give equal results; very long
 texts are read whole; other columns are ignored.
 """
 
@@ -34,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_TAG = re.compile(r"<[^<>]*>")
+from mnemora.llm.markup import without_tags
+
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _BREAK = re.compile(r"\\[nrt]|&(?:nbsp|amp|lt|gt|quot|#\d+);")
 _MARK = re.compile(r"[\W_]+")
@@ -46,9 +49,7 @@ def words_of(text: str | None) -> list[str]:
         return []
     if "\\u" in text:
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text)
-    if "<" in text:
-        text = _TAG.sub(" ", text)
-    text = _BREAK.sub(" ", text).casefold()
+    text = _BREAK.sub(" ", without_tags(text)).casefold()
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return [w for w in (_MARK.sub("", t) for t in text.split()) if w]
@@ -106,6 +107,7 @@ class Items:
     def __init__(self, items: list[tuple[int, list[str]]], *, part: float, noise: int, sizes: tuple[int, ...], radius: int, bar: float = 0.74):
         import xxhash
 
+        self.noise = noise
         self.floor, self.ids, self.words = bar * part, [k for k, _ in items], [w for _, w in items]
         groups: dict[int, list[int]] = {}
         self.least = []
@@ -171,7 +173,7 @@ class Items:
         """Whether a stretch along the diagonal holds enough of the item's words, equal by ``floor`` of their weight."""
         stretch = self.stretch(doc, item, diagonal, drift, floor)
         # strange words near a quote's ends cut the heaviest stretch short, so the bar lies under ``part``
-        return stretch >= self.floor * len(item)
+        return stretch >= (self.floor * len(item) if len(item) >= self.noise else -(-len(item) // 2))
 
     @staticmethod
     def stretch(doc: list[str], item: list[str], diagonal: int, drift: int = 4, floor: float = 0.65) -> int:
@@ -196,7 +198,7 @@ class Items:
 
 def find_leaks(
     documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "context",
-    part: float = 0.5, noise: int = 10, sizes: tuple[int, ...] = (3, 4, 6, 8), radius: int = 3, min_words: int = 8, block_windows: int = 200_000,
+    part: float = 0.5, noise: int = 10, sizes: tuple[int, ...] = (1, 2, 3, 4, 6, 8), radius: int = 3, block_windows: int = 200_000,
 ) -> DataFrame:
     """(document key, item key) of every document that holds at least ``part`` of an item in one stretch."""
     spark = documents.sparkSession
@@ -204,7 +206,7 @@ def find_leaks(
     blocks, block, size = [], [], 0
     for r in items.select(item_key, item_text).toLocalIterator():
         words = words_of(r[1])
-        if len(words) >= min_words:
+        if words:
             block.append((r[0], words))
             size += len(words)
         if size >= block_windows:

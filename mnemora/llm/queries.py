@@ -17,12 +17,14 @@ def _personal_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    items = pii.find_pii(spread(_personal_texts(spark, d)), "content", ["rec_table", "rec_id"])
+    texts = spread(_personal_texts(spark, d))
+    items = pii.find_pii(texts, "content", ["rec_table", "rec_id"], pii.learn_given(texts, "content"))
     return items.select("rec_table", "rec_id", "kind", "start_pos").distinct()
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(spread(_personal_texts(spark, d)), "content").distinct()
+    texts = spread(_personal_texts(spark, d))
+    return pii.redact(texts, "content", pii.learn_given(texts, "content")).distinct()
 
 
 def _speech(spark: SparkSession, d: str) -> DataFrame:
@@ -32,8 +34,8 @@ def _speech(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stretches(spark: SparkSession, d: str) -> DataFrame:
-    rows = _speech(spark, d)
-    return language.find_stretches(spread(rows), "text", language.fit(rows))
+    rows = spread(_speech(spark, d))
+    return language.find_stretches(rows, "text", language.fit(rows))
 
 
 def _segments(found: DataFrame) -> DataFrame:

@@ -1,11 +1,10 @@
 """Encoding with a public byte-level vocabulary, in length-bucketed padded matrices.
 
 Pre-tokens of a batch are made unique and put into matrices by length class.
-In every round each row merges its leftmost pair of least rank, found by a
-hashed lookup of all neighbouring pairs at once; merged rows are compacted to
-the left and finished rows leave the matrix. A row longer than ``long`` bytes
-merges all occurrences of its least pair in a round instead of the leftmost,
-which gives the same tokens as no merge makes a pair of lower rank.
+In every round each row merges its leftmost pair of least rank, and with it the
+further occurrences of that same pair, which would come next as no merge makes
+a pair of lower rank. Pairs are found by a hashed lookup of all neighbours at
+once; merged rows are compacted to the left and finished rows leave the matrix.
 
 Defined cases: null and empty texts give an empty list; text that looks like a
 special token is ordinary text; texts are encoded whole, whatever their length;
@@ -89,7 +88,7 @@ class PairTable:
 class Encoder:
     """Byte-level pair encoding of many pre-tokens at once."""
 
-    def __init__(self, path: str, long: int = 128):
+    def __init__(self, path: str):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -102,7 +101,7 @@ class Encoder:
         for letter, b in byte_letters().items():
             self.bytes[b] = vocab[letter]
         self.split = regex.compile(PATTERN).findall
-        self.long, self.known = long, {}
+        self.known = {}
 
     def _ranks(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slot = self.table.find(m[:, :-1], m[:, 1:])
@@ -110,62 +109,49 @@ class Encoder:
         return rank, slot
 
     def _rows(self, m: np.ndarray) -> np.ndarray:
-        """Encode a matrix of byte ids, padded with -1, in place."""
-        live = np.arange(len(m))
-        cols = np.arange(m.shape[1] - 1)
-        work = m
+        """Encode a matrix of byte ids, padded with -1; in place."""
+        live, work = np.arange(len(m)), m
         while len(live) and work.shape[1] > 1:
             rank, slot = self._ranks(work)
-            at = rank.argmin(axis=1)  # the leftmost of the least
-            row = np.arange(len(work))
-            go = rank[row, at] != _NONE
+            least = rank.min(axis=1)
+            go = least != _NONE
             if not go.all():
                 m[live[~go], : work.shape[1]] = work[~go]
                 m[live[~go], work.shape[1] :] = -1
-                live, work, at, slot = live[go], work[go], at[go], slot[go]
-                row = np.arange(len(work))
-            if not len(live):
-                break
-            new = self.table.merged[slot[row, at]]
-            cols = np.arange(work.shape[1] - 1)
-            shifted = np.where(cols[None, :] > at[:, None], work[:, 1:], work[:, :-1])
-            shifted[row, at] = new
-            work = shifted  # one column narrower: each row has lost one token
+                live, work, rank, slot, least = live[go], work[go], rank[go], slot[go], least[go]
+                if not len(live):
+                    break
+            hit = rank == least[:, None]
+            # of touching occurrences (as in "aaa") every second one, from the left
+            cols = np.arange(hit.shape[1])[None, :]
+            hit &= (cols - np.maximum.accumulate(np.where(hit, -1, cols), axis=1)) % 2 == 1
+            work = work.copy()
+            row, col = np.nonzero(hit)
+            work[row, col] = self.table.merged[slot[row, col]]
+            keep = work >= 0
+            keep[row, col + 1] = False
+            place = np.cumsum(keep, axis=1)
+            narrow = np.full((len(work), int(place[:, -1].max())), -1, np.int32)
+            row, col = np.nonzero(keep)
+            narrow[row, place[row, col] - 1] = work[row, col]
+            work = narrow
         if len(live):
             m[live, : work.shape[1]] = work
             m[live, work.shape[1] :] = -1
         return m
 
-    def _long(self, ids: np.ndarray) -> np.ndarray:
-        while len(ids) > 1:
-            rank, slot = (x[0] for x in self._ranks(ids[None, :]))
-            least = rank.min()
-            if least == _NONE:
-                break
-            hit = rank == least
-            # of touching occurrences (as in "aaa") every second one, from the left
-            run = np.arange(len(hit)) - np.maximum.accumulate(np.where(hit, -1, np.arange(len(hit))))
-            hit &= run % 2 == 1
-            at = np.flatnonzero(hit)
-            ids = ids.copy()
-            ids[at] = self.table.merged[slot[at]]
-            ids = np.delete(ids, at + 1)
-        return ids
-
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known yet."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
-        for k in np.flatnonzero(size > self.long):
-            self.known[words[k]] = self._long(self.bytes[np.frombuffer(raw[k], np.uint8)]).tolist()
-        width = 1
-        lower = 0
-        while lower < self.long:
-            some = np.flatnonzero((size > lower) & (size <= min(width, self.long)))
-            for part in np.array_split(some, max(1, len(some) * width // 2_000_000 + 1)) if len(some) else ():
-                m = np.full((len(part), width), -1, np.int32)
+        width, lower = 1, 0
+        while lower < size.max(initial=0):
+            some = np.flatnonzero((size > lower) & (size <= width))
+            for part in np.array_split(some, len(some) * width // 2_000_000 + 1) if len(some) else ():
+                wide = int(size[part].max(initial=1))
+                m = np.full((len(part), wide), -1, np.int32)
                 flat = self.bytes[np.frombuffer(b"".join(raw[k] for k in part), np.uint8)]
-                m[np.arange(width)[None, :] < size[part][:, None]] = flat
+                m[np.arange(wide)[None, :] < size[part][:, None]] = flat
                 for k, ids in zip(part, self._rows(m)):
                     self.known[words[k]] = ids[ids >= 0].tolist()
             lower, width = width, width * 2

@@ -7,10 +7,12 @@ digits for letters, drawn-out, spaced or masked letters. One set of per-
 coordinate rates serves three outputs; L1 keeps the weights few, so that they
 are sent to the executors as pairs of index and weight.
 
-The ratings say that a document is toxic, not where or of what kind. Sentences
-of toxic documents begin as examples of the kind whose seed words they hold,
-all sentences of documents rated harmless are counter-examples, those with seed
-words included; a second fit takes its examples from the first one's scores.
+The ratings say that a document is toxic, not where or of what kind. Where is
+learnt first: all sentences of toxic documents are weak examples against those
+of harmless ones, then only the worst of each document are examples. Of what
+kind is begun with a few general stems that name the kinds and carried on by
+what sentences have in common with the named ones. Sentences of harmless
+documents are counter-examples, those with such stems included.
 The fit uses a bounded sample: at most ``max_rated`` rated documents, chosen by
 a hash of their ids. Scores and rates cover every row.
 
@@ -31,32 +33,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemora.llm.markup import without_tags
+
 KINDS = ("abusive", "hateful", "sexual")
 
-#: Seed words of the kinds, in several languages (fixed values).
-SEEDS = {
+#: Stems of a small general vocabulary that names the kinds (fixed values). What is toxic comes from the ratings alone.
+PRIOR = {
     "abusive": (
-        "idiot moron cretin imbecile dimwit clown loser scumbag trash garbage stupid dumb dumbest brainless pathetic worthless stinking bastard "
-        "vollidiot trottel dummkopf abschaum verrecke klappe widerlicher wertloser erbärmlicher arschloch "
-        "идиот кретин придурок урод болван дурак тупой мусор сдохни заткнись убирайся проваливай жалкий конченый сломаю ідіот дурень "
-        "idiota imbécil payaso basura estúpido pudras romper estúpida lixo cala imbécile crétin abruti minable ordure crever ferme "
-        "choke bleed smash vanished breathing disappear schlage casser"
+        "idiot moron stupid dumb imbecil loser worthless pathetic bastard asshole bitch scum shut kill "
+        "dumm trottel arschloch schlampe abschaum maul umbring "
+        "идиот кретин дурак дура тупой тупая тупиц придур урод ублюд заткн сдохн убью убить ненавижу ідіот дурень тупий "
+        "estúpid tonto tonta payas basura cállate matar muérete crétin abruti stupide connard salaud ordure tuer crève burro lixo cala"
     ),
     "hateful": (
-        "vermin parasites rats animals filth criminals thieves breed immigrants subhuman disease humans "
-        "ungeziefer parasiten ratten vertrieben eingesperrt verbrecher klasse "
-        "паразиты животных клетки крысы паразити заслуживают преступники "
-        "plaga parásitos ratas inferior criminales decente merecen vermine bêtes inférieure criminels chasser nuisibles méritent race raza anständigen deserve"
+        "vermin parasit subhuman inferior immigrant foreigner deport race animals rats disease crimin thieves "
+        "ungeziefer untermensch ausländer rasse ratten abschieb verbrech "
+        "паразит недочелов чужак мигрант раса крысы животн нелюд преступ тварин щури злочин "
+        "parásit plaga raza ratas inmigrante extranjer vermine étranger nuisible bêtes praga raça imigrante estrangeir"
     ),
     "sexual": (
-        "sex naked nude porn xxx orgasm breasts undressed undress panting aroused lust moaned moaning horny underwear thighs fondled strips "
-        "nackt nacktbilder porno pornos orgasmus brüste stöhnte секс секса голые порно оргазма раздевала раздевается грубым страсти грудь "
-        "sexo desnuda desnudas desnudos desnudó orgasmo pechos placer sexe nus orgasme seins plaisir déshabille nua nudez"
+        "sex naked nude porn erotic orgasm breast horny lust undress fondl thigh penis vagina "
+        "nackt erotisch brüste "
+        "секс голая голые голой порно эротик оргазм грудь гола оголен "
+        "desnud pechos erótic nus seins érotique nudez pelad seios"
     ),
 }
 
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
-_TAG = re.compile(r"<[^<>]*>")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)\]}]*\s+|[\n\r\t]+|\\[nrt]|\"\s*[:,}\]]+\s*\"?|[{\[]+\s*\"")
 _SPACED = re.compile(r"(?<!\w)(?:\w ){2,}\w(?!\w)")
 _TOKEN = re.compile(r"[^\W_$@*]*[\w$@*][\w$@*’']*")
@@ -93,9 +96,7 @@ class _Words:
     def sentences(self, text: str | None, longest: int = 40) -> list[list[str]]:
         if not text:
             return []
-        if "<" in text:
-            text = _TAG.sub("\n", text)
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", without_tags(text, "\n"))).lower()
         out = []
         if len(self.known) > 300_000:
             self.known.clear()
@@ -117,8 +118,10 @@ class _Words:
         return out
 
 
-def _seed_sets() -> list[set[str]]:
-    return [{_plain(w) for w in SEEDS[k].split()} for k in KINDS]
+def _prior() -> list[re.Pattern]:
+    """For each kind, the words that begin with a stem of it, or are it where it is short."""
+    stem = lambda w: w if len(w) > 4 or (len(w) == 4 and not w.isascii()) else w + r"(?: |$)"
+    return [re.compile(r"(?:^| )(?:" + "|".join(sorted({stem(_plain(w)) for w in PRIOR[k].split()})) + ")") for k in KINDS]
 
 
 class Features:
@@ -224,44 +227,107 @@ class Model:
         return out
 
 
-def learn(rated: list[tuple[float, str]], *, bits: int = 20, rounds: int = 2, epochs: int = 6, seed: int = 7) -> Model:
+def _train(features: Features, examples: list[list[str]], y: np.ndarray, weight: np.ndarray, *, epochs: int, rng: np.random.Generator) -> Model:
+    """Fit on positive examples, which come first, and counter-examples, of which the later epochs take those still mistaken and some others."""
+    x, row = features.of(examples)
+    order = np.argsort(row, kind="stable")
+    x, row = x[order], row[order]
+    ends = np.searchsorted(row, np.arange(len(examples) + 1))
+    ftrl = Ftrl(features.bits, outputs=y.shape[1])
+    first = int(y.any(axis=1).sum())
+    rest = len(examples) - first
+    for epoch in range(epochs):
+        some = first + rng.permutation(rest)[: max(4 * first, 5_000)]
+        if epoch:
+            now = Model(features.bits, *ftrl.sparse(), ftrl.bias).sentences(examples[first:])
+            some = np.union1d(some[: len(some) // 4], first + np.flatnonzero(now.max(axis=1) > 0.05))
+        for i in rng.permutation(np.concatenate([np.arange(first), some])):
+            ftrl.learn(np.unique(x[ends[i] : ends[i + 1]]), y[i], weight[i])
+    return Model(features.bits, *ftrl.sparse(), ftrl.bias)
+
+
+def _culprits(features: Features, suspects: list[list[str]], good: list[list[str]], times: np.ndarray, docs: list[np.ndarray], *, least: int = 2, bar: float = 6.0) -> np.ndarray:
+    """Which sentences of the toxic documents make them so: those whose n-grams other toxic documents have and harmless ones have not.
+
+    An n-gram of at least ``least`` other toxic documents speaks by the log of
+    its odds; a sentence is one of its document's where its n-grams reach
+    ``bar`` and half of the worst sentence's.
+    """
+    held, owner = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    x, row = features.of(suspects)
+    pair = np.unique(row << 32 | x)
+    x, row = pair & 0xFFFFFFFF, pair >> 32
+    starts = np.searchsorted(row, np.arange(len(suspects) + 1))
+    size = starts[held + 1] - starts[held]
+    at = np.repeat(starts[held] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    key = np.unique(x[at] << 32 | np.repeat(owner, size))  # a document counts once
+    y, from_ = features.of(good)
+    toxic, harmless = np.bincount(key >> 32, minlength=1 << features.bits), np.bincount(y, times[from_], minlength=1 << features.bits)
+    ratio = max(1.0, times.sum()) / max(1, len(held))
+    odds = np.log(np.maximum(toxic - 0.7, 0.01) * ratio / (harmless + 0.3 * ratio))
+    odds = np.where((toxic > least) & (odds > 1.4), np.minimum(odds, 4.0), 0.0)
+    worth = np.bincount(row, odds[x], len(suspects))
+    worst = np.zeros(len(docs))
+    np.maximum.at(worst, owner, worth[held])
+    return np.unique(held[(worth[held] >= bar) & (worth[held] >= 0.5 * worst[owner])])
+
+
+def _spread_kinds(features: Features, sentences: list[list[str]], kinds: np.ndarray, margins: tuple[float, ...] = (8.0, 6.0, 4.0, 3.0, 2.0, 1.0)) -> np.ndarray:
+    """Kinds carried from named sentences to the others by the n-grams they share, the clearest first."""
+    x, row = features.of(sentences)
+    pair = np.unique(x << 32 | row)
+    x, row = pair >> 32, pair & 0xFFFFFFFF
+    _, x = np.unique(x, return_inverse=True)
+    kinds = kinds.copy()
+    for margin in margins:
+        known = kinds.any(axis=1)
+        if known.all() or not known.any():
+            break
+        n = np.stack([np.bincount(x, kinds[row, k], x.max() + 1) for k in range(kinds.shape[1])], axis=1)
+        rate = n + 0.3
+        speaks = np.where((n.sum(1) > 0)[:, None], np.log(rate / rate.mean(1, keepdims=True)), 0.0)
+        vote = np.stack([np.bincount(row, speaks[x, k], len(sentences)) for k in range(kinds.shape[1])], axis=1)
+        top = np.sort(vote, axis=1)
+        sure = ~known & (top[:, -1] - top[:, -2] >= margin)
+        kinds[sure, vote[sure].argmax(axis=1)] = 1.0
+    return kinds
+
+
+def learn(rated: list[tuple[float, str]], *, bits: int = 20, rounds: int = 3, epochs: int = 5, seed: int = 7) -> Model:
     """Model from (mean toxic rating, text) of documents."""
-    words, features, seeds = _Words(), Features(bits), _seed_sets()
+    words, features, prior, rng = _Words(), Features(bits), _prior(), np.random.default_rng(seed)
     counts: dict[str, list] = {}  # sentence: itself, how often in toxic and in harmless documents
+    holders: list[list[str]] = []  # sentences of each toxic document
     for toxic, text in rated:
         if toxic > 0.5 or toxic == 0:
+            keys = []
             for s in words.sentences(text):
-                counts.setdefault(" ".join(s), [s, 0, 0])[1 if toxic else 2] += 1
+                keys.append(" ".join(s))
+                counts.setdefault(keys[-1], [s, 0, 0])[1 if toxic else 2] += 1
+            if toxic:
+                holders.append(keys)
     # raters err: a sentence is on the side it is found on more often
-    bad = [s for s, x, y in counts.values() for _ in range(x) if x > y]
+    bad = {k: i for i, k in enumerate(k for k, (_, x, y) in counts.items() if x > y)}
+    suspects = [counts[k][0] for k in bad]
     good = [s for s, x, y in counts.values() if y >= x]
-    targets = np.array([[bool(k.intersection(s)) for k in seeds] for s in bad], float).reshape(-1, len(KINDS))
+    docs = [np.unique([bad[k] for k in keys if k in bad]) for keys in holders]
+    docs = [d for d in docs if len(d)]
+    if not docs:
+        return Model(bits, np.zeros(0, np.int64), np.zeros((0, len(KINDS)), np.float32), np.full(len(KINDS), -3.0))
+    named = np.array([[bool(p.search(k)) for p in prior] for k in bad], bool).reshape(-1, len(KINDS))
+    chosen = _culprits(features, suspects, good, np.array([y for _, x, y in counts.values() if y >= x], float), docs)
+    # of what kind: by name where it has one, then by what it has in common with the named ones
+    targets = np.zeros((len(suspects), len(KINDS)))
+    targets[chosen] = _spread_kinds(features, [suspects[i] for i in chosen], named[chosen].astype(float))
     model = Model(bits, np.zeros(0, np.int64), np.zeros((0, len(KINDS)), np.float32), np.full(len(KINDS), -3.0))
-    for r in range(rounds if len(bad) else 0):
-        if r:
-            p = model.sentences(bad)
-            sure = p >= 0.3
-            targets = np.where(sure.any(axis=1, keepdims=True), sure, targets).astype(float)
+    for r in range(2):
+        if r:  # what the first fit is sure of, in all suspects
+            p = model.sentences(suspects) >= 0.5
+            targets = np.where(targets.any(axis=1, keepdims=True), targets, p)
         use = targets.any(axis=1)
-        examples = [s for s, u in zip(bad, use) if u] + good
+        examples = [s for s, u in zip(suspects, use) if u] + good
         y = np.concatenate([targets[use], np.zeros((len(good), len(KINDS)))])
-        weight = np.where(y.any(axis=1), 3.0, 1.0)
-        x, row = features.of(examples)
-        order = np.argsort(row, kind="stable")
-        x, row = x[order], row[order]
-        ends = np.searchsorted(row, np.arange(len(examples) + 1))
-        ftrl = Ftrl(bits)
-        rng = np.random.default_rng(seed)
-        first = int(use.sum())
-        for epoch in range(epochs):
-            # all positive examples, the counter-examples the model still takes for positive, and some of the rest
-            some = first + rng.permutation(len(good))[: max(4 * first, 5_000)]
-            if epoch:
-                now = Model(bits, *ftrl.sparse(), ftrl.bias).sentences(good)
-                some = np.union1d(some[: len(some) // 4], first + np.flatnonzero(now.max(axis=1) > 0.05))
-            for i in rng.permutation(np.concatenate([np.arange(first), some])):
-                ftrl.learn(np.unique(x[ends[i] : ends[i + 1]]), y[i], weight[i])
-        model = Model(bits, *ftrl.sparse(), ftrl.bias)
+        model = _train(features, examples, y, np.where(y.any(axis=1), 3.0, 1.0), epochs=epochs, rng=rng)
     return model
 
 
@@ -289,13 +355,13 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return documents.withColumn("scores", run(text))
 
 
-def flagged(scored: DataFrame, key: str, threshold: float = 0.4) -> DataFrame:
+def flagged(scored: DataFrame, key: str, threshold: float = 0.33) -> DataFrame:
     """(key, category) for each kind a document reaches the threshold in."""
     kinds = F.array(*(F.when(F.col(f"scores.{k}") >= threshold, F.lit(k)) for k in KINDS))
     return scored.select(key, F.explode(F.array_compact(kinds)).alias("category"))
 
 
-def rates(scored: DataFrame, source: str = "source", threshold: float = 0.4) -> DataFrame:
+def rates(scored: DataFrame, source: str = "source", threshold: float = 0.33) -> DataFrame:
     """Documents of each source and the shares of those that reach the threshold; null sources are a group."""
     share = lambda k: F.round(F.avg((F.col(f"scores.{k}") >= threshold).cast("double")), 6).alias(f"{k}_rate")
     return scored.groupBy(source).agg(F.count("*").alias("documents"), *map(share, KINDS))

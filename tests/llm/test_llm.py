@@ -1,18 +1,22 @@
 """The corpus operators against brute force, exact round trips and held-out texts."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mnemora import workspace
-from mnemora.llm import ingest_dedup, language, leaks, neighbours, pii, tokens, toxicity
+from mnemora.llm import ingest_dedup, language, leaks, markup, neighbours, pii, tokens, toxicity
 
 
 # --- 4: personal information
 
 
+NAMES = frozenset("owen graham judith".split())
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
@@ -32,15 +36,48 @@ from mnemora.llm import ingest_dedup, language, leaks, neighbours, pii, tokens,
     ],
 )
 def test_items(text, want):
-    items = pii.find_items(text)
+    items = pii.find_items(text, NAMES)
     assert [(k, text[a:b]) for k, a, b in items] == want
 
 
+def test_persons_by_shape_and_context_alone():
+    found = lambda t: [t[a:b] for k, a, b in pii.find_items(t) if k == "person"]
+    assert found("Zsófia Nagy met Priya Raman and Kwame Mensah, then left.") == ["Zsófia Nagy", "Priya Raman", "Kwame Mensah"]
+    assert found("I spoke with Ngozi Adeyemi about it. The old Ferry Bridge met New standards.") == ["Ngozi Adeyemi"]
+    assert found("Меня зовут Айгуль Сейтова, а это кластер Марлоу") == ["Айгуль Сейтова"]
+    assert found("The Kestgate cluster near Tarnvale was asked for data") == []
+
+
+def test_given_names_are_learnt_from_the_corpus(spark):
+    rng = random.Random(5)
+    given, family = [f"{a}{b}" for a in ("Ama", "Bo", "Ciro") for b in ("ra", "lin", "tek")], [f"{a}{b}" for a in ("Kor", "Mev", "Tas") for b in ("mond", "wick", "ova")]
+    rows = []
+    for k in range(400):
+        g, f = rng.choice(given), rng.choice(family)
+        rows.append((rng.choice([f"we saw {g} {rng.choice('ABC')}. {f} there", f"later {g} {f} came", f"it was {rng.choice('ABC')}. {f}", "The Great Wall stands", "THE LOUD TEXT STANDS"]),))
+    names = pii.learn_given(spark.createDataFrame(rows + [(None,)], "content string").repartition(3), "content")
+    assert names == {g.lower() for g in given}
+    assert pii.learn_given(spark.createDataFrame([], "content string"), "content") == frozenset()
+    t = "today bolin Mevwick and AMARA KORMOND; Korwick, Ciratek; later Boratek Xanwick"
+    assert [t[a:b] for _, a, b in pii.find_items("ask " + t.replace("bolin", "Bolin").replace("AMARA KORMOND", "Amara Kormond"), names)][:0] == []
+    assert [k for k, *_ in pii.find_items("later Bolin Unseen came, and Tasova, Amara", names)] == ["person", "person"]
+
+
+def test_long_parts_links_and_many_items():
+    local, name = "a" * 300, "Sur" + "n" * 200
+    t = f"x {local}@mail.example and {name}, Owen"
+    assert [(k, z - a) for k, a, z in pii.find_items(t, NAMES)] == [("email", 313), ("person", len(name) + 6)]
+    assert [k for k, *_ in pii.find_items("see https://docs.example.org/v1/617-555-0101 or tel:+442079460346, mail jo@bücher.example")] == ["phone", "email"]
+    many = "mail a.b@c.example; " * 20_000
+    start = time.time()
+    assert len(pii.find_items(many)) == 20_000
+    assert time.time() - start < 10
+
 def test_long_text_and_redaction():
     long = "plain words here. " * 20_000 + "Mail a.b@c.example"
     assert [(k, a) for k, a, _ in pii.find_items(long)] == [("email", len(long) - 13)]
     t = "Hi Owen Harrow, call 020 7946 0621!"
-    assert pii.redact_text(t, pii.find_items(t)) == "Hi [PERSON], call [PHONE]!"
+    assert pii.redact_text(t, pii.find_items(t, NAMES)) == "Hi [PERSON], call [PHONE]!"
     assert pii.redact_text(None, []) is None
 
 
@@ -61,24 +98,43 @@ SAMPLE = {
 
 @pytest.fixture(scope="module")
 def model():
-    samples = [(k, s + ".") for k, v in SAMPLE.items() for s in v.split("|") for _ in range(3)]
+    samples = [(k, language.sentences(s + ".")) for k, v in SAMPLE.items() for s in v.split("|") for _ in range(3)]
     return language.learn(samples, language.load_pieces(language.vocabulary_path()))
 
 
 def test_stretches(model):
-    assert [x for x, _ in model.stretches("The garden keeps the answer near the bridge. Der Garten speichert die Antwort.\nDas Fenster öffnet die Brücke.")] == ["en", "de"]
-    assert [x for x, _ in model.stretches("СТАРЫЙ САД ХРАНИТ ПАМЯТЬ")] == ["ru"]
-    assert [x for x, _ in model.stretches("staryy sad khranit tikhuyu pamyat")] == ["ru"]
-    assert [x for x, _ in model.stretches("el jardin viejo guarda la memoria cerca del rio")] == ["es"]
+    of = lambda t: [x for x, _ in model.stretches([t])[0]]
+    assert of("The garden keeps the answer near the bridge. Der Garten speichert die Antwort.\nDas Fenster öffnet die Brücke.") == ["en", "de"]
+    assert of("СТАРЫЙ САД ХРАНИТ ПАМЯТЬ") == ["ru"]
+    assert of("staryy sad khranit tikhuyu pamyat") == ["ru"]
+    assert of("el jardin viejo guarda la memoria cerca del rio") == ["es"]
     for none in (None, "", "12345", "https://docs.example.org/v1/4711", "x@y.example", "🙂🙂", "---"):
-        assert model.stretches(none) == []
-    c = model.stretches("the old garden keeps a quiet memory")[0][1]
-    assert 0.9 < c <= 1
+        assert of(none) == []
+    assert 0.9 < model.stretches(["the old garden keeps a quiet memory"])[0][0][1] <= 1
+    assert model.stretches([]) == []
+
+
+def test_text_of_no_language_learnt_is_other_and_confidence_tells(model):
+    lang, c = model.stretches(["kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki"])[0][0]
+    assert lang == "other" or c < 0.5
 
 
-def test_forward_sums_all_segmentations():
-    p = {b"a": np.array([0.5]), b"b": np.array([0.25]), b"ab": np.array([0.125])}
-    assert language.PieceModel(("x",), p).forward(b"ab")[-1][0] == 0.5 * 0.25 + 0.125
+def segmentations(w):
+    return [[w]] + [[w[:k], *rest] for k in range(1, len(w)) for rest in segmentations(w[k:])]
+
+
+def test_forward_sums_all_segmentations_and_expectations():
+    pieces = [b"a", b"b", b"ab", b"ba", b"aba", b"bb"]
+    probs = np.array([[0.5, 0.1], [0.25, 0.2], [0.125, 0.3], [0.05, 0.1], [0.02, 0.2], [0.01, 0.1]])
+    m, p = language.PieceModel(("x", "y"), pieces, probs), dict(zip(pieces, probs))
+    for w in (b"ab", b"abab", b"bbaab"):
+        want = sum(np.prod([p.get(x, np.zeros(2)) for x in s], axis=0) for s in segmentations(w))
+        assert np.allclose(np.exp(m.forward([w])[0]), want)
+    long = m.forward([b"ab" * 2000])[0]  # no word is too long to be summed whole
+    assert np.isfinite(long).all() and np.allclose(long, 2000 * (m.forward([b"ab" * 1000])[0] - m.forward([b"ab" * 999])[0]), rtol=0.01)
+    m2 = language.PieceModel(("x",), [b" ", b"a", b"b", b"ab"], np.array([[1.0], [0.5], [0.25], [0.125]]))
+    total = dict(zip(m2.pieces, m2.expect(["ab"], np.array([[4.0]]))[:, 0]))
+    assert np.isclose(total[b"ab"], 2.0) and np.isclose(total[b"a"], 2.0) and np.isclose(total[b" "], 4.0)
 
 
 def test_labels(spark):
@@ -96,7 +152,8 @@ def test_encoding_equals_the_library(spark):
     t = Tokenizer.from_file(tokens.vocabulary_path())
     t.encode_special_tokens = True
     rng = random.Random(1)
-    texts = [None, "", " ", "a" * 3000, "ab" * 700, "<|endoftext|> x", "é" * 300, "🙂" * 100, "don't I'LL  \n\n x", "aaaaaaa"]
+    long = "".join(rng.choice("abcdeéф中") for _ in range(20_000))  # one pre-token
+    texts = [long, None, "", " ", "a" * 3000, "ab" * 700, "<|endoftext|> x", "é" * 300, "🙂" * 100, "don't I'LL  \n\n x", "aaaaaaa"]
     texts += ["".join(rng.choice("ab é中1.'\n") for _ in range(rng.randrange(1, 200))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("ids", F.lit("clash"))
     got = {r.doc_id: r.ids for r in tokens.encode(df, "doc_id").collect()}
@@ -215,8 +272,8 @@ def test_bounds_hold_for_nearly_all():
 def test_leaks(spark):
     rng = random.Random(2)
     vocab = [f"word{k}" for k in range(400)]
-    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randrange(26, 90)))) for k in range(20)] + [(99, None), (98, "too short")]
-    docs, want = [(0, None), (1, "")], set()
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randrange(26, 90)))) for k in range(20)] + [(99, None), (98, "brief note"), (97, "seven rather unusual little words stand here")]
+    docs, want = [(0, None), (1, ""), (200, "x BRIEF y"), (201, "some unusual little words stand"), (202, "if 5 < 6 then unusual little words stand and 7 > 3"), (203, "unusual words")], {(200, 98), (201, 97), (202, 97)}
     for k in range(2, 120):
         filler = [rng.choice(vocab) for _ in range(80)]
         item = rng.randrange(20)
@@ -261,6 +318,14 @@ def test_block_index_finds_all_within_the_radius():
     assert got == {(i, j) for i in range(100) for j in range(300) if bin(int(q[i]) ^ int(a[j])).count("1") <= 3}
 
 
+def test_a_lone_bracket_is_no_tag():
+    t = "if 5 < 6 then you worthless idiot go away. and 7 > 3"
+    assert markup.without_tags(t) == t
+    assert markup.without_tags('<p class="x">a</p><br/>b<!-- c > d --><!DOCTYPE html><input disabled>', "|") == "|a||b|||"
+    assert "idiot" in [w for s in toxicity._Words().sentences(t) for w in s]
+    assert leaks.words_of(t) == ingest_dedup.words_of(t)
+
+
 # --- 10: language of abuse
 
 
