@@ -2,8 +2,8 @@
 
 A text is cut where a rolling hash over its last two words says so, so an edit
 moves only the boundaries beside it; one more hash stands for its set of words,
-so that moved sentences are met too. The persistent table of the history holds
-each text's chunk hashes and sizes; a batch is looked up by its chunks.
+so that moved sentences are met too. A persistent table of the history leads from
+each chunk to its first record and their number; a batch is looked up by its chunks.
 
 A text's chunks are ranked from the rarest on, and it is looked up by those that
 make up all but ``coverage`` of its bytes, so the commonest chunks need not be
@@ -41,7 +41,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,9 +49,10 @@ from mnemora import workspace
 from mnemora.llm.markup import without_tags
 
 _WORDS = re.compile(r"\w+").findall
-_SIGNATURE = "id bigint, total int, chunks array<bigint>, sizes array<int>, n int, low bigint, high bigint, prefix array<bigint>"
+_SIGNATURE = "id bigint, total int, chunks array<bigint>, sizes array<int>, n int, low bigint, high bigint, prefix array<bigint>, words array<bigint>"
+_CHUNKS = "chunk bigint, lead bigint, df bigint"
 _ORDER = 1 << 24
-_BROADCAST_PAIRS = 200_000  # pairs up to which their ids are sent to every executor: 3.2 MB
+_BROADCAST_ROWS = 400_000  # counted rows of one number up to which a side is sent to every executor: 3.2 MB
 
 
 def words_of(text: str) -> list[str]:
@@ -100,10 +100,11 @@ def first_words(n: int | Column, share: float) -> int | Column:
 
 
 def signatures(texts: DataFrame, order: list[int], *, near: float = 0.7, kept: int = 1_000_000) -> DataFrame:
-    """(id, total, chunks, sizes, n, low, high, prefix) of (id, text); null and blank texts fall away.
+    """(id, total, chunks, sizes, n, low, high, prefix, words) of (id, text); null and blank texts fall away.
 
     ``n`` counts the distinct words, ``prefix`` holds the first of them in the
-    order of ``order`` and ``low`` and ``high`` the parities of their hashes.
+    order of ``order``, ``low`` and ``high`` the parities of their hashes and
+    ``words`` a wider hash of each; of a text without words, that of the text.
 
     Of texts a task has met before, as long as it is among the last ``kept``,
     only those with a lesser id give a row again: a group of copies is a row or
@@ -116,6 +117,7 @@ def signatures(texts: DataFrame, order: list[int], *, near: float = 0.7, kept: i
         h64 = xxhash.xxh64_intdigest
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         known: dict[str, int] = {}
+        wide: dict[str, int] = {}
         met: dict[int, int] = {}
         place, bits, firsts = held.value, [1 << k for k in range(64)], {}
         for b in batches:
@@ -124,6 +126,7 @@ def signatures(texts: DataFrame, order: list[int], *, near: float = 0.7, kept: i
                 met.clear()
             if len(known) > 300_000:
                 known.clear()
+                wide.clear()
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 same = h64(text)
                 if met.get(same, id_ + 1) <= id_:
@@ -135,6 +138,7 @@ def signatures(texts: DataFrame, order: list[int], *, near: float = 0.7, kept: i
                     h = known.get(w)
                     if h is None:
                         h = xxhash.xxh32_intdigest(w)
+                        wide[w] = signed(h64(w))
                         h = known[w] = place.get(h, 0) << 32 | h  # sorts in the order; cut() reads the lower 32 bits
                     hs.append(h)
                 parts = {}
@@ -143,7 +147,8 @@ def signatures(texts: DataFrame, order: list[int], *, near: float = 0.7, kept: i
                     parts[signed(h64(piece))] = len(piece)
                 # texts of the same words, in any order, share a chunk of no bytes of its own
                 # words of one hash stay two and lie side by side, so the order is one of words all the same
-                tokens = sorted([known[w] for w in set(words)])
+                distinct = set(words)
+                tokens = sorted([known[w] for w in distinct])
                 parts[signed(h64(array("q", tokens).tobytes() if words else "\0" + text))] = 0
                 n, low, high = len(tokens), 0, 0
                 for h in tokens:
@@ -153,10 +158,10 @@ def signatures(texts: DataFrame, order: list[int], *, near: float = 0.7, kept: i
                         low ^= bits[h & 63]
                 if n not in firsts:
                     firsts[n] = first_words(n, near) if n else 0
-                rows.append((id_, sum(parts.values()), list(parts), list(parts.values()), n, signed(low), signed(high), tokens[: firsts[n]]))
-            cols = list(zip(*rows)) if rows else [()] * 8
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "total", "chunks", "sizes", "n", "low", "high", "prefix"])
+                rows.append((id_, sum(parts.values()), list(parts), list(parts.values()), n, signed(low), signed(high), tokens[: firsts[n]], [wide[w] for w in distinct] or [signed(h64("\0" + text))]))
+            cols = list(zip(*rows)) if rows else [()] * 9
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "total", "chunks", "sizes", "n", "low", "high", "prefix", "words"])
 
     held = texts.sparkSession.sparkContext.broadcast({h: k + 1 for k, h in enumerate(order)})
 
@@ -248,21 +253,18 @@ def word_pairs(rows: DataFrame, asked: Column, near: float, words: DataFrame | N
 
     t = rows.select("id", "n", "low", "high", asked.alias("asked"), F.posexplode("prefix").alias("pos", "word"))
     t = t.select("word", "id", "n", "low", "high", (F.col("pos") < first_words(F.col("n"), 2 * near / (1 + near))).alias("first"), "asked")
-    t = t if words is None else t.join(words, "word", "left_semi")
+    t = t if words is None else t.join(_few(words), "word", "left_semi")
     return t.repartition("word").sortWithinPartitions("word", "n").mapInArrow(run, "id bigint, other bigint").distinct()
 
 
-def word_hashes(texts: DataFrame) -> DataFrame:
-    """(id, words): hashes of the distinct words; of a text without words, that of the text."""
+def chunk_table(signed: DataFrame) -> DataFrame:
+    """(chunk, lead, df): of each chunk the first record that holds it and how many do; combined before the shuffle, so a common chunk is one row a task."""
+    return signed.select("id", F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.min("id").alias("lead"), F.count("*").alias("df"))
 
-    @F.pandas_udf("array<bigint>")
-    def run(s: pd.Series) -> pd.Series:
-        import xxhash
-
-        h = lambda w: xxhash.xxh64_intdigest(w) - (1 << 63)
-        return s.map(lambda t: [h(w) for w in set(words_of(t))] or [h("\0" + t)])
 
-    return texts.select("id", run("text").alias("words"))
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` of one number a row with a broadcast hint where it is counted to be small."""
+    return F.broadcast(df) if df.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS else df
 
 
 def _solid() -> Column:
@@ -275,20 +277,18 @@ def order_of(request: str, pos: str) -> Column:
 
 
 class History:
-    """Accepted texts' chunks in a table of parquet parts under a manifest; a batch is added by one rename.
-
-    ``texts`` gives the accepted texts, which are read again only for the
-    candidates of a batch.
+    """Accepted texts in tables of parquet parts under a manifest; a batch is added by one rename.
+
+    A part holds the signatures of its texts and beside them its chunk table,
+    from each chunk to its first record and their number. A batch is joined to
+    the chunk tables by its own chunks and to the signatures by its own words:
+    what does not match falls away in the scan of the history, where the batch's
+    side is small, and before anything of it is compared in any case. Texts are
+    not read again.
     """
 
-    def __init__(self, spark: SparkSession, path: str, *, texts: DataFrame | None = None, near: float = 0.7, coverage: float = 0.2, least: float = 0.08, group: int = 32):
+    def __init__(self, spark: SparkSession, path: str, *, near: float = 0.7, coverage: float = 0.2, least: float = 0.08, group: int = 32):
         self.spark, self.path, self.near, self.coverage, self.least, self.group = spark, path, near, coverage, least, group
-        self.texts = None if texts is None else self._named(texts)
-
-    @staticmethod
-    def _named(texts: DataFrame) -> DataFrame:
-        # history comes before every item: its ids are negative, made of the text, so that copies have one
-        return texts.select((-1 - F.xxhash64("text").bitwiseAND((1 << 62) - 1)).alias("id"), "text")
 
     def _parts(self) -> list[str]:
         return (workspace.read_json(self.spark, f"{self.path}/manifest.json") or {"parts": []})["parts"]
@@ -301,71 +301,66 @@ class History:
             workspace.replace_json(self.spark, f"{self.path}/order.json", kept)
         return kept["words"]
 
-    def _add(self, part: str, texts: DataFrame) -> None:
+    def _add(self, signed: DataFrame) -> None:
+        part = f"{self.path}/part-{len(self._parts())}"
+        signed.write.mode("overwrite").parquet(f"{part}/texts")
+        chunk_table(self.spark.read.schema(_SIGNATURE).parquet(f"{part}/texts")).write.mode("overwrite").parquet(f"{part}/chunks")
         workspace.replace_json(self.spark, f"{self.path}/manifest.json", {"parts": [*self._parts(), part]})
-        self.texts = texts if self.texts is None else self.texts.unionByName(texts)
 
     def accept(self, texts: DataFrame) -> "History":
         """Take the ``text`` rows as accepted without comparing them."""
-        named, part = self._named(texts), f"{self.path}/part-{len(self._parts())}"
-        signatures(named, self._order(named), near=self.near).write.mode("overwrite").parquet(part)
-        self._add(part, named)
+        # history comes before every item: its ids are negative, made of the text, so that copies have one
+        named = texts.select((-1 - F.xxhash64("text").bitwiseAND((1 << 62) - 1)).alias("id"), "text")
+        self._add(signatures(named, self._order(named), near=self.near))
         return self
 
-    def read(self) -> DataFrame:
+    def _read(self, what: str, schema: str) -> DataFrame:
         parts = self._parts()
-        return self.spark.read.schema(_SIGNATURE).parquet(*parts) if parts else self.spark.createDataFrame([], _SIGNATURE)
+        return self.spark.read.schema(schema).parquet(*(f"{p}/{what}" for p in parts)) if parts else self.spark.createDataFrame([], schema)
+
+    def read(self) -> DataFrame:
+        return self._read("texts", _SIGNATURE)
 
     def check(self, items: DataFrame, *, append: bool = True) -> DataFrame:
         """(id) of the items (id, text) that are duplicates or near-duplicates; the others join the history where ``append``."""
         items = items.select("id", "text").where(_solid())
         batch = workspace.materialise(signatures(items, self._order(items), near=self.near), "batch")
-        everything = self.read().unionByName(batch)
-        texts = items if self.texts is None else items.unionByName(self.texts)
-        chunk = Window.partitionBy("chunk")
-        # one shuffle, on the chunk
+        mine = workspace.materialise(chunk_table(batch), "chunks")
+        theirs = self._read("chunks", _CHUNKS).join(_few(mine.select("chunk")), "chunk", "left_semi")
+        stats = mine.unionByName(theirs).groupBy("chunk").agg(F.min("lead").alias("lead"), F.sum("df").alias("df")).where("df > 1")
         shared = (
-            everything.select("id", "total", F.explode(F.arrays_zip("chunks", "sizes")).alias("c"))
+            batch.select("id", "total", F.explode(F.arrays_zip("chunks", "sizes")).alias("c"))
             .select(F.col("c.chunks").alias("chunk"), "id", "total", F.col("c.sizes").alias("size"))
-            .repartition("chunk")
-            .withColumn("df", F.count("*").over(chunk))
-            .where("df > 1")
-            .withColumn("lead", F.min("id").over(chunk))
+            .join(stats, "chunk")
         )
         # chunks of no other text come first in a text's ranking; they weigh what its shared ones leave
         own = Window.partitionBy("id")
         before = F.sum("size").over(own.orderBy("df", "chunk").rowsBetween(Window.unboundedPreceding, -1))
         alone = F.col("total") - F.sum("size").over(own)
         probes = workspace.materialise(
-            shared.where("id >= 0")
-            .withColumn("rank", alone + F.coalesce(before, F.lit(0)))
+            shared.withColumn("rank", alone + F.coalesce(before, F.lit(0)))
             .where(((F.col("size") == 0) | (F.col("rank") <= (1 - self.coverage) * F.col("total"))) & (F.col("lead") < F.col("id")))
             .select("id", "chunk", "lead", "size", "total"),
             "probes",
         )
+        everything = self.read().unionByName(batch)
         leads = workspace.materialise(self._covered(probes.select("id", F.col("lead").alias("other"), "size", "total")), "leads")
         # history is accepted, and what has the words of an earlier text is near whatever that one is near
         same = probes.where("size = 0").select("id", F.col("lead").alias("other"))
-        plain = workspace.materialise(self._near(leads.where("other < 0").unionByName(same).distinct(), texts).select("id").distinct(), "plain")
-        plain = self._large_groups(leads.where("other >= 0").join(plain, "id", "left_anti"), plain, everything, texts)
-        open_ = everything.join(plain, "id", "left_anti")
-        links = workspace.materialise(self._near(word_pairs(open_, F.col("id") >= 0, self.near), texts), "links")
+        plain = workspace.materialise(self._near(leads.where("other < 0").unionByName(same).distinct(), everything).select("id").distinct(), "plain")
+        plain = self._large_groups(leads.where("other >= 0").join(plain, "id", "left_anti"), plain, everything)
+        open_ = batch.join(plain, "id", "left_anti")
+        asked = workspace.materialise(open_.select(F.explode("prefix").alias("word")).distinct(), "words")
+        links = workspace.materialise(self._near(word_pairs(self.read().unionByName(open_), F.col("id") >= 0, self.near, asked), everything), "links")
         by_history = plain.unionByName(links.where("other < 0").select("id")).distinct()
         rejected = self._resolve(links.where("other >= 0"), workspace.materialise(by_history, "rejected"))
-        accepted = batch.select("id").join(rejected, "id", "left_anti")
+        accepted = batch.join(rejected, "id", "left_anti")
         if append:
-            part = f"{self.path}/part-{len(self._parts())}"
-            self._append(batch.join(rejected, "id", "left_anti"), part)
-            later = items.select((F.col("id") - (1 << 62)).alias("id"), "text")
-            self.texts = later if self.texts is None else self.texts.unionByName(later)
-        return items.select("id").join(accepted, "id", "left_anti")
-
-    def _append(self, entries: DataFrame, part: str) -> None:
-        # items keep their place before later ones: below every id to come, above none of the history's
-        entries.select((F.col("id") - (1 << 62)).alias("id"), "total", "chunks", "sizes").write.mode("overwrite").parquet(part)
-        workspace.replace_json(self.spark, f"{self.path}/manifest.json", {"parts": [*self._parts(), part]})
+            # items keep their place before later ones: below every id to come, above none of the history's
+            self._add(accepted.withColumn("id", F.col("id") - (1 << 62)).select(*batch.columns))
+        return items.select("id").join(accepted.select("id"), "id", "left_anti")
 
-    def _large_groups(self, leads: DataFrame, plain: DataFrame, everything: DataFrame, texts: DataFrame) -> DataFrame:
+    def _large_groups(self, leads: DataFrame, plain: DataFrame, everything: DataFrame) -> DataFrame:
         """``plain`` and the texts near a leader of more than ``group`` texts that is near nothing earlier itself."""
         large = leads.groupBy("other").count().where(F.col("count") > self.group).select(F.col("other").alias("id"))
         large = workspace.materialise(large.join(plain, "id", "left_anti").withColumn("large", F.lit(True)), "large")
@@ -374,21 +369,20 @@ class History:
         rows = everything.join(plain, "id", "left_anti").join(large, "id", "left")
         words = rows.where("large").select(F.explode("prefix").alias("word")).distinct()
         met = word_pairs(rows, F.coalesce("large", F.lit(False)), self.near, words).join(large, "id", "left_semi")
-        certain = large.join(self._near(met, texts), "id", "left_anti").select(F.col("id").alias("other"))
-        near = self._near(leads.join(certain, "other", "left_semi").select("id", "other"), texts)
+        certain = large.join(self._near(met, everything), "id", "left_anti").select(F.col("id").alias("other"))
+        near = self._near(leads.join(certain, "other", "left_semi").select("id", "other"), everything)
         return workspace.materialise(plain.unionByName(near.select("id").distinct()).distinct(), "plain")
 
     def _covered(self, hits: DataFrame) -> DataFrame:
         """Pairs whose shared chunks among those looked up make up at least ``least`` of the text."""
         return hits.groupBy("id", "other").agg(F.sum(F.when(F.col("size") == 0, F.col("total")).otherwise(F.col("size"))).alias("size"), F.max("total").alias("total")).where(F.col("size") >= self.least * F.col("total")).select("id", "other")
 
-    def _near(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    def _near(self, pairs: DataFrame, signed: DataFrame) -> DataFrame:
         """The pairs (id, other) whose distinct words agree in at least ``near`` of those in either."""
         pairs = workspace.materialise(pairs, "pairs")
         wanted = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
-        few = pairs.limit(_BROADCAST_PAIRS + 1).count() <= _BROADCAST_PAIRS
-        chosen = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").dropDuplicates(["id"])
-        words = word_hashes(chosen)
+        # the words of the texts wanted, once each; those of the history are met in its scan where they are few
+        words = signed.select("id", "words").join(_few(wanted), "id", "left_semi").dropDuplicates(["id"])
         both = F.size(F.array_intersect("words", "other_words"))
         union = F.size("words") + F.size("other_words") - both
         return (
