@@ -88,6 +88,7 @@ def label_of(c: str | Column) -> Column:
 # --- text
 
 _CODE = re.compile(r"`[^`]*`|https?://\S+|www\.\S+|\S*@\S*|<[^<>]{1,200}>|\S*[/\\=_]\S*[\w/]|\S*\d\S*|&\w+;")
+_MAY_BE_CODE = re.compile(r"[`@/\\=_<&]|\d|www\.", re.I).search
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ][^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|\s*\n\s*|\s+/\s+")
 
@@ -97,7 +98,10 @@ def sentences(text: str, given: frozenset[str] = frozenset()) -> list[list[str]]
     items = pii.find_items(text, given)
     if items:
         text = "".join(text[a:b] + " " for a, b in zip([0, *(z for _, _, z in items)], [*(a for _, a, _ in items), len(text)]))
-    return [_WORD.findall(_CODE.sub(" ", s).lower()) for s in _SENTENCE.split(text)]
+    parts = _SENTENCE.split(text)
+    if _MAY_BE_CODE(text):
+        parts = [_CODE.sub(" ", s) if _MAY_BE_CODE(s) else s for s in parts]
+    return [_WORD.findall(s.lower()) for s in parts]
 
 
 # --- model
@@ -187,43 +191,45 @@ class PieceModel:
     def stretches(self, texts: list[str | None], min_words: int = 2) -> list[list[tuple[str, float]]]:
         """For each text (language, confidence) of each longest run of sentences in one language, in text order."""
         parts = [[p for p in sentences(t or "", self.given) if p] for t in texts]
-        parts = [p if sum(len(w) > 1 for x in p for w in x) >= min_words else [] for p in parts]
-        flat = self.sentences([x for p in parts for x in p])
-        out, at = [], 0
-        for p in parts:
-            out.append(self._runs(flat[at : at + len(p)], [len(x) for x in p]) if p else [])
-            at += len(p)
-        return out
-
-    def _runs(self, scores: np.ndarray, words: list[int]) -> list[tuple[str, float]]:
-        known = scores[:, : len(self.langs)]
+        parts = [p if _long_words(p, min_words) else [] for p in parts]
+        size = np.array([len(x) for p in parts for x in p], np.int64)
+        out: list[list[tuple[str, float]]] = [[] for _ in parts]
+        if not len(size):
+            return out
+        scores = self.sentences([x for p in parts for x in p])
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         # a lone word is weak evidence, often a name: it can't change the language by itself
-        weight = np.where(np.array(words) > 1, 1.0, 0.3)
-        rows = (known * weight[:, None]).tolist()
-        path = [int(np.argmax(known[0]))] if len(rows) == 1 else _viterbi(rows)
-        out: list[tuple[str, float]] = []
-        a = 0
-        for z in range(1, len(path) + 1):
-            if z == len(path) or path[z] != path[a]:
-                found = self._judge(path[a], (scores[a:z] * weight[a:z, None]).sum(0), float(np.dot(words[a:z], weight[a:z])))
-                if out and out[-1][0] == found[0]:  # stretches of unknown languages side by side
-                    found = (found[0], max(out.pop()[1], found[1]))
-                out.append(found)
-                a = z
+        weight = np.where(size > 1, 1.0, 0.3)
+        best = scores[:, : len(self.langs)].argmax(axis=1)
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        last = np.append(first[1:], len(owner))
+        for a, z in zip(first, last):
+            if z - a > 1 and (best[a:z] != best[a]).any():  # else no change of language can pay
+                best[a:z] = _viterbi((scores[a:z, : len(self.langs)] * weight[a:z, None]).tolist())
+        begin = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(best, prepend=-1) != 0))
+        sums = np.add.reduceat(scores * weight[:, None], begin, axis=0)
+        names, sure = self._judge(best[begin], sums, np.add.reduceat(size * weight, begin))
+        for text, name, c in zip(owner[begin].tolist(), names, sure.tolist()):
+            runs = out[text]
+            if runs and runs[-1][0] == name:  # stretches of unknown languages side by side
+                c = max(c, runs.pop()[1])
+            runs.append((name, c))
         return out
 
-    def _judge(self, k: int, s: np.ndarray, words: float) -> tuple[str, float]:
-        """A stretch's language with its confidence, or ``other`` where no language explains its words."""
-        known = s[: len(self.langs)]
-        if self.probs.shape[1] > len(self.langs) and words >= OTHER_WORDS:
-            lack = self.margin * words - (known[k] - s[-1])
-            if lack > 0:
-                return OTHER, float(1.0 / (1.0 + np.exp(-min(lack / self.temperature, 700.0))))
-        sure = 1.0 / np.exp(np.clip((known - known[k]) / self.temperature, -700, 700)).sum()
-        if self.probs.shape[1] > len(self.langs) and np.isfinite(self.usual):
-            lead = (known[k] - s[-1]) / max(words, 1.0) / self.usual
-            sure /= 1.0 + np.exp(np.clip(6.0 * (0.5 - lead), -700, 700))
-        return self.langs[k], float(sure)
+    def _judge(self, k: np.ndarray, s: np.ndarray, words: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """The language and the confidence of stretches, ``other`` where no language explains the words."""
+        known = s[:, : len(self.langs)]
+        own = known[np.arange(len(k)), k]
+        sure = 1.0 / np.exp(np.clip((known - own[:, None]) / self.temperature, -700, 700)).sum(axis=1)
+        names = [self.langs[i] for i in k]
+        if s.shape[1] > len(self.langs):
+            lead = own - s[:, -1]
+            if np.isfinite(self.usual):
+                sure /= 1.0 + np.exp(np.clip(6.0 * (0.5 - lead / np.maximum(words, 1.0) / self.usual), -700, 700))
+            lack = self.margin * words - lead
+            for i in np.flatnonzero((lack > 0) & (words >= OTHER_WORDS)):
+                names[i], sure[i] = OTHER, 1.0 / (1.0 + np.exp(-min(lack[i] / self.temperature, 700.0)))
+        return names, sure
 
     def expect(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected counts of the pieces, per language, over all segmentations of words met ``counts`` times: one E-step."""
@@ -258,6 +264,18 @@ class PieceModel:
         return np.nan_to_num(total, posinf=0.0)
 
 
+def _long_words(parts: list[list[str]], least: int) -> bool:
+    """Whether at least ``least`` words have two letters or more."""
+    n = 0
+    for p in parts:
+        for w in p:
+            if len(w) > 1:
+                n += 1
+                if n >= least:
+                    return True
+    return n >= least
+
+
 def _bytes_of(word: str) -> bytes:
     return (" " + word).encode("utf-8", "replace")
 
