@@ -184,7 +184,7 @@ SQL = {
     "bm25_then_resonance": f"WITH {_P}, {_BM}, c AS {_top('bm', 40)} SELECT * FROM {_top('(SELECT rs.* FROM rs JOIN c USING (query_id, id))', 10)}",
     "three_way_fusion": f"""WITH {_P}, {_BM}, a AS {_top('rs', 30)}, b AS {_top('bm', 30)}, u AS (SELECT query_id, id, 0.4::DOUBLE * {_MAX} AS s FROM a UNION ALL SELECT query_id, id, 0.35::DOUBLE * {_MAX} FROM b),
         z AS (SELECT * FROM u UNION ALL SELECT query_id, id, 0.25::DOUBLE * (0.5 + 0.5 * dp) FROM pr SEMI JOIN u USING (query_id, id)), f AS (SELECT query_id, id, sum(s) AS score FROM z GROUP BY ALL)
-        SELECT query_id, id, round(score, 5) AS score, rank FROM {_top('f', 10)}""",
+        SELECT * FROM {_top('f', 10, 5)}""",
     "facade_blend": f"""WITH {_P}, {_BM}, a AS {_top('rs', 10)}, b AS (SELECT query_id, id, {_MAX} AS b FROM {_top('bm', 20)}),
         m AS (SELECT query_id, id, 0.7::DOUBLE * a.score + 0.3::DOUBLE * coalesce(b, 0) AS score FROM a LEFT JOIN b USING (query_id, id)
           UNION ALL SELECT query_id, id, 0.3::DOUBLE * b FROM b ANTI JOIN a USING (query_id, id) WHERE b > 0.15) SELECT * FROM {_top('m', 10)}""",
