@@ -35,7 +35,6 @@ must be under 2**24 and request ids under 2**37; other columns are ignored.
 from __future__ import annotations
 
 import re
-import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -46,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora import workspace
-from mnemora.llm.markup import without_tags
+from mnemora.llm.markup import without_accents, without_tags
 
 _WORDS = re.compile(r"\w+").findall
 _SIGNATURE = "id bigint, total int, chunks array<bigint>, sizes array<int>, n int, low bigint, high bigint, prefix array<bigint>, words array<bigint>"
@@ -57,10 +56,7 @@ _BROADCAST_ROWS = 400_000  # counted rows of one number up to which a side is se
 
 def words_of(text: str) -> list[str]:
     """Words of a text: letters, digits and ``_``, without case, accents and tags."""
-    text = without_tags(text).lower()
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return _WORDS(text)
+    return _WORDS(without_accents(without_tags(text).lower()))
 
 
 def cut(words: list[str], hashes: list[int], *, divisor: int = 3, least: int = 3, most: int = 9) -> Iterator[tuple[int, int]]:

@@ -28,7 +28,6 @@ texts are read whole; other columns are ignored.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from mnemora.llm.markup import without_tags
+from mnemora.llm.markup import without_accents, without_tags
 
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _BREAK = re.compile(r"\\[nrt]|&(?:nbsp|amp|lt|gt|quot|#\d+);")
@@ -49,9 +48,7 @@ def words_of(text: str | None) -> list[str]:
         return []
     if "\\u" in text:
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text)
-    text = _BREAK.sub(" ", without_tags(text)).casefold()
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    text = without_accents(_BREAK.sub(" ", without_tags(text)).casefold())
     return [w for w in (_MARK.sub("", t) for t in text.split()) if w]
 
 

@@ -9,6 +9,7 @@ nothing between two of them is lost.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 #: Attributes that stand without a value (fixed values).
 BARE = "async autofocus autoplay checked controls default defer disabled hidden ismap loop multiple muted nomodule novalidate open readonly required reversed selected"
@@ -20,3 +21,19 @@ TAG = re.compile(r"</?[A-Za-z][\w:-]*(?:%s)*\s*/?>|<!--.*?-->|<![A-Za-z][^<>]*>"
 def without_tags(text: str, mark: str = " ") -> str:
     """``text`` with ``mark`` in the place of every tag."""
     return TAG.sub(mark, text) if "<" in text else text
+
+
+class _Plain(dict):
+    """Characters by what is left of their decomposition, found when first met; a character's does not depend on its neighbours."""
+
+    def __missing__(self, code: int) -> str:
+        out = self[code] = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        return out
+
+
+_PLAIN = _Plain()
+
+
+def without_accents(text: str) -> str:
+    """Compatibility decomposition of ``text`` without its combining marks."""
+    return text if text.isascii() else text.translate(_PLAIN)

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.markup import without_tags
+from mnemora.llm.markup import without_accents, without_tags
 
 KINDS = ("abusive", "hateful", "sexual")
 
@@ -83,7 +83,7 @@ def _plain(token: str) -> str:
             own_cyr = sum(("а" <= c <= "я" or c in "їєґ") and c not in _CYR for c in token)
             own_lat = sum("a" <= c <= "z" and c not in _LAT for c in token)
             token = token.translate(_TO_CYRILLIC if own_cyr > own_lat or (own_cyr == own_lat and 2 * cyr > len(token)) else _TO_LATIN)
-        token = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c))
+        token = without_accents(token)
     return _REPEAT.sub(r"\1", token)
 
 
