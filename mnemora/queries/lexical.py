@@ -234,7 +234,13 @@ SQL = {
     "dedup_prefix5": f"""WITH p AS (SELECT doc_id, regexp_replace(lower(text), '[^a-zа-яё0-9 \\t\\n\\x0B\\f\\r]', '', 'g') AS p FROM documents WHERE text IS NOT NULL),
         w AS (SELECT doc_id, p, {_WORDS.format(c='p')} AS w FROM p) SELECT min(doc_id) AS doc_id FROM w GROUP BY CASE WHEN len(w) < 3 THEN p ELSE array_to_string(w[1:5], ' ') END""",
     "emotion_classify": f"SELECT item_id, {_case('query', T.EMOTIONS, 'neutral')} AS emotion FROM eval_items",
-    "tags_detect": "WITH t AS (" + " UNION ALL ".join(f"SELECT '{k}' AS tag, content FROM chat_messages WHERE {_any('content', n)}" for k, n in T.TAGS) + ") SELECT tag, count(*) AS n FROM t GROUP BY tag",
+    "tags_detect": """WITH t AS (SELECT list_filter([
+          CASE WHEN regexp_matches(l, 'hello|hi |hey|привет|здравствуй|hi,|hey,') THEN 'greeting' END, CASE WHEN regexp_matches(l, 'my name is|i''m |i am |меня зовут|мое имя') THEN 'name' END,
+          CASE WHEN regexp_matches(l, 'code|program|python|java|функци|код|програм') THEN 'coding' END, CASE WHEN regexp_matches(l, 'coffee|tea|food|drink|кофе|чай|еда') THEN 'food_drink' END,
+          CASE WHEN regexp_matches(l, 'love|like|prefer|enjoy|люб|нрав|предпочита') THEN 'preference' END, CASE WHEN regexp_matches(l, 'work|job|career|работ|карьер|професс') THEN 'work' END,
+          CASE WHEN regexp_matches(l, 'live|city|country|home|жив|город|стран|дом') THEN 'location' END, CASE WHEN regexp_matches(l, 'family|friend|dog|cat|pet|семь|друг|собак|кот|питом') THEN 'relationships' END],
+          lambda x: x IS NOT NULL)[1:5] AS tags FROM (SELECT lower(content) AS l FROM chat_messages WHERE content IS NOT NULL))
+        SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM t) GROUP BY tag""",
     "tier_detect": f"""SELECT CASE WHEN {_any('text', T.PROCEDURAL)} THEN 'procedural' WHEN regexp_matches(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}/\\d{{2}}/\\d{{4}}') OR {_any('text', T.EPISODIC)} THEN 'episodic' ELSE 'semantic' END AS tier,
         count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL""",
     "modality_detect": f"SELECT {_MOD} AS modality, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL",
