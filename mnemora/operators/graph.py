@@ -52,19 +52,103 @@ def spread_activation(edges: DataFrame, seeds: DataFrame, *, hops: int = 3, stre
     return seen
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, *, most: int = 50) -> DataFrame:
-    """(root, node, depth): everything a seed (node) reaches along the edges, at its least depth."""
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(root, node, depth): everything a seed (node) reaches along the edges, at its least depth, however far; a seed on a cycle does not reach itself."""
     seen = workspace.materialise(seeds.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct(), "reach")
-    front = seen
-    for d in range(most):
+    front, d = seen, 0
+    while not front.isEmpty():
+        d += 1
         step = front.join(edges, front.node == edges.source).select("root", F.col("target").alias("node")).distinct()
-        front = workspace.materialise(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d + 1)), "reach")
-        if front.isEmpty():
-            break
+        front = workspace.materialise(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d)), "reach")
         seen = seen.unionByName(front)
     return seen.where("depth > 0")
 
 
+def reversed_(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+
+
+def adjustment_sets(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, parent): the parents of each seed (node) that it does not itself reach."""
+    below = reachable(edges, seeds).select(F.col("root").alias("node"), F.col("node").alias("parent"))
+    above = edges.join(seeds, edges.target == seeds.node, "left_semi").select(F.col("target").alias("node"), F.col("source").alias("parent")).distinct()
+    return above.join(below, ["node", "parent"], "left_anti")
+
+
+def front_doors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(cause, effect, mediators): what each seed reaches over one node between."""
+    first = edges.join(seeds, edges.source == seeds.node, "left_semi").select(F.col("source").alias("cause"), F.col("target").alias("mediator"))
+    second = edges.select(F.col("source").alias("mediator"), F.col("target").alias("effect"))
+    return first.join(second, "mediator").where("cause <> effect").groupBy("cause", "effect").agg(F.count("*").alias("mediators"))
+
+
+def do_probability(pairs: DataFrame, strengths: DataFrame, singles: DataFrame, joint: DataFrame) -> DataFrame:
+    """``pairs`` (cause, effect) with ``p``: the edge's strength, else the share of the cause's observations (item, n) that
+    both are in (a, b, n), at most 1; .5 where the cause was met under three times."""
+    n = singles.select(F.col("item").alias("cause"), F.col("n").alias("n_cause"))
+    both = joint.select(F.col("a").alias("cause"), F.col("b").alias("effect"), F.col("n").alias("n_both"))
+    j = pairs.join(strengths.select("cause", "effect", "strength"), ["cause", "effect"], "left").join(n, "cause", "left").join(both, ["cause", "effect"], "left")
+    naive = F.when(F.coalesce("n_cause", F.lit(0)) < 3, 0.5).otherwise(F.least(F.lit(1.0), F.coalesce("n_both", F.lit(0)) / F.col("n_cause")))
+    return j.select("cause", "effect", F.coalesce("strength", naive).alias("p"))
+
+
+def counterfactual(p: DataFrame, targets: DataFrame, interventions: DataFrame) -> DataFrame:
+    """(target, by, p): for each target (node) the intervention (node) of greatest probability; 1 where it is set itself, .5 where nothing leads to it."""
+    best = p.join(interventions.select(F.col("node").alias("cause")), "cause", "left_semi").where("p > 0").groupBy("effect").agg(F.min(F.struct((-F.col("p")).alias("m"), "cause")).alias("b"))
+    t = targets.select(F.col("node").alias("target")).join(best.withColumnRenamed("effect", "target"), "target", "left")
+    own = t.join(interventions.select(F.col("node").alias("target"), F.lit(True).alias("own")), "target", "left")
+    by = F.when(F.col("own"), F.col("target")).otherwise(F.col("b.cause"))
+    return own.select("target", by.alias("by"), F.when(F.col("own"), 1.0).otherwise(F.coalesce(-F.col("b.m"), F.lit(0.5))).alias("p"))
+
+
+def contradictions(strengths: DataFrame, singles: DataFrame, joint: DataFrame, total: int, *, least: float = 0.1, threshold: float = 0.3) -> DataFrame:
+    """(a, b, effect, ratio): causes of one effect, each stronger than ``least``, that are met together by ``threshold`` less often than by chance."""
+    e = strengths.where(F.col("strength") > least).select("cause", "effect")
+    pairs = e.select(F.col("cause").alias("a"), "effect").join(e.select(F.col("cause").alias("b"), "effect"), "effect").where("a < b")
+    one = lambda k: singles.select(F.col("item").alias(k), F.col("n").alias(f"n{k}"))
+    ratio = F.coalesce("n", F.lit(0)) / (F.col("na") * F.col("nb") / F.lit(float(total)))
+    j = pairs.join(one("a"), "a").join(one("b"), "b").join(joint, ["a", "b"], "left").withColumn("ratio", ratio)
+    return j.where(F.col("ratio") < 1 - threshold).select("a", "b", "effect", "ratio")
+
+
+def unsafe_merges(pairs: DataFrame, edges: DataFrame, strengths: DataFrame, opposed: DataFrame) -> DataFrame:
+    """(a, b, reason) of candidate merges (a, b) that causes speak against: an edge or a path between them, effects of very different strength, a contradiction."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    paths = reachable(edges, ends)
+    both = lambda df, x, y: pairs.join(df.select(F.col(x).alias("a"), F.col(y).alias("b")), ["a", "b"], "left_semi").unionByName(pairs.join(df.select(F.col(y).alias("a"), F.col(x).alias("b")), ["a", "b"], "left_semi"))
+    direct, path = both(edges, "source", "target"), both(paths, "root", "node")
+    side = lambda k: strengths.select(F.col("cause").alias(k), "effect", F.col("strength").alias(f"s{k}"))
+    differ = pairs.join(side("a"), "a").join(side("b"), ["b", "effect"]).where("abs(sa - sb) > 0.4").select("a", "b")
+    against = pairs.join(opposed.select("a", "b"), ["a", "b"], "left_semi")
+    reasons = [(direct, "causal relationship"), (path, "causal path"), (differ, "opposing effects"), (against, "contradiction")]
+    out = None
+    for df, why in reasons:
+        one = df.distinct().withColumn("reason", F.lit(why))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def carried_bonus(edges: DataFrame, seeds: DataFrame, *, hops: int = 2, strength: float = 0.5) -> DataFrame:
+    """(query_id, node, bonus): scores of seeds (query_id, node, score) carried to causes and effects and added up over all ways; a hop at depth d gives score * strength * .5 ** d."""
+    links = both_ways(edges)
+    front, total = seeds, None
+    for d in range(hops):
+        step = front.join(links, front.node == links.source).groupBy("query_id", F.col("target").alias("node")).agg((F.sum("score") * strength * 0.5**d).alias("score"))
+        front = workspace.materialise(step, "bonus")
+        total = front if total is None else total.unionByName(front)
+    return total.groupBy("query_id", "node").agg(F.sum("score").alias("bonus"))
+
+
+def conflicts(rules: DataFrame, *, gap: float = 0.3) -> DataFrame:
+    """(a, b): rules (rule, head, body, weight) of one head and one body whose weights differ by more than ``gap``."""
+    key = F.concat_ws("\u0001", "head", F.array_sort("body"))
+    r = rules.select("rule", "weight", key.alias("k"))
+    # rules of one key are ordered by weight; the lightest and the heaviest tell whether any two conflict
+    x, y = r.alias("x"), r.alias("y")
+    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.rule") < F.col("y.rule")))
+    return pairs.where(F.abs(F.col("x.weight") - F.col("y.weight")) > gap).select(F.col("x.rule").alias("a"), F.col("y.rule").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): connected components, named by their least node.
 
@@ -137,7 +221,7 @@ def forward_chain(facts: DataFrame, rules: DataFrame, *, rounds: int = 3, least:
     return known
 
 
-def overlap_pairs(members: DataFrame, *, least: float = 0.7, most_size: int | None = None) -> DataFrame:
+def overlap_pairs(members: DataFrame, *, least: float = 0.7) -> DataFrame:
     """(a, b, jaccard): groups (group, item) whose item sets agree in at least ``least``, a < b.
 
     Found by prefix: the rarest items that must hold one in common. A pair of
