@@ -35,8 +35,14 @@ def quantise_int8(a) -> Column:
     """(scale, codes): symmetric codes in -127..127 with the vector's own scale."""
     v = _c(a).cast("array<double>")
     scale = F.array_max(F.transform(v, F.abs)) / 127.0
-    safe = F.when(scale > 0, scale).otherwise(1.0)
-    return F.struct(safe.alias("scale"), F.transform(v, lambda x: F.round(x / safe).cast("int")).alias("codes"))
+    # the scale is taken once for the vector, not once for each value
+    return F.element_at(
+        F.transform(
+            F.array(F.when(scale > 0, scale).otherwise(1.0)),
+            lambda s: F.struct(s.alias("scale"), F.transform(v, lambda x: F.round(x / s).cast("int")).alias("codes")),
+        ),
+        1,
+    )
 
 
 def poincare_distance(a, b, radius: float = 0.85) -> Column:

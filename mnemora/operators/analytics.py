@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.times import micros
+from mnemora.operators import ranks
 
 
 def distribution(df: DataFrame, by: str) -> DataFrame:
@@ -39,22 +40,32 @@ def lifecycle(nodes: DataFrame, created: str, now: Column) -> DataFrame:
     return nodes.where(F.col(created).isNotNull()).select(h.alias("h")).agg(r(F.avg("h"), "avg_h"), r(F.percentile("h", 0.5), "median_h"), r(F.min("h"), "min_h"), r(F.max("h"), "max_h"))
 
 
+def _placed(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, place, n) of the rows with a value, in its order."""
+    v = df.where(F.col(value).isNotNull()).select(*by, value)
+    n = v.groupBy(*by).agg(F.count("*").alias("n"))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]
+    j = ranks.running(v, by, [value]).alias("x").join(n.alias("y"), same)
+    return j.select(*(F.col(f"x.{c}") for c in by), F.col(f"x.{value}"), "place", "n")
+
+
 def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Linear p50, p95 and p99 per key."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(*by).agg(p.alias("p")).select(*by, *(F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p50", "p95", "p99"))))
+    """Linear p50, p95 and p99 per key, from the values on both sides of each; no task holds a key's values."""
+    r, out = _placed(df, by, value), []
+    for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")):
+        at = (F.col("n") - 1) * q
+        low, high = (F.max(F.when(F.col("place") == f(at) + 1, F.col(value))) for f in (F.floor, F.ceil))
+        out.append(F.round(low + (high - low) * F.max(at - F.floor(at)), 6).alias(name))
+    return r.groupBy(*by).agg(*out)
 
 
 def nearest_p95(df: DataFrame, by: str, value: str) -> DataFrame:
     """Stage summary: count, mean, greatest value and the p95 at index int(n * .95) of the sorted values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by).orderBy(value)
-    n = F.sum("c").over(Window.partitionBy(by))
-    ranked = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", n)
-    return ranked.groupBy(by).agg(
+    at = F.floor(F.col("n") * 0.95) + 1
+    return _placed(df, [by], value).groupBy(by).agg(
         F.max("n").alias("n"),
-        F.round(F.sum(F.col(value) * F.col("c")) / F.max("n"), 6).alias("mean"),
-        F.min(F.when(F.col("upto") > F.floor(F.col("n") * 0.95), F.col(value))).alias("p95"),
+        F.round(F.avg(value), 6).alias("mean"),
+        F.max(F.when(F.col("place") == at, F.col(value))).alias("p95"),
         F.max(value).alias("most"),
     )
 
@@ -74,10 +85,11 @@ def trailing_counts(events: DataFrame, key: str, at: str, seconds: int) -> DataF
 
 
 def spikes(df: DataFrame, key: str, order: list[str], value: str, *, window: int = 100, least: int = 10, threshold: float = 3.0) -> DataFrame:
-    """Rows whose value lies more than ``threshold`` deviations from the mean of the ``window`` rows before."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-window, -1)
+    """Rows whose value lies more than ``threshold`` deviations from the mean of the ``window`` rows before; hot keys are taken in blocks."""
+    w = Window.partitionBy(key, "_block").orderBy(*order).rowsBetween(-window, -1)
     z = F.abs(F.col(value) - F.avg(value).over(w)) / F.stddev_pop(value).over(w)
-    return df.withColumn("seen", F.count(value).over(w)).withColumn("z", z).where((F.col("seen") >= least) & (F.col("z") > threshold)).drop("seen")
+    x = ranks.blocks(df, [key], order, window).withColumn("seen", F.count(value).over(w)).withColumn("z", z)
+    return x.where(F.col("_own") & (F.col("seen") >= least) & (F.col("z") > threshold)).drop("seen", "_own", "_block")
 
 
 def variant(key: Column | str, variants: int) -> Column:
@@ -90,10 +102,11 @@ def variant(key: Column | str, variants: int) -> Column:
 
 
 def trailing_mean_threshold(df: DataFrame, key: str, order: list[str], value: str, *, window: int = 30, least: int = 5, floor: float = 0.01) -> DataFrame:
-    """``df`` with max(floor, mean + half a deviation) of the last ``window`` rows, itself included; null under ``least``."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - window, 0)
+    """``df`` with max(floor, mean + half a deviation) of the last ``window`` rows, itself included; null under ``least``; hot keys are taken in blocks."""
+    w = Window.partitionBy(key, "_block").orderBy(*order).rowsBetween(1 - window, 0)
     t = F.greatest(F.lit(floor), F.avg(value).over(w) + 0.5 * F.stddev_pop(value).over(w))
-    return df.withColumn("threshold", F.when(F.count(value).over(w) >= least, t))
+    x = ranks.blocks(df, [key], order, window - 1).withColumn("threshold", F.when(F.count(value).over(w) >= least, t))
+    return x.where("_own").drop("_own", "_block")
 
 
 def last_n(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:

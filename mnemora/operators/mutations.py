@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.times import micros
+from mnemora.operators import ranks
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
@@ -32,14 +33,9 @@ def decay(nodes: DataFrame, rate: Column, steps: Column, *, amplitude_floor: flo
 
 
 def beyond_capacity(nodes: DataFrame, keep: int, key: str = "node_id") -> DataFrame:
-    """Rows beyond the ``keep`` of greatest salience * amplitude.
-
-    The last kept value is found from a top-k, so the table is not sorted in one task.
-    """
+    """Rows beyond the ``keep`` of greatest salience * amplitude, by ranks taken in ranges, so no task sorts the table."""
     worth = F.coalesce(F.col("salience") * F.col("amplitude"), F.lit(0.0))
-    scored = nodes.withColumn("worth", worth)
-    edge = scored.select("worth", key).orderBy(F.desc("worth"), key).limit(keep).agg(F.max(F.struct(-F.col("worth"), F.col(key))).alias("e"))
-    return scored.crossJoin(F.broadcast(edge)).where(F.col("e").isNull() | (F.struct(-F.col("worth"), F.col(key)) > F.col("e"))).drop("e", "worth")
+    return ranks.running(nodes.withColumn("worth", worth), [], [F.desc("worth"), key]).where(F.col("place") > keep).drop("place", "worth")
 
 
 def prunable(nodes: DataFrame, policy: DataFrame, created: str, now: Column) -> DataFrame:
@@ -50,18 +46,16 @@ def prunable(nodes: DataFrame, policy: DataFrame, created: str, now: Column) ->
 
 
 def expired(rows: DataFrame, key: str, at: str, *, cutoff: Column, keep: int) -> DataFrame:
-    """Rows older than the cut-off or beyond the newest ``keep``."""
-    edge = rows.select(at, key).where(F.col(at).isNotNull()).orderBy(F.desc(at), key).limit(keep).agg(F.max(F.struct(-micros(at), F.col(key))).alias("e"))
-    beyond = F.struct(-micros(at), F.col(key)) > F.col("e")
-    return rows.crossJoin(F.broadcast(edge)).where((F.col(at) < cutoff) | beyond).drop("e")
+    """Rows older than the cut-off or beyond the newest ``keep``; rows without a time are neither."""
+    timed = ranks.running(rows.where(F.col(at).isNotNull()), [], [F.desc(at), key])
+    return timed.where((F.col(at) < cutoff) | (F.col("place") > keep)).drop("place")
 
 
 def tiers(access: DataFrame, hot: int, warm: int) -> DataFrame:
     """(key, tier) from (key, hits, last): the ``hot`` most used, then the ``warm`` last used of the rest, else cold."""
-    a = access.orderBy(F.desc("hits"), "key").limit(hot).select("key", F.lit("hot").alias("tier"))
-    rest = access.join(a, "key", "left_anti")
-    b = rest.orderBy(F.desc("last"), "key").limit(warm).select("key", F.lit("warm").alias("tier"))
-    return access.select("key").join(a.unionByName(b), "key", "left").select("key", F.coalesce("tier", F.lit("cold")).alias("tier"))
+    a = ranks.running(access, [], [F.desc("hits"), "key"], name="used")
+    b = ranks.running(a.where(F.col("used") > hot), [], [F.desc("last"), "key"], name="fresh").select("key", F.when(F.col("fresh") <= warm, "warm").otherwise("cold").alias("tier"))
+    return a.where(F.col("used") <= hot).select("key", F.lit("hot").alias("tier")).unionByName(b)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, value: list[str]) -> DataFrame:

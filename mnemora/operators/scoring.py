@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemora.operators import ranks
+
 _NODE = ("phase", "amplitude", "salience", "gate", "session")
 
 
@@ -59,7 +61,7 @@ def topk(
     Scores are rounded to ``digits`` before they are ranked.
     """
     spark = nodes.sparkSession
-    extra = [c for c in _NODE if c in nodes.columns]
+    extra = [c for c in (*_NODE, "scale") if c in nodes.columns]
     kind = nodes.schema["id"].dataType
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
     source = nodes.select("id", "vector", *extra).where("id is not null and vector is not null")
@@ -80,6 +82,8 @@ def topk(
                 if not len(b):
                     continue
                 x = np.array(b.vector.tolist(), np.float64)
+                if "scale" in b:  # codes of a byte a value
+                    x *= b["scale"].to_numpy(float)[:, None]
                 s = _spatial(q, x, kernel, bandwidth, radius)
                 if coupling and "phase" in b:
                     s *= (1 - coupling) + coupling * (0.5 + 0.5 * np.cos(b.phase.fillna(0.0).to_numpy(float)[:, None] - phase[None, :]))
@@ -91,11 +95,18 @@ def topk(
                 s = np.round(s, digits)
                 names = b.id.to_numpy()
                 by_id = np.argsort(names, kind="stable")
-                for j in range(s.shape[1]):
-                    best = by_id[np.argsort(-s[by_id, j], kind="stable")[:k]]
-                    if least is not None:
-                        best = best[s[best, j] >= least]
-                    yield pd.DataFrame({"query_id": [ids[j]] * len(best), "id": names[best], "score": s[best, j]})
+                s, names = s[by_id], names[by_id]
+                some = s
+                if len(s) > 4 * k:  # ties at the edge stay in, so that the lesser ids win them below
+                    edge = np.partition(s, len(s) - k, axis=0)[len(s) - k]
+                    some = np.where(s >= edge[None, :], s, -np.inf)
+                row, col = np.nonzero(some > (-np.inf if least is None else least - 0.5 * 10.0**-digits))
+                value = s[row, col]
+                order = np.lexsort((row, -value, col))
+                row, col, value = row[order], col[order], value[order]
+                place = np.arange(len(col)) - np.searchsorted(col, col)
+                row, col, value = row[place < k], col[place < k], value[place < k]
+                yield pd.DataFrame({"query_id": np.array(ids, object)[col] if isinstance(ids[0], str) else np.array(ids)[col], "id": names[row], "score": value})
 
         return source.mapInPandas(run, schema)
 
@@ -170,22 +181,32 @@ def confident_depth(scored: DataFrame) -> DataFrame:
 
 
 def route(nodes: DataFrame, centres: DataFrame, s: int = 1) -> DataFrame:
-    """(id, shard, rank): the ``s`` nearest of the centres (shard, vector) for each node."""
-    near = topk(centres.select(F.col("shard").alias("id"), "vector"), nodes.select(F.col("id").alias("query_id"), "vector"), s, kernel="euclidean")
-    return near.select(F.col("query_id").alias("id"), F.col("id").alias("shard"), "rank")
+    """(id, shard, rank): the ``s`` nearest of the centres (shard, vector) for each node.
+
+    The centres are the few: they are sent to the nodes, which stay where they are.
+    """
+    rows = sorted((r.shard, r.vector) for r in centres.where("vector is not null").collect())  # a row a centre
+    names, c = np.array([k for k, _ in rows]), np.array([v for _, v in rows], np.float64)
+    held = nodes.sparkSession.sparkContext.broadcast((names, c))
+    schema = T.StructType([T.StructField("id", nodes.schema["id"].dataType), T.StructField("shard", centres.schema["shard"].dataType), T.StructField("rank", T.IntegerType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shards, x = held.value
+        for b in batches:
+            if len(b) and len(x):
+                d = np.round(_spatial(x, np.array(b.vector.tolist(), np.float64), "euclidean", 1.0, 1.0), 6)
+                near = np.argsort(-d, axis=1, kind="stable")[:, :s]  # centres are in the order of their names
+                yield pd.DataFrame({"id": np.repeat(b.id.to_numpy(), near.shape[1]), "shard": shards[near.ravel()], "rank": np.tile(np.arange(1, near.shape[1] + 1), len(b))})
+
+    return nodes.select("id", "vector").where("id is not null and vector is not null").mapInPandas(run, schema)
 
 
 def conformal_threshold(calibration: DataFrame, score: str, alpha: float = 0.1) -> DataFrame:
     """One row ``threshold``: the (n - k + 1)-th least score with k = ceil((n + 1)(1 - alpha)); 0 where k > n.
 
-    Taken from counts per distinct score, so no task sorts the whole set.
+    By ranks taken in ranges, so no task sorts the whole set.
     """
-    counts = calibration.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("c"))
-    n = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    placed = ranks.running(calibration.where(F.col(score).isNotNull()).select(F.col(score).alias("s")), [], ["s"])
+    n = placed.agg(F.count("*").alias("n"))
     k = F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-9)
-    place = F.col("n") - k + 1
-    upto = F.sum("c").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        counts.withColumn("upto", upto).crossJoin(n).where(F.col("upto") >= place).where(k <= F.col("n"))
-        .agg(F.coalesce(F.min("s"), F.lit(0.0)).alias("threshold"))
-    )
+    return placed.crossJoin(F.broadcast(n)).where((F.col("place") == F.col("n") - k + 1) & (k <= F.col("n"))).agg(F.coalesce(F.min("s"), F.lit(0.0)).alias("threshold"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import text as T
 from mnemora.operators import lexical as L
-from mnemora.operators import scoring
+from mnemora.operators import ranks
 from mnemora.sources.tables import table
 
 _KEYS = {"doc_key": "doc_id", "doc_text": "text", "query_key": "item_id", "query_text": "query"}
@@ -40,18 +40,10 @@ def token_df_idf(s, d):
 
 
 def hybrid_minmax(s, d):
-    a, b = L.bm25(_docs(s, d), _asked(s, d), **_KEYS), L.sparse_dot(_docs(s, d), _asked(s, d), **_KEYS)
-    return L.ranked(L.fuse({"bm25": (a, 0.7), "dot": (b, 0.3)}, L.minmax), 10, digits=5)
-
-
-def fusion_three_way(s, d):
-    a, b = L.bm25(_docs(s, d), _asked(s, d), **_KEYS), L.sparse_dot(_docs(s, d), _asked(s, d), **_KEYS)
-    c = L.bm25(_docs(s, d), _asked(s, d), binary=True, **_KEYS)
-    return L.ranked(L.fuse({"a": (a, 0.4), "b": (b, 0.35), "c": (c, 0.25)}), 10, digits=5)
-
-
-def confidence_fallback(s, d):
-    return L.confidence(L.bm25(_docs(s, d), _asked(s, d), **_KEYS), sure=20.0, some=5.0)
+    """Two lexical scores over their ranges, from one set of postings; the hybrid with vectors is ``rocchio_hybrid``."""
+    cut, q = L.tokenised(_docs(s, d), "doc_id", "text"), L.query_terms(_asked(s, d), "item_id", "query")
+    p = L.postings(cut, q)
+    return L.ranked(L.fuse({"bm25": (L.bm25_of(cut, q, p=p), 0.7), "dot": (L.sparse_dot_of(p, q), 0.3)}, L.minmax), 10, digits=5)
 
 
 def pmi_pairs(s, d):
@@ -93,8 +85,7 @@ def token_estimates(s, d):
 def token_budget_cut(s, d):
     """The documents of each source that fit a budget in order, ended by the first that does not."""
     t = _docs(s, d).where("text is not null").select("source", "doc_id", T.token_estimate("text").alias("t"))
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("used", F.sum("t").over(w)).where("used <= 2000").select("source", "doc_id", "used")
+    return ranks.running(t, ["source"], ["doc_id"], "t", "used").where("used <= 2000").select("source", "doc_id", "used")
 
 
 def dedup_prefix5(s, d):
@@ -213,9 +204,6 @@ SQL = {
         SELECT term, count(*) AS df, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM t, n GROUP BY term""",
     "hybrid_minmax": f"""WITH {_BASE}, u AS (SELECT query_id, doc_id, 0.7::DOUBLE * {_MM} AS s FROM bm UNION ALL SELECT query_id, doc_id, 0.3::DOUBLE * {_MM} AS s FROM sd),
         z AS (SELECT query_id, doc_id, sum(s) AS score FROM u GROUP BY ALL) {_rank('z', 5)}""",
-    "fusion_three_way": f"""WITH {_BASE}, u AS (SELECT query_id, doc_id, 0.4::DOUBLE * {_BM} AS s FROM bm UNION ALL SELECT query_id, doc_id, 0.35::DOUBLE * {_BM} AS s FROM sd
-        UNION ALL SELECT query_id, doc_id, 0.25::DOUBLE * {_BM} AS s FROM bb), z AS (SELECT query_id, doc_id, sum(s) AS score FROM u GROUP BY ALL) {_rank('z', 5)}""",
-    "confidence_fallback": f"WITH {_BASE} SELECT query_id, round(max(score), 6) AS best, CASE WHEN max(score) >= 20 THEN 'confident' WHEN max(score) >= 5 THEN 'fallback' ELSE 'unknown' END AS verdict FROM bm GROUP BY query_id",
     "pmi_pairs": f"WITH {_PMI} SELECT a, b, n, round(pmi, 5) AS pmi FROM pm",
     "query_expand_pmi": f"""WITH {_PMI}, q AS (SELECT DISTINCT item_id AS query_id, unnest({_T('query')}) AS term FROM eval_items WHERE item_id % 100 = 0),
         b2 AS (SELECT a AS term, b AS other, pmi FROM pm WHERE pmi >= 0.5 UNION ALL SELECT b, a, pmi FROM pm WHERE pmi >= 0.5),

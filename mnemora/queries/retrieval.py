@@ -44,7 +44,7 @@ def bm25_then_resonance(s, d):
     return R.staged(_lexical(s, d, n), n, _asked(n), R.resonance(0.3), candidates=40, k=10)
 
 
-def three_way_fusion(s, d):
+def fusion_three_way(s, d):
     n = _placed(s, d)
     return R.three_way(_dense(n, 30), R.best(_lexical(s, d, n), 30), n, _asked(n), k=10)
 
@@ -65,7 +65,7 @@ def rocchio_hybrid(s, d):
     return R.best(R.ranged_sum(again, lexical, 0.7), 10, digits=5)
 
 
-def confidence_rows(s, d):
+def confidence_fallback(s, d):
     n = _placed(s, d)
     lexical = R.best(_lexical(s, d, n).withColumn("score", F.col("score") / 100), 5).drop("rank")
     return R.by_confidence(_dense(n, 5).where("score < 0.9 or id not like '%5'").where("query_id <> id"), lexical).withColumn("score", F.round("score", 6))
@@ -182,7 +182,7 @@ _RANGE = "({0} - min({0}) OVER (PARTITION BY query_id)) / (max({0}) OVER (PARTIT
 _HY = f"SELECT query_id, id, 0.7::DOUBLE * {_RANGE.format('score')} + 0.3::DOUBLE * {_RANGE.format('b')} AS score FROM (SELECT query_id, id, {{dense}} AS score, coalesce(bm.score, 0.0) AS b FROM {{src}} LEFT JOIN bm USING (query_id, id))"
 SQL = {
     "bm25_then_resonance": f"WITH {_P}, {_BM}, c AS {_top('bm', 40)} SELECT * FROM {_top('(SELECT rs.* FROM rs JOIN c USING (query_id, id))', 10)}",
-    "three_way_fusion": f"""WITH {_P}, {_BM}, a AS {_top('rs', 30)}, b AS {_top('bm', 30)}, u AS (SELECT query_id, id, 0.4::DOUBLE * {_MAX} AS s FROM a UNION ALL SELECT query_id, id, 0.35::DOUBLE * {_MAX} FROM b),
+    "fusion_three_way": f"""WITH {_P}, {_BM}, a AS {_top('rs', 30)}, b AS {_top('bm', 30)}, u AS (SELECT query_id, id, 0.4::DOUBLE * {_MAX} AS s FROM a UNION ALL SELECT query_id, id, 0.35::DOUBLE * {_MAX} FROM b),
         z AS (SELECT * FROM u UNION ALL SELECT query_id, id, 0.25::DOUBLE * (0.5 + 0.5 * dp) FROM pr SEMI JOIN u USING (query_id, id)), f AS (SELECT query_id, id, sum(s) AS score FROM z GROUP BY ALL)
         SELECT * FROM {_top('f', 10, 5)}""",
     "facade_blend": f"""WITH {_P}, {_BM}, a AS {_top('rs', 10)}, b AS (SELECT query_id, id, {_MAX} AS b FROM {_top('bm', 20)}),
@@ -192,7 +192,7 @@ SQL = {
         fb AS (SELECT query_id, dim, avg(x) AS m FROM (SELECT query_id, unnest(v) AS x, unnest(range(64)) AS dim FROM f JOIN n USING (id)) GROUP BY ALL), fl AS (SELECT query_id, list(m ORDER BY dim) AS m FROM fb GROUP BY 1),
         q2 AS (SELECT query_id, list_transform(list_zip(qv, m), lambda z: z[1] + 0.3::DOUBLE * z[2]) AS w FROM q JOIN fl USING (query_id)),
         p2 AS (SELECT query_id, id, list_inner_product(v, w) / (sqrt(list_inner_product(w, w)) + 1e-8) AS dq FROM n, q2), h2 AS ({_HY.format(dense='dq', src='p2')}) SELECT * FROM {_top('h2', 10, 5)}""",
-    "confidence_rows": f"""WITH {_P}, {_BM}, a AS (SELECT * FROM {_top('rs', 5)} WHERE (score < 0.9 OR id NOT LIKE '%5') AND query_id <> id), b AS {_top('(SELECT query_id, id, score / 100 AS score FROM bm)', 5)},
+    "confidence_fallback": f"""WITH {_P}, {_BM}, a AS (SELECT * FROM {_top('rs', 5)} WHERE (score < 0.9 OR id NOT LIKE '%5') AND query_id <> id), b AS {_top('(SELECT query_id, id, score / 100 AS score FROM bm)', 5)},
         t AS (SELECT query_id, CASE WHEN coalesce(x.m, 0) >= 0.3 THEN 'confident' WHEN coalesce(y.m, 0) >= 0.1 THEN 'fallback' ELSE 'unknown' END AS verdict
           FROM (SELECT query_id, max(score) AS m FROM a GROUP BY 1) x FULL JOIN (SELECT query_id, max(score) AS m FROM b GROUP BY 1) y USING (query_id))
         SELECT query_id, id, round(score, 6) AS score, verdict FROM a JOIN t USING (query_id) WHERE verdict = 'confident' UNION ALL SELECT query_id, id, round(score * 0.5, 6), verdict FROM b JOIN t USING (query_id) WHERE verdict = 'fallback'

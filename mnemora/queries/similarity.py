@@ -49,9 +49,11 @@ def int8_roundtrip(spark, d):
 
 
 def int8_topk(spark, d):
-    n = _nodes(spark, d).withColumn("q", V.quantise_int8("vector"))
-    n = n.select("id", F.transform("q.codes", lambda c: c * F.col("q.scale")).alias("vector"))
-    return scoring.topk(n, _asked(_nodes(spark, d)), 10)
+    """Codes and their scale are scored as they are: the kernel brings them back within the matrix product."""
+    q = V.quantise_int8("vector")
+    n = _nodes(spark, d).select("id", q.alias("q"), "vector")
+    codes = n.select("id", F.col("q.codes").cast("array<tinyint>").alias("vector"), F.col("q.scale").alias("scale"))
+    return scoring.topk(codes, _asked(_nodes(spark, d)), 10)
 
 
 def softmax_attention(spark, d):
