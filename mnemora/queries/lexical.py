@@ -113,7 +113,7 @@ def modality_detect(s, d):
     return _docs(s, d).where("text is not null").groupBy(T.modality("text").alias("modality")).agg(F.count("*").alias("n"))
 
 
-def intent_classify(s, d):
+def query_kinds(s, d):
     return table(s, d, "eval_items").select("item_id", T.query_kind("query").alias("kind"))
 
 
@@ -232,7 +232,7 @@ SQL = {
     "tier_detect": f"""SELECT CASE WHEN {_any('text', T.PROCEDURAL)} THEN 'procedural' WHEN regexp_matches(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}/\\d{{2}}/\\d{{4}}') OR {_any('text', T.EPISODIC)} THEN 'episodic' ELSE 'semantic' END AS tier,
         count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL""",
     "modality_detect": f"SELECT {_MOD} AS modality, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL",
-    "intent_classify": f"SELECT item_id, {_KIND} AS kind FROM eval_items",
+    "query_kinds": f"SELECT item_id, {_KIND} AS kind FROM eval_items",
     "cascade_route": f"SELECT CASE {_KIND} WHEN 'factual' THEN 'fast' WHEN 'ambiguous' THEN 'standard' ELSE 'deep' END AS route, count(*) AS n FROM eval_items GROUP BY ALL",
     "security_scan": " UNION ALL ".join(f"SELECT doc_id, '{p}' AS violation FROM documents WHERE regexp_matches({_CLEAN}, '{p}')" for p in T.INJECTIONS) + " UNION ALL SELECT doc_id, 'too long' FROM documents WHERE length(text) > 10000",
     "answer_overlap": f"""WITH e AS (SELECT rec_id, list_distinct(coalesce({_T('query')}, [])) AS q, list_distinct(coalesce({_T('answer')}, [])) AS a, list_distinct(coalesce({_T('context')}, [])) AS c FROM rubq_records)
