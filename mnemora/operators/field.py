@@ -110,13 +110,42 @@ def whole_health(nodes: DataFrame, *, radius: float = 2.0, slack: float = 0.75,
     return a.select("nodes", "dead", F.round("fragmented", 6).alias("fragmented"), F.round("mean", 6).alias("mean_pairwise"), "hyperconverged", state.alias("state"))
 
 
-def merge_candidates(nodes: DataFrame, asked: DataFrame, *, reach: float = 2.5, gap: float = 1.0) -> DataFrame:
-    """(query_id, id, distance): the nearest node within reach whose phase lies more than ``gap`` apart on the circle, of ten nearest."""
-    n = neighbours(nodes, asked, 10).where(F.col("distance") < reach).join(nodes.select("id", F.col("phase").alias("p")), "id")
-    n = n.join(nodes.select(F.col("id").alias("query_id"), F.col("phase").alias("q")), "query_id")
-    d = F.pmod(F.abs(F.col("p") - F.col("q")), F.lit(TWO_PI))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return n.where(F.least(d, TWO_PI - d) > gap).withColumn("place", F.row_number().over(w)).where("place = 1").select("query_id", "id", "distance")
+def merge_candidates(nodes: DataFrame, asked: DataFrame, *, reach: float = 2.5, gap: float = 1.0, block_rows: int = 4096) -> DataFrame:
+    """(query_id, id, distance): the nearest node within reach whose phase lies more than ``gap`` apart on the circle.
+
+    Blocks of queries against all nodes; a batch gives one row a query, so none is cut off by nearer nodes of a like phase.
+    """
+    spark = nodes.sparkSession
+    source = nodes.select("id", "vector", "phase").where("id is not null and vector is not null and phase is not null")
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {nodes.schema['id'].dataType.simpleString()}, distance double"
+
+    def one(block: list) -> DataFrame:
+        held = spark.sparkContext.broadcast((np.array([r.query_id for r in block]), np.array([r.vector for r in block], np.float64), np.array([r.phase for r in block], np.float64)))
+
+        def run(batches):
+            ids, q, phase = held.value
+            for b in batches:
+                if not len(b):
+                    continue
+                d = np.round(-scoring._spatial(q, np.array(b.vector.tolist(), np.float64), "euclidean", 1.0, 1.0), 6)
+                apart = np.abs(b.phase.to_numpy(float)[:, None] - phase[None, :]) % TWO_PI
+                names = b.id.to_numpy()
+                fit = (np.minimum(apart, TWO_PI - apart) > gap) & (d < reach) & (names[:, None] != ids[None, :])
+                order = np.argsort(names, kind="stable")
+                d = np.where(fit, d, np.inf)[order]
+                best = d.argmin(0)
+                ok = np.isfinite(d[best, np.arange(len(ids))])
+                yield pd.DataFrame({"query_id": ids[ok], "id": names[order][best[ok]], "distance": d[best, np.arange(len(ids))][ok]})
+
+        return source.mapInPandas(run, schema)
+
+    out, block = spark.createDataFrame([], schema), []
+    for r in asked.select("query_id", "vector", "phase").where("vector is not null and phase is not null").toLocalIterator():
+        block.append(r)
+        if len(block) == block_rows:
+            out, block = out.unionByName(one(block)), []
+    out = out.unionByName(one(block)) if block else out
+    return out.groupBy("query_id").agg(F.min(F.struct("distance", "id")).alias("b")).select("query_id", "b.id", "b.distance")
 
 
 def engrams(activations: DataFrame, *, least: float = 0.6, most: int = 20) -> DataFrame:

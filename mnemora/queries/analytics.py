@@ -165,8 +165,13 @@ def tier_coherence(s, d):
 
 def lyapunov(s, d):
     """Energy of each day's nodes and its change from the day before."""
-    n = nodes(s, d).groupBy(F.to_date("created_at").cast("string").alias("day")).agg(F.avg(1 - F.col("confidence")).alias("t"), F.avg((F.col("state") == "disputed").cast("double")).alias("c"))
-    v = 0.4 * F.col("t") * F.col("t") + 0.2 * F.col("c")
+    day = F.to_date("created_at").cast("string").alias("day")
+    n = nodes(s, d).groupBy(day).agg(F.avg(1 - F.col("confidence")).alias("t"), F.avg((F.col("state") == "disputed").cast("double")).alias("c"), F.count("*").alias("all"))
+    # entropy of the day's tiers over the greatest possible of four
+    tiers = nodes(s, d).groupBy(day, "tier").agg(F.count("*").alias("k")).join(n.select(F.col("day").alias("of"), "all"), F.col("day").eqNullSafe(F.col("of")))
+    h = tiers.groupBy("of").agg(F.sum(-F.col("k") / F.col("all") * F.log2(F.col("k") / F.col("all"))).alias("h"))
+    n = n.join(h, F.col("day").eqNullSafe(F.col("of")))
+    v = 0.4 * F.col("t") * F.col("t") + 0.3 * F.col("h") / 2 + 0.2 * F.col("c")
     return n.select("day", v.alias("v")).select("day", F.round("v", 6).alias("v"), F.round(F.col("v") - F.lag("v").over(Window.orderBy("day")), 6).alias("dv"))
 
 
@@ -210,6 +215,11 @@ def dead_nodes(s, d):
     return nodes(s, d).where("amplitude < 0.05 or salience < 0.025").select("node_id")
 
 
+def dead_nodes_strict(s, d):
+    """Nodes under half of the greatest amplitude or a quarter of the greatest salience."""
+    return nodes(s, d).where("amplitude < 0.5 or salience < 0.25").select("node_id")
+
+
 def capacity_prune(s, d):
     return M.beyond_capacity(nodes(s, d), 500).select("node_id")
 
@@ -348,7 +358,8 @@ SQL = {
         x AS (SELECT node_id, phase + 0.01::DOUBLE * (0.5::DOUBLE / n) * (cos(phase) * sn - sin(phase) * cs) AS x FROM nodes JOIN s USING (domain) WHERE phase IS NOT NULL)
         SELECT node_id, round(x - floor(x / 6.283185307179586) * 6.283185307179586, 6) AS phase FROM x""",
     "tier_coherence": f"WITH {_N} SELECT round(avg(c), 6) AS coherence FROM (SELECT 1 - stddev_pop(amplitude) AS c FROM nodes GROUP BY tier)",
-    "lyapunov": f"""WITH {_N}, v AS (SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, 0.4::DOUBLE * pow(avg(1 - confidence), 2) + 0.2::DOUBLE * avg(CAST(state = 'disputed' AS DOUBLE)) AS v FROM nodes GROUP BY ALL)
+    "lyapunov": f"""WITH {_N}, n AS (SELECT *, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day FROM nodes), k AS (SELECT day, tier, count(*) AS k FROM n GROUP BY ALL), h AS (SELECT day, sum(-p * log2(p)) AS h FROM (SELECT day, k / sum(k) OVER (PARTITION BY day) AS p FROM k) GROUP BY day),
+        a AS (SELECT day, 0.4::DOUBLE * pow(avg(1 - confidence), 2) + 0.2::DOUBLE * avg(CAST(state = 'disputed' AS DOUBLE)) AS v FROM n GROUP BY day), v AS (SELECT a.day, a.v + 0.3::DOUBLE * h / 2 AS v FROM a JOIN h ON a.day IS NOT DISTINCT FROM h.day)
         SELECT day, round(v, 6) AS v, round(v - lag(v) OVER (ORDER BY day NULLS FIRST), 6) AS dv FROM v""",
     "kurtosis": f"WITH {_N} SELECT domain, round(CASE WHEN count(salience) < 4 THEN 3.0 ELSE kurtosis_pop(salience) + 3 END, 5) AS kurtosis FROM nodes GROUP BY domain",
     "field_state": f"WITH {_N} SELECT count(*) AS n, round(avg(phase), 6) AS phase, round(avg(amplitude), 6) AS amplitude, round(avg(salience), 6) AS salience, round(avg(confidence), 6) AS confidence FROM nodes",
@@ -360,6 +371,7 @@ SQL = {
     "decay_closed_form": f"""WITH {_N}, f AS (SELECT *, pow(CASE tier WHEN 'episodic' THEN 0.992::DOUBLE WHEN 'procedural' THEN 1.0 ELSE 0.999 END, 100) AS f FROM nodes)
         SELECT node_id, round(greatest(0.05, least(1.0, amplitude * f)), 6) AS amplitude, round(greatest(0.025, least(1.0, salience * f)), 6) AS salience FROM f""",
     "dead_nodes": f"WITH {_N} SELECT node_id FROM nodes WHERE amplitude < 0.05 OR salience < 0.025",
+    "dead_nodes_strict": f"WITH {_N} SELECT node_id FROM nodes WHERE amplitude < 0.5 OR salience < 0.25",
     "capacity_prune": f"WITH {_N} SELECT node_id FROM (SELECT node_id, row_number() OVER (ORDER BY coalesce(salience * amplitude, 0) DESC, node_id) AS k FROM nodes) WHERE k > 500",
     "tier_policy_prune": f"""WITH {_N}, p(tier, h, s, a) AS (VALUES ('episodic', 24, 0.3, 0.6), ('semantic', 168, 0.1, 0.4), ('procedural', 336, 0.05, 0.3))
         SELECT node_id FROM nodes JOIN p USING (tier) WHERE (epoch_us({_NOW}) - epoch_us(created_at)) / 3.6e9 >= h AND salience <= s AND amplitude <= a""",

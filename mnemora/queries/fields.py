@@ -71,6 +71,12 @@ def dp_clip(s, d):
     return _nodes(s, d).select("id", F.round(V.norm(D.clipped("vector", 0.5)), 6).alias("norm"))
 
 
+def field_position(s, d):
+    """Mean position of all nodes, value by value."""
+    x = _nodes(s, d).select(F.posexplode("vector").alias("dim", "x"))
+    return x.groupBy("dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
 
 _NEAR = f"""{_N}, a AS (SELECT query_id, id, round(-sqrt(d2), 6) AS s FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM a),
@@ -83,7 +89,7 @@ SQL = {
     "field_health": f"""WITH {_NEAR}, x AS (SELECT distance FROM nn WHERE place = 1), m AS (SELECT quantile_cont(distance, 0.5) AS m FROM x),
         hh AS (SELECT count(*) AS asked, count(*) FILTER (distance > m * 1.75::DOUBLE) AS dead, avg(CAST(distance > 2 AS DOUBLE)) AS f, avg(distance) AS mean FROM x, m)
         SELECT asked, dead, round(f, 6) AS fragmented, round(mean, 6) AS mean, CASE WHEN mean < 0.05 OR f > 0.8 THEN 'critical' WHEN dead > 0.3 * asked OR f > 0.6 THEN 'degraded' ELSE 'healthy' END AS state FROM hh""",
-    "merge_candidates": f"""WITH {_NEAR}, c AS (SELECT nn.query_id, nn.id, distance, abs(CAST(n.phase AS DOUBLE) - q.qphase) % 6.283185307179586 AS g FROM nn JOIN n ON n.id = nn.id JOIN q ON q.query_id = nn.query_id WHERE place <= 10 AND distance < 2.5)
+    "merge_candidates": f"""WITH {_NEAR}, c AS (SELECT nn.query_id, nn.id, distance, abs(CAST(n.phase AS DOUBLE) - q.qphase) % 6.283185307179586 AS g FROM nn JOIN n ON n.id = nn.id JOIN q ON q.query_id = nn.query_id WHERE distance < 2.5)
         SELECT query_id, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS k FROM c WHERE least(g, 6.283185307179586 - g) > 1) WHERE k = 1""",
     "engram_members": f"WITH {_EN} SELECT engram, id, round(weight * pow(0.998::DOUBLE, 100), 6) AS weight FROM en",
     "engram_centroids": f"""WITH {_EN}, x AS (SELECT engram, weight, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM en JOIN n USING (id))
@@ -92,6 +98,7 @@ SQL = {
         s AS (SELECT *, round(exp(-pow(list_distance(v, hv), 2) / 2), 6) AS score FROM h), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s)
         SELECT query_id, CASE WHEN score > 0.3 THEN id END AS id, CASE WHEN score > 0.3 THEN 'reinforce' ELSE 'insert' END AS action,
           round(CASE WHEN score > 0.3 THEN sqrt(list_sum(list_transform(list_zip(v, hv), lambda z: pow(z[1] + 0.02 * (z[2] - z[1]), 2)))) ELSE sqrt(list_inner_product(hv, hv)) END, 5) AS norm FROM b WHERE k = 1""",
+    "field_position": "SELECT CAST(dim AS INT) AS dim, round(avg(x), 6) AS mean FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY dim",
     "dp_clip": f"WITH {_N} SELECT id, round(least(sqrt(list_inner_product(v, v)), 0.5), 6) AS norm FROM n",
 }
 

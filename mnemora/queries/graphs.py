@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mnemora import workspace
 from mnemora.operators import graph as G
+from mnemora.operators.lexical import small
 from mnemora.queries.analytics import _N, nodes
 from mnemora.sources.tables import table
 
@@ -86,9 +88,9 @@ def trust_consensus(s, d):
     """Ratings of a document weighted by the raters' squared agreement with the majority."""
     r = table(s, d, "doc_labels").where("quality is not null").select("doc_id", "rater", "quality")
     mean = r.groupBy("doc_id").agg(F.avg("quality").alias("m"))
-    rep = r.join(mean, "doc_id").groupBy("rater").agg((1 / (1 + F.avg(F.abs(F.col("quality") - F.col("m"))))).alias("rep"))
+    rep = workspace.materialise(r.join(mean, "doc_id").groupBy("rater").agg((1 / (1 + F.avg(F.abs(F.col("quality") - F.col("m"))))).alias("rep")), "raters")
     w = F.col("rep") * F.col("rep")
-    return r.join(F.broadcast(rep), "rater").groupBy("doc_id").agg(F.round(F.sum(w * F.col("quality")) / F.sum(w), 6).alias("consensus"))
+    return r.join(small(rep), "rater").groupBy("doc_id").agg(F.round(F.sum(w * F.col("quality")) / F.sum(w), 6).alias("consensus"))
 
 
 def forward_chaining(s, d):

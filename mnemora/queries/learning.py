@@ -195,7 +195,7 @@ def _round(k: int) -> str:
 
 
 _DIST = "sqrt(greatest(list_sum(list_transform(list_zip(x.v, y.v), lambda z: pow(z[1] - z[2], 2))), 0))"
-_CAND = f"""{_ALL}, cc AS (SELECT nn.query_id, nn.id, distance, abs(CAST(n.phase AS DOUBLE) - q.qphase) % 6.283185307179586 AS g FROM nn JOIN n ON n.id = nn.id JOIN q ON q.query_id = nn.query_id WHERE place <= 10 AND distance < 2.5),
+_CAND = f"""{_ALL}, cc AS (SELECT nn.query_id, nn.id, distance, abs(CAST(n.phase AS DOUBLE) - q.qphase) % 6.283185307179586 AS g FROM nn JOIN n ON n.id = nn.id JOIN q ON q.query_id = nn.query_id WHERE distance < 2.5),
 cd AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS k FROM cc WHERE least(g, 6.283185307179586 - g) > 1) WHERE k = 1)"""
 _DEAD = f"{_ALL}, x1 AS (SELECT query_id, distance FROM nn WHERE place = 1), md AS (SELECT quantile_cont(distance, 0.5) AS m FROM x1), dd AS (SELECT query_id AS id FROM x1, md WHERE distance > m * 1.04::DOUBLE)"
 _NRM = "sqrt(list_inner_product({0}, {0}))"

@@ -192,6 +192,10 @@ def _case(c: str, table_: list, last: str) -> str:
     return "CASE " + " ".join(f"WHEN {_any(c, n)} THEN '{k}'" for k, n in table_) + f" ELSE '{last}' END"
 
 
+def _part(pattern: str, group: int) -> str:
+    return f"regexp_replace(lower(trim(regexp_extract(s, '(?i){pattern}', {group}))), '[^\\p{{L}}\\p{{N}}_]+$', '')"
+
+
 _KIND = "CASE WHEN regexp_matches(lower(query), '\\b({})\\b') THEN 'causal' WHEN regexp_matches(lower(query), '\\b({})\\b') THEN 'factual' ELSE 'ambiguous' END".format("|".join(T.CAUSAL_CUES), "|".join(T.FACTUAL_CUES))
 _EST = "CAST(greatest(1, floor(length(text) / CASE WHEN regexp_matches(text, '[\\x{0400}-\\x{04FF}]') THEN 6 ELSE 4 END)) AS INT)"
 _CLEAN = "translate(regexp_replace(lower(text), '[\\x{200b}-\\x{200f}\\x{2060}\\x{feff}\\x{00ad}]', '', 'g'), 'аеорсхіјѕ', 'aeopcxijs')"
@@ -235,6 +239,11 @@ SQL = {
     "query_kinds": f"SELECT item_id, {_KIND} AS kind FROM eval_items",
     "cascade_route": f"SELECT CASE {_KIND} WHEN 'factual' THEN 'fast' WHEN 'ambiguous' THEN 'standard' ELSE 'deep' END AS route, count(*) AS n FROM eval_items GROUP BY ALL",
     "security_scan": " UNION ALL ".join(f"SELECT doc_id, '{p}' AS violation FROM documents WHERE regexp_matches({_CLEAN}, '{p}')" for p in T.INJECTIONS) + " UNION ALL SELECT doc_id, 'too long' FROM documents WHERE length(text) > 10000",
+    "sentence_counts": """SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 5)) AS INT) AS n
+        FROM documents WHERE text IS NOT NULL""",
+    "causal_extract": "WITH s AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.!?;]'))) AS s FROM documents WHERE length(trim(text)) >= 10), t AS (SELECT * FROM s WHERE regexp_matches(lower(s), 'because|cause|lead|due|as\\s+a|reason|therefore|thus')), f AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, length(s) AS n, {_part(p, e)} AS effect, {_part(p, c)} AS cause FROM t" for p, e, c in T.CAUSAL_PATTERNS)
+    + ") SELECT doc_id, effect, cause, round(greatest(0.5::DOUBLE, 1 - n / 200.0::DOUBLE), 4) AS confidence FROM f WHERE length(effect) > 3 AND length(cause) > 3",
     "answer_overlap": f"""WITH e AS (SELECT rec_id, list_distinct(coalesce({_T('query')}, [])) AS q, list_distinct(coalesce({_T('answer')}, [])) AS a, list_distinct(coalesce({_T('context')}, [])) AS c FROM rubq_records)
         SELECT rec_id, round(len(list_intersect(a, c)) / greatest(len(a), 1), 6) AS grounded, round(len(list_intersect(q, c)) / greatest(len(q), 1), 6) AS relevant FROM e""",
     "repeats_jaccard": f"""WITH c AS (SELECT DISTINCT msg_id, session_id, turn, content FROM chat_messages WHERE content IS NOT NULL AND session_id IS NOT NULL),

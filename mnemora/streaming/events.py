@@ -39,11 +39,17 @@ def once(events: DataFrame, keys: list[str], *, at: str = "ts", late: str = "1 h
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def rate_limit(events: DataFrame, *, key: str, at: str, most: int, seconds: int) -> DataFrame:
-    """(key, at, allowed) by a sliding window of accepted requests; a key's state is at most ``most`` times,
-    and is kept; timers by processing time would keep a run over available data from ending."""
+def rate_limit(events: DataFrame, *, key: str, at: str, most: int, seconds: int, late: str = "1 hour") -> DataFrame:
+    """(key, at, allowed) by a sliding window of accepted requests.
+
+    A key's state is at most ``most`` times, and goes once the watermark has
+    passed the last of them by the window; rows later than ``late`` are dropped.
+    """
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         taken = list(state.get[0]) if state.exists else []
         for p in parts:
             p = p.sort_values(at, kind="stable")
@@ -55,34 +61,46 @@ def rate_limit(events: DataFrame, *, key: str, at: str, most: int, seconds: int)
                     taken.append(int(t))
             yield pd.DataFrame({key: [k[0]] * len(p), at: p[at].to_numpy(), "allowed": allowed})
         state.update((taken,))
+        state.setTimeoutTimestamp(max(max(taken) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
     f = {x.name: x.dataType.simpleString() for x in events.schema}
     out = f"`{key}` {f[key]}, `{at}` {f[at]}, allowed boolean"
-    return events.select(key, at).groupBy(key).applyInPandasWithState(step, out, "taken array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, at).withWatermark(at, late).groupBy(key).applyInPandasWithState(step, out, "taken array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def circuit_breaker(calls: DataFrame, *, key: str, at: str, failed: str, failures: int = 5, cooldown: int = 30, latency: str | None = None, slow: float = 1e9, violations: int = 3, late: str = "1 hour") -> DataFrame:
+    """(key, at, state): closed, open after so many failures in a row or, where ``latency`` is named, so many calls over ``slow`` in a row, half-open once the cool-down has passed.
 
-def circuit_breaker(calls: DataFrame, *, key: str, at: str, failed: str, failures: int = 5, cooldown: int = 30) -> DataFrame:
-    """(key, at, state): closed, open after so many failures in a row, half-open once the cool-down has passed."""
+    A key's state goes when the watermark has passed its last call by an hour and the cool-down.
+    """
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, opened = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, over, opened = state.get if state.exists else (0, 0, 0)
+        last = 0
         for p in parts:
             p = p.sort_values(at, kind="stable")
             out = []
-            for t, bad in zip(p[at].astype("datetime64[us]").astype("int64"), p[failed]):
+            times = p[at].astype("datetime64[us]").astype("int64")
+            last = max(last, int(times.max())) if len(p) else last
+            for t, bad, ms in zip(times, p[failed], p[latency] if latency else [0.0] * len(p)):
                 now = "closed"
                 if opened:
                     now = "half_open" if t - opened >= cooldown * 1_000_000 else "open"
                 if now != "open":
-                    n = n + 1 if bad else 0
-                    opened = int(t) if bad and (now == "half_open" or n >= failures) else 0
+                    n, over = n + 1 if bad else 0, over + 1 if ms > slow else 0
+                    opened = int(t) if (bad and (now == "half_open" or n >= failures)) or over >= violations else 0
                 out.append(now)
             yield pd.DataFrame({key: [k[0]] * len(p), at: p[at].to_numpy(), "state": out})
-        state.update((n, opened))
+        state.update((n, over, opened))
+        state.setTimeoutTimestamp(max(last // 1000 + (3600 + cooldown) * 1000, state.getCurrentWatermarkMs() + 1))
 
     f = {x.name: x.dataType.simpleString() for x in calls.schema}
     out = f"`{key}` {f[key]}, `{at}` {f[at]}, state string"
-    return calls.select(key, at, failed).groupBy(key).applyInPandasWithState(step, out, "n int, opened bigint", "append", GroupStateTimeout.NoTimeout)
+    columns = [key, at, failed, *([latency] if latency else [])]
+    return calls.select(*columns).withWatermark(at, late).groupBy(key).applyInPandasWithState(step, out, "n int, over int, opened bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def into_panes(events: DataFrame, path: str, checkpoint: str, *, emit: Callable[[DataFrame, int], Any] | None = None, **rule):
