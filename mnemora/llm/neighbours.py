@@ -5,9 +5,9 @@ of its nearest centroid as the packed signs of its rotated residual, with the
 scalars that correct the estimate: the residual's length and how well the code
 keeps its direction. A query looks into the cells nearest to it and into every
 cell whose centre is close enough for a neighbour at the required similarity.
-Inner products are estimated from packed bits, in as many bit planes as the
-query is rounded to; error bounds choose the vectors that are reranked in double
-precision.
+Inner products are estimated from the packed bits, unpacked to signs for one
+matrix product a block of queries, and the scalars; error bounds choose the
+vectors that are reranked in double precision.
 
 The cells' number follows the number of vectors, so a cell holds about
 ``cell_rows`` whatever the density; queries of a busy cell are split over salts
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from mnemora import workspace
 
-_PLANES = 6  # bits a query's coordinate is rounded to
 _EPSILON = 2.2  # width of the error bounds, in deviations of the estimate
 
 
@@ -75,40 +74,31 @@ class Codes:
     """One-bit codes of unit vectors about a centre, and the estimates they allow."""
 
     def __init__(self, points: np.ndarray, centre: np.ndarray, turn: np.ndarray):
-        self.centre, self.turn, dim = centre, turn, points.shape[1]
+        self.centre, self.turn, self.dim = centre, turn, points.shape[1]
         rest = points - centre
-        self.length = np.linalg.norm(rest, axis=1)
+        self.length = np.linalg.norm(rest, axis=1).astype(np.float32)
         unit = (rest / np.maximum(self.length, 1e-12)[:, None]) @ turn
-        bits = unit >= 0
-        self.words = np.packbits(bits, axis=1, bitorder="little")
-        pad = -self.words.shape[1] % 8
-        self.words = np.pad(self.words, ((0, 0), (0, pad))).view(np.uint64)
-        self.ones = np.bitwise_count(self.words).sum(1).astype(np.float64)
-        self.kept = np.maximum(np.abs(unit).sum(1) / np.sqrt(dim), 1e-6)  # <code, unit residual>
-        self.along = points @ centre  # <point, centre>
-        self.spread = np.sqrt(np.maximum(1 - self.kept**2, 0)) / self.kept / np.sqrt(dim - 1)
-        self.dim = dim
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.words = np.packbits(unit >= 0, axis=1, bitorder="little")
+        kept = np.maximum(np.abs(unit).sum(1) / np.sqrt(self.dim), 1e-6)  # <code, unit residual>
+        self.fix = (self.length / kept).astype(np.float32)
+        self.along = (points @ centre - centre @ centre).astype(np.float32)  # <point - centre, centre>
+        spread = np.sqrt(np.maximum(1 - kept**2, 0)) / kept / np.sqrt(self.dim - 1)
+        self.wide = (_EPSILON * spread * self.length).astype(np.float32)
+
+    def signs(self) -> np.ndarray:
+        """The packed bits as +-1 / sqrt(dim), for a matrix product with whole blocks of queries."""
+        bits = np.unpackbits(self.words, axis=1, count=self.dim, bitorder="little").astype(np.float32)
+        return (2 * bits - 1) / np.float32(np.sqrt(self.dim))
+
+    def bounds(self, queries: np.ndarray, signs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Estimated inner products with all points, and half-widths of their bounds."""
         rest = queries - self.centre
-        length = np.linalg.norm(rest, axis=1)
-        q = (rest / np.maximum(length, 1e-12)[:, None]) @ self.turn
-        low, high = q.min(1, keepdims=True), q.max(1, keepdims=True)
-        step = np.maximum(high - low, 1e-12) / (2**_PLANES - 1)
-        grid = np.rint((q - low) / step).astype(np.uint8)
-        dot = np.zeros((len(q), len(self.words)))
-        for p in range(_PLANES):
-            plane = np.packbits((grid >> p) & 1, axis=1, bitorder="little")
-            plane = np.pad(plane, ((0, 0), (0, -plane.shape[1] % 8))).view(np.uint64)
-            hits = sum(np.bitwise_count(plane[:, None, k] & self.words[None, :, k]).astype(np.uint16) for k in range(self.words.shape[1]))
-            dot += hits * float(1 << p)
-        total = grid.sum(1, dtype=np.float64)[:, None]
-        # <code, q> for a code of +-1/sqrt(dim) and q = low + step * grid
-        code = (2 * (step * dot + low * self.ones[None, :]) - (step * total + low * self.dim)) / np.sqrt(self.dim)
-        scale = length[:, None] * self.length[None, :]
-        base = (queries @ self.centre)[:, None] + (self.along - self.centre @ self.centre)[None, :]
-        return base + scale * code / self.kept[None, :], scale * (_EPSILON * self.spread[None, :]) + 1e-9
+        length = np.linalg.norm(rest, axis=1).astype(np.float32)
+        est = (rest @ self.turn).astype(np.float32) @ (self.signs() if signs is None else signs).T
+        est *= self.fix[None, :]
+        est += (queries @ self.centre).astype(np.float32)[:, None]
+        est += self.along[None, :]
+        return est, length[:, None] * self.wide[None, :] + np.float32(1e-6)
 
 
 def search_cell(points: pd.DataFrame, queries: pd.DataFrame, centre: np.ndarray, turn: np.ndarray, k: int, least: float) -> pd.DataFrame:
@@ -117,23 +107,31 @@ def search_cell(points: pd.DataFrame, queries: pd.DataFrame, centre: np.ndarray,
     x, qs = _matrix(points.vector), _matrix(queries.vector)
     ids, qids = points.key.to_numpy(), queries.key.to_numpy()
     codes = Codes(x, centre, turn)
+    signs = codes.signs()
+    own = {key: j for j, key in enumerate(ids)}
     block = max(1, 4_000_000 // max(1, len(x)))
     for a in range(0, len(qs), block):
         q, qid = qs[a : a + block], qids[a : a + block]
-        est, width = codes.bounds(q)
-        same = qid[:, None] == ids[None, :]
-        est[same] = -9.0
-        kth = np.full(len(q), least)
-        if len(x) > k:
-            kth = np.maximum(kth, np.partition(est - width, len(x) - k, axis=1)[:, len(x) - k])
-        row, col = np.nonzero(est + width >= kth[:, None] - 1e-9)
+        est, width = codes.bounds(q, signs)
+        row, col = np.nonzero(est + width >= least)
+        same = np.array([own.get(key, -1) for key in qid])
+        other = same[row] != col
+        row, col = row[other], col[other]
+        # of a query's candidates those that can be among its k best: not under the k-th best lower bound
+        low = est[row, col] - width[row, col]
+        order = np.lexsort((-low, row))
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kth = np.full(len(q), -np.inf)
+        at = place == k - 1
+        kth[row[order][at]] = low[order][at]
+        fit = est[row, col] + width[row, col] >= kth[row] - 1e-6
+        row, col = row[fit], col[fit]
         sims = np.concatenate([np.einsum("ij,ij->i", q[row[s : s + 200_000]], x[col[s : s + 200_000]]) for s in range(0, len(row), 200_000)]) if len(row) else np.zeros(0)
         good = sims >= least - 1e-12
         row, col, sims = row[good], col[good], sims[good]
         order = np.lexsort((ids[col], -sims, row))
         row, col, sims = row[order], col[order], sims[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        top = place < k
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k
         out.append(pd.DataFrame({"key": qid[row[top]], "other": ids[col[top]], "sim": sims[top]}))
     return pd.concat(out) if out else pd.DataFrame({"key": [], "other": [], "sim": []})
 
