@@ -62,7 +62,7 @@ def bm25_of(cut: DataFrame, q: DataFrame, *, k1: float = 1.5, b: float = 0.75, b
 def bm25_all(docs: DataFrame, queries: DataFrame, **keys) -> DataFrame:
     """``bm25`` with a row for every document of every query, 0 where they share no term; for a stated query set against all documents."""
     scored = bm25(docs, queries, **keys)
-    every = docs.select(F.col(keys["doc_key"]).alias("doc_id")).crossJoin(F.broadcast(queries.select(F.col(keys["query_key"]).alias("query_id")).limit(SMALL)))
+    every = docs.select(F.col(keys["doc_key"]).alias("doc_id")).crossJoin(small(queries.select(F.col(keys["query_key"]).alias("query_id"))))
     return every.join(scored, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
