@@ -246,12 +246,13 @@ def _train(features: Features, examples: list[list[str]], y: np.ndarray, weight:
     return Model(features.bits, *ftrl.sparse(), ftrl.bias)
 
 
-def _culprits(features: Features, suspects: list[list[str]], good: list[list[str]], times: np.ndarray, docs: list[np.ndarray], *, least: int = 2, bar: float = 6.0) -> np.ndarray:
+def _culprits(features: Features, suspects: list[list[str]], good: list[list[str]], times: np.ndarray, docs: list[np.ndarray], *, least: int = 2, bar: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
     """Which sentences of the toxic documents make them so: those whose n-grams other toxic documents have and harmless ones have not.
 
     An n-gram of at least ``least`` other toxic documents speaks by the log of
     its odds; a sentence is one of its document's where its n-grams reach
-    ``bar`` and half of the worst sentence's.
+    ``bar`` and half of the worst sentence's. Beside them: whether most of a
+    sentence's n-grams occur in no harmless document.
     """
     held, owner = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     x, row = features.of(suspects)
@@ -269,7 +270,8 @@ def _culprits(features: Features, suspects: list[list[str]], good: list[list[str
     worth = np.bincount(row, odds[x], len(suspects))
     worst = np.zeros(len(docs))
     np.maximum.at(worst, owner, worth[held])
-    return np.unique(held[(worth[held] >= bar) & (worth[held] >= 0.5 * worst[owner])])
+    strange = np.bincount(row, harmless[x] == 0, len(suspects)) >= 0.5 * np.bincount(row, minlength=len(suspects))
+    return np.unique(held[(worth[held] >= bar) & (worth[held] >= 0.5 * worst[owner])]), strange
 
 
 def _spread_kinds(features: Features, sentences: list[list[str]], kinds: np.ndarray, margins: tuple[float, ...] = (8.0, 6.0, 4.0, 3.0, 2.0, 1.0)) -> np.ndarray:
@@ -315,7 +317,11 @@ def learn(rated: list[tuple[float, str]], *, bits: int = 20, rounds: int = 3, ep
     if not docs:
         return Model(bits, np.zeros(0, np.int64), np.zeros((0, len(KINDS)), np.float32), np.full(len(KINDS), -3.0))
     named = np.array([[bool(p.search(k)) for p in prior] for k in bad], bool).reshape(-1, len(KINDS))
-    chosen = _culprits(features, suspects, good, np.array([y for _, x, y in counts.values() if y >= x], float), docs)
+    chosen, strange = _culprits(features, suspects, good, np.array([y for _, x, y in counts.values() if y >= x], float), docs)
+    # a document without one has those sentences that are named a kind and are like nothing harmless
+    covered = np.isin(np.arange(len(suspects)), chosen)
+    named_only = [d[named[d].any(axis=1) & strange[d]] for d in docs if not covered[d].any()]
+    chosen = np.unique(np.concatenate([chosen, *named_only])).astype(int)
     # of what kind: by name where it has one, then by what it has in common with the named ones
     targets = np.zeros((len(suspects), len(KINDS)))
     targets[chosen] = _spread_kinds(features, [suspects[i] for i in chosen], named[chosen].astype(float))
