@@ -20,7 +20,7 @@ of each; the model holds one number per piece and language.
 
 Defined cases: null and empty texts, and texts without words of a language
 (numbers, code, links, names alone) have no stretch; unknown or missing labels
-count as missing; letters of other scripts and missing accents are learnt from
+count as missing; where no row is labelled every stretch is ``und``; letters of other scripts and missing accents are learnt from
 written-over copies of the words; texts and words of any length are read whole;
 repeated rows give equal results; other columns stay untouched.
 """
@@ -355,7 +355,7 @@ def learn(samples: list[tuple[str, list[list[str]]]], pieces: frozenset[bytes],
     temperature of the confidence and the margin to ``other`` are set.
     """
     samples = [(lang, [p for p in parts if p]) for lang, parts in samples]
-    langs = langs or tuple(sorted({lang for lang, _ in samples}))
+    langs = langs or tuple(sorted({lang for lang, _ in samples})) or ("und",)
     every = sorted(pieces)
     at = {lang: k for k, lang in enumerate(langs)}
     rng = np.random.default_rng(seed)

@@ -47,8 +47,8 @@ def usable(vectors: DataFrame, dim: int, node: str = "node_id", vector: str = "v
     )
 
 
-def _matrix(s: pd.Series) -> np.ndarray:
-    m = np.frombuffer(b"".join(s), np.float32).reshape(len(s), -1).astype(np.float64)
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -101,17 +101,15 @@ class Codes:
         return est, length[:, None] * self.wide[None, :] + np.float32(1e-6)
 
 
-def search_cell(points: pd.DataFrame, queries: pd.DataFrame, centre: np.ndarray, turn: np.ndarray, k: int, least: float) -> pd.DataFrame:
-    """The k most similar points of a cell for each query, of those of at least ``least``."""
+def search_cell(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, qs: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, least: float, block: int = 4_000_000) -> pd.DataFrame:
+    """The k most similar points (ids, unit vectors) of a cell for each query, of those of at least ``least``."""
     out = []
-    x, qs = _matrix(points.vector), _matrix(queries.vector)
-    ids, qids = points.key.to_numpy(), queries.key.to_numpy()
     codes = Codes(x, centre, turn)
     signs = codes.signs()
     own = {key: j for j, key in enumerate(ids)}
-    block = max(1, 4_000_000 // max(1, len(x)))
-    for a in range(0, len(qs), block):
-        q, qid = qs[a : a + block], qids[a : a + block]
+    step = max(1, block // max(1, len(x)))
+    for a in range(0, len(qs), step):
+        q, qid = qs[a : a + step], qids[a : a + step]
         est, width = codes.bounds(q, signs)
         row, col = np.nonzero(est + width >= least)
         same = np.array([own.get(key, -1) for key in qid])
@@ -132,13 +130,15 @@ def search_cell(points: pd.DataFrame, queries: pd.DataFrame, centre: np.ndarray,
         order = np.lexsort((ids[col], -sims, row))
         row, col, sims = row[order], col[order], sims[order]
         top = np.arange(len(row)) - np.searchsorted(row, row) < k
-        out.append(pd.DataFrame({"key": qid[row[top]], "other": ids[col[top]], "sim": sims[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"key": [], "other": [], "sim": []})
+        out.append((qid[row[top]], ids[col[top]], sims[top]))
+    key, other, sim = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])
+    # plain objects: frames of strings put together are in pieces, which Arrow does not take for a column
+    return pd.DataFrame({"key": pd.Series(key, dtype=object), "other": pd.Series(other, dtype=object), "sim": sim})
 
 
 def nearest(
     nodes: DataFrame, *, k: int = 5, least: float = 0.8, cell_rows: int = 512, probes: int = 12, reach: float | None = None,
-    max_cells: int = 8192, sample_rows: int = 20_000, queries_per_task: int = 20_000,
+    max_cells: int = 8192, sample_rows: int = 20_000, queries_per_task: int = 20_000, block: int = 4_000_000,
 ) -> DataFrame:
     """(key, other, sim): for each row of (key string, vector array<float>) its k most similar others of at least ``least``.
 
@@ -161,39 +161,60 @@ def nearest(
     turn = rotation(sample.shape[1])
     held = spark.sparkContext.broadcast((centre.astype(np.float32), turn))
     probes = min(probes, len(centre))
+    # rows handled at once: some thirty for each cell, within a matrix of eight million similarities
+    chunk = max(256, min(max(512, 24 * len(centre) // probes), 8_000_000 // len(centre)))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = held.value[0].astype(np.float64)
         for b in batches:
             if not len(b):
                 continue
-            m = np.array(b.vector.tolist(), np.float32)
-            unit = m.astype(np.float64)
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            for a in range(0, len(b), 2048):
-                sims = unit[a : a + 2048] @ c.T
+            m, keys = np.array(b.vector.tolist(), np.float32), b.key.to_numpy(object)
+            for a in range(0, len(b), chunk):
+                part = m[a : a + chunk]
+                sims = _unit(part) @ c.T
                 floor = np.partition(sims, -probes, axis=1)[:, -probes]
-                look = sims >= np.minimum(floor, reach)[:, None]
-                home = sims.argmax(1)
-                raw = [r.tobytes() for r in m[a : a + 2048]]
-                keys = b.key.to_numpy()[a : a + 2048]
-                row, cell = np.nonzero(look)
-                yield pd.DataFrame({"cell": cell, "point": home[row] == cell, "key": keys[row], "vector": [raw[r] for r in row]})
-
-    # the home cell is always among those looked into, so a row of it serves as point and as query
-    looked = workspace.materialise(nodes.select("key", "vector").mapInPandas(assign, "cell int, point boolean, key string, vector binary"), "cells")
-    busy = {r.cell: -(-r["count"] // queries_per_task) for r in looked.groupBy("cell").count().where(F.col("count") > queries_per_task).collect()}
+                row, cell = np.nonzero(sims >= np.minimum(floor, reach)[:, None])
+                point = sims.argmax(1)[row] == cell
+                order = np.argsort(cell, kind="stable")
+                row, cell, point = row[order], cell[order], point[order]
+                edge = np.append(np.flatnonzero(np.diff(cell, prepend=-1)), len(cell))
+                spans = list(zip(edge[:-1], edge[1:]))
+                # one row a cell holds all that look into it: their keys, whether they are at home in it, their vectors
+                yield pd.DataFrame(
+                    {
+                        "cell": cell[edge[:-1]].astype(np.int32),
+                        "n": np.diff(edge),
+                        "keys": [keys[a + row[i:j]] for i, j in spans],
+                        "points": [point[i:j].astype(np.uint8).tobytes() for i, j in spans],
+                        "vectors": [part[row[i:j]].tobytes() for i, j in spans],
+                    }
+                )
+
+    looked = nodes.select("key", "vector").mapInPandas(assign, "cell int, n bigint, keys array<string>, points binary, vectors binary")
+    # how many look into each cell, by the sample; it decides how a busy cell is split, not what is found
+    asks = np.zeros(len(centre))
+    for some in np.array_split(sample, len(sample) // 4096 + 1):
+        sims = some @ centre.T
+        asks += (sims >= np.minimum(np.partition(sims, -probes, axis=1)[:, -probes], reach)[:, None]).sum(0)
+    asks *= total / max(1, len(sample))
+    busy = {int(c): int(-(-asks[c] // queries_per_task)) for c in np.flatnonzero(asks > queries_per_task)}
     salts = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in busy.items() for x in kv)), F.col("cell")), F.lit(1)) if busy else F.lit(1)
-    queries = looked.select("cell", F.pmod(F.xxhash64("key"), salts).cast("int").alias("salt"), "key", "vector")
-    points = looked.where("point").select("cell", F.explode(F.sequence(F.lit(0), salts.cast("int") - 1)).alias("salt"), "key", "vector")
+    # a row asks in one part of its cell only; its points are needed in every part
+    parts = looked.withColumn("own", F.pmod(F.xxhash64(F.element_at("keys", 1)), salts).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), salts.cast("int") - 1)))
+    parts = parts.select("cell", "salt", (F.col("own") == F.col("salt")).alias("asks"), "keys", "points", "vectors")
 
-    def search(cell_salt: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"key": [], "other": [], "sim": []})
+    def search(cell_salt: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         c, t = held.value
-        return search_cell(left, right, c[cell_salt[0]].astype(np.float64), t, k, least)
-
-    found = points.groupBy("cell", "salt").cogroup(queries.groupBy("cell", "salt")).applyInPandas(search, schema)
+        keys = np.concatenate([np.asarray(x, object) for x in rows["keys"]])
+        point = np.frombuffer(b"".join(rows["points"]), np.uint8).astype(bool)
+        asks = np.repeat(rows["asks"].to_numpy(bool), [len(x) for x in rows["keys"]])
+        x = np.frombuffer(b"".join(rows["vectors"]), np.float32).reshape(len(keys), -1)
+        if not point.any() or not asks.any():
+            return pd.DataFrame({"key": pd.Series([], dtype=object), "other": pd.Series([], dtype=object), "sim": np.zeros(0)})
+        return search_cell(keys[point], _unit(x[point]), keys[asks], _unit(x[asks]), c[cell_salt[0]].astype(np.float64), t, k, least, block)
+
+    found = parts.groupBy("cell", "salt").applyInPandas(search, schema)
     best = Window.partitionBy("key").orderBy(F.desc("sim"), "other")
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 

@@ -282,6 +282,8 @@ def test_neighbours_against_brute_force(spark):
                 want.add((f"n{min(i, j):04}", f"n{max(i, j):04}"))
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(got)
     assert not any(a.startswith("z") or b.startswith("z") for a, b in got)
+    # a busy cell split among tasks, and cells of more than a block, give the same
+    assert {(r.node_a, r.node_b) for r in neighbours.neighbour_pairs(df, cell_rows=64, queries_per_task=100, block=3_000).collect()} == got
 
 
 def test_bounds_hold_for_nearly_all():
