@@ -32,6 +32,7 @@ TEMPORAL = ["then", "after", "before", "next", "later", "previously"]
 PARTING = r"\s+(?:and|plus|also|additionally|as well as|together with|in addition to)\s+"
 #: Phrases in which ``and`` parts nothing (fixed values).
 WHOLE = r"\b(pride\s+and\s+prejudice|north\s+and\s+south|romeo\s+and\s+juliet|ben\s+and\s+jerry|rock\s+and\s+roll|rhythm\s+and\s+blues|bacon\s+and\s+eggs|fish\s+and\s+chips|peanut\s+butter\s+and\s+jelly)\b"
+#: Questions that compare two things (fixed values).
 COMPARED = r"(?i)compare\s+(.+?)\s+to\s+(.+?)(?:\?|$|\.\s*)"
 DIFFERENCE = r"(?i)what\s+is\s+the\s+difference\s+between\s+(.+?)\s+and\s+(.+?)(?:\?|$|\.\s*)"
 

@@ -20,6 +20,9 @@ STAGES = {"embed": (15.0, 0.30), "route": (0.1, 0.01), "retrieve": (1.0, 0.05),
 #: Cost of a stage's call before its latency is counted (fixed values).
 RATES = {"embed": 0.50, "route": 0.01, "retrieve": 0.02, "rerank": 0.30, "calibrate": 0.01, "explain": 0.15}
 
+#: Reasons for leaving a stage out (fixed values).
+FAST_RERANK, FAST_CALIBRATE, LOW_TOP_K, SHORT_QUERY = "fast_route_skip:rerank", "fast_route_skip:calibrate", "low_top_k", "short_query"
+
 Stage = Callable[[DataFrame], DataFrame]
 
 
@@ -45,9 +48,9 @@ def skips(route: Column, tokens: Column, top_k: int, short: int = 10) -> dict[st
     """Reason for leaving a stage out, or null: refinement on the fast route, explanation of short queries, calibration of few rows."""
     fast = route == "fast"
     return {
-        "rerank": F.when(fast, "fast_route_skip:rerank"),
-        "calibrate": F.when(fast, "fast_route_skip:calibrate").when(F.lit(top_k <= 3), "low_top_k"),
-        "explain": F.when(tokens <= short, "short_query"),
+        "rerank": F.when(fast, FAST_RERANK),
+        "calibrate": F.when(fast, FAST_CALIBRATE).when(F.lit(top_k <= 3), LOW_TOP_K),
+        "explain": F.when(tokens <= short, SHORT_QUERY),
     }
 
 
