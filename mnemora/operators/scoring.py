@@ -2,7 +2,7 @@
 
 Nodes stay where they are: each partition scores its rows against a block of
 queries by one matrix product and keeps the best k of each query, so what is
-shuffled is at most k rows per query and Arrow batch. Queries are sent to the
+shuffled is at most k rows per query and task. Queries are sent to the
 executors in blocks of at most ``block_rows``; a larger set is a pass per block.
 
 Defined cases: a null vector on either side scores nothing; null phases count
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.operators import ranks
+from mnemora.operators import blocks, ranks
 
 _NODE = ("phase", "amplitude", "salience", "gate", "session")
 
@@ -78,35 +78,31 @@ def topk(
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q, phase, session = held.value
+            best = blocks.Best(ids, k, digits, least)
+            found = lambda rows: (pd.DataFrame({"query_id": a, "id": n, "score": v}) for a, n, v in rows)
+            asked = 0.5 * coupling * np.array([np.cos(phase), np.sin(phase)])
             for b in batches:
                 if not len(b):
                     continue
                 x = np.array(b.vector.tolist(), np.float64)
                 if "scale" in b:  # codes of a byte a value
                     x *= b["scale"].to_numpy(float)[:, None]
-                s = _spatial(q, x, kernel, bandwidth, radius)
-                if coupling and "phase" in b:
-                    s *= (1 - coupling) + coupling * (0.5 + 0.5 * np.cos(b.phase.fillna(0.0).to_numpy(float)[:, None] - phase[None, :]))
-                for c in ("amplitude", "salience", "gate"):
-                    if c in b:
-                        s *= b[c].fillna(1.0).to_numpy(float)[:, None]
-                if boost and "session" in b:
-                    s = np.where((b.session.to_numpy(object)[:, None] == np.array(session, object)[None, :]) & b.session.notna().to_numpy()[:, None], s * (1 + boost), s)
-                s = np.round(s, digits)
                 names = b.id.to_numpy()
-                by_id = np.argsort(names, kind="stable")
-                s, names = s[by_id], names[by_id]
-                some = s
-                if len(s) > 4 * k:  # ties at the edge stay in, so that the lesser ids win them below
-                    edge = np.partition(s, len(s) - k, axis=0)[len(s) - k]
-                    some = np.where(s >= edge[None, :], s, -np.inf)
-                row, col = np.nonzero(some > (-np.inf if least is None else least - 0.5 * 10.0**-digits))
-                value = s[row, col]
-                order = np.lexsort((row, -value, col))
-                row, col, value = row[order], col[order], value[order]
-                place = np.arange(len(col)) - np.searchsorted(col, col)
-                row, col, value = row[place < k], col[place < k], value[place < k]
-                yield pd.DataFrame({"query_id": np.array(ids, object)[col] if isinstance(ids[0], str) else np.array(ids)[col], "id": names[row], "score": value})
+                if coupling and "phase" in b:
+                    p = b.phase.fillna(0.0).to_numpy(float)
+                    turn = np.column_stack([np.cos(p), np.sin(p)])
+                for i, j in blocks.slices(len(x), len(q)):
+                    s = _spatial(q, x[i:j], kernel, bandwidth, radius)
+                    if coupling and "phase" in b:
+                        s *= (1 - 0.5 * coupling) + turn[i:j] @ asked
+                    for c in ("amplitude", "salience", "gate"):
+                        if c in b:
+                            s *= b[c][i:j].fillna(1.0).to_numpy(float)[:, None]
+                    if boost and "session" in b:
+                        own = b.session[i:j]
+                        s = np.where((own.to_numpy(object)[:, None] == np.array(session, object)[None, :]) & own.notna().to_numpy()[:, None], s * (1 + boost), s)
+                    yield from found(best.add(s, names[i:j]))
+            yield from found(best.end())
 
         return source.mapInPandas(run, schema)
 
