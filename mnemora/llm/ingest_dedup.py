@@ -34,10 +34,12 @@ must be under 2**24 and request ids under 2**37; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,48 +53,184 @@ _WORDS = re.compile(r"\w+").findall
 _SIGNATURE = "id bigint, total int, chunks array<bigint>, sizes array<int>, n int, low bigint, high bigint, prefix array<bigint>, words array<bigint>"
 _CHUNKS = "chunk bigint, lead bigint, df bigint"
 _ORDER = 1 << 24
+_MOST = 9  # words of the longest chunk
+_POWERS = np.array([pow(0x9E3779B97F4A7C13, k, 1 << 64) for k in range(_MOST)], np.uint64)
 _BROADCAST_ROWS = 400_000  # counted rows of one number up to which a side is sent to every executor: 3.2 MB
 
 
+def _plain_words(text: str) -> list[str]:
+    return _WORDS(without_accents(text.lower()))
+
+
 def words_of(text: str) -> list[str]:
     """Words of a text: letters, digits and ``_``, without case, accents and tags."""
-    return _WORDS(without_accents(without_tags(text).lower()))
+    return _plain_words(without_tags(text))
+
+
+class Vocabulary(dict):
+    """Numbers of the words in each run of characters without blanks, which is taken apart when first met.
+
+    Blanks part words, and neither case nor accents look beyond them, so a text's
+    words are those of its runs. ``key`` of a word is its hash under its place in
+    the order, ``wide`` a wider hash and ``size`` its letters.
+    """
 
+    def __init__(self, place: dict[int, int], longest: int = 40):
+        import xxhash
 
-def cut(words: list[str], hashes: list[int], *, divisor: int = 3, least: int = 3, most: int = 9) -> Iterator[tuple[int, int]]:
-    """Spans of the chunks: a boundary where the rolling hash of two words is a multiple of ``divisor``."""
-    start, before = 0, 0
-    for k, h in enumerate(hashes):
-        n = k + 1 - start
-        if n >= most or (n >= least and (((h * 31 + before) & 0xFFFFFFFF) >> 7) % divisor == 0):
-            yield start, k + 1
-            start = k + 1
-        before = h
-    if start < len(words):
-        yield start, len(words)
+        self.place, self.longest = place, longest  # longer runs seldom come again
+        self.narrow_hash, self.wide_hash = xxhash.xxh32_intdigest, xxhash.xxh64_intdigest
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.number: dict[str, int] = {}
+        self.key, self.wide, self.size = array("q"), array("Q"), array("q")
+
+    def __missing__(self, run: str) -> list[int]:
+        number = self.number
+        words = (run.lower(),) if run.isascii() and run.isalnum() else _plain_words(run)
+        out = [number[w] if w in number else self._add(w) for w in words]
+        if len(run) <= self.longest:
+            self[run] = out
+        return out
+
+    def _add(self, word: str) -> int:
+        h = self.narrow_hash(word)
+        self.key.append(self.place.get(h, 0) << 32 | h)  # sorts in the order; cut() reads the lower 32 bits
+        self.wide.append(self.wide_hash(word))
+        self.size.append(len(word))
+        k = self.number[word] = len(self.number)
+        return k
+
+    def words(self, text: str) -> Iterator[int]:
+        return chain.from_iterable(map(self.__getitem__, without_tags(text).split()))
+
+
+def cut(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, *, divisor: int = 3, least: int = 3, most: int = _MOST) -> np.ndarray:
+    """Where the chunks begin in texts that lie one behind another: a boundary where the rolling hash of two words is a multiple of ``divisor``."""
+    at = np.arange(len(hashes))
+    before = np.roll(hashes, 1)
+    before[begins[begins < ends]] = 0
+    mark = (((hashes * 31 + before) & 0xFFFFFFFF) >> 7) % divisor == 0
+    marked = np.minimum.accumulate(np.where(mark, at, len(at))[::-1])[::-1]  # the first boundary from a word on
+    marked = np.append(marked[least - 1 :], np.full(least - 1, len(at)))[: len(at)]
+    after = (np.minimum(marked, at + most - 1) + 1).tolist()
+    out = []
+    for a, z in zip(begins.tolist(), ends.tolist()):
+        while a < z:
+            out.append(a)
+            a = after[a]
+    return np.array(out, np.int64)
+
+
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each number."""
+    x = x + np.uint64(seed)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def common_words(texts: DataFrame, *, most: int = 20_000, one_in: int = 8) -> list[int]:
     """Hashes of the most frequent words of a sample of the texts, from the rarest on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        n: Counter[str] = Counter()
+        known = Vocabulary({})
+        n: Counter[int] = Counter()
         for b in batches:
+            if len(known) > 300_000:
+                known.clear()
             for t in b.column(0).to_pylist():
-                n.update(set(words_of(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh32_intdigest, n), pa.int64()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+                n.update(set(known.words(t)))
+        yield pa.RecordBatch.from_arrays([pa.array([known.key[k] for k in n], pa.int64()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
     sample = texts.where(_solid() & (F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)).select("text")
     rows = sample.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()  # at most ``most`` rows
     return [r.word for r in rows][::-1]
 
 
-def first_words(n: int | Column, share: float) -> int | Column:
+def first_words(n: int, share: float) -> int:
     """How many of a text's n words must be looked at to meet one of any ``share`` of them."""
-    up = -((-(n * share - 1e-9)) // 1) if isinstance(n, int) else F.ceil(n * share - 1e-9)
-    return int(n - up + 1) if isinstance(n, int) else n - up + 1
+    return n - math.ceil(n * share - 1e-9) + 1
+
+
+class Signer:
+    """Signatures of texts, many at a time: their words are numbered, and the rest is done on arrays of the numbers."""
+
+    def __init__(self, place: dict[int, int], near: float, *, kept: int = 300_000, words: int = 300_000, rows: int = 4096):
+        self.known, self.near, self.kept, self.most_words, self.most_rows = Vocabulary(place), near, kept, words, rows
+        self.firsts: dict[int, int] = {0: 0}
+        self.bits = 32 + max(place.values(), default=0).bit_length()  # of a key; a text's place among ``rows`` lies above them
+
+    def batches(self, ids: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+        """Signatures in batches of about ``words`` words; a text is read whole."""
+        flat, ends, a = [], [], 0
+        for k, text in enumerate(texts, 1):
+            flat.extend(self.known.words(text))
+            ends.append(len(flat))
+            if k == len(texts) or len(flat) >= self.most_words or k - a >= self.most_rows:
+                yield self._batch(ids[a:k], texts[a:k], np.array(flat, np.int64), np.array(ends, np.int64))
+                flat, ends, a = [], [], k
+                if len(self.known) > self.kept or len(self.known.number) > self.kept:
+                    self.known.forget()
+
+    def _batch(self, ids: list[int], texts: list[str], flat: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        import xxhash
+
+        key, wide, size = (np.array(x) for x in (self.known.key, self.known.wide, self.known.size))
+        lists = lambda values, counts: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values))
+        every = np.arange(len(ids))
+        begins = np.append(0, ends[:-1])
+        # words of one hash stay two and lie side by side, so the order is one of words all the same
+        distinct = np.sort(np.repeat(every, ends - begins) << 32 | flat)
+        distinct = distinct[np.diff(distinct, prepend=-1) != 0]
+        of, distinct = distinct >> 32, distinct & 0xFFFFFFFF
+        n = np.bincount(of, minlength=len(ids))
+        tokens = np.sort(of << self.bits | key[distinct]) & ((1 << self.bits) - 1)
+        some = np.flatnonzero(n)
+        edges = (np.cumsum(n) - n)[some]
+        bit, upper = np.uint64(1) << (tokens & 63).astype(np.uint64), tokens & 64 != 0
+        low, high, same = (np.zeros(len(ids), np.uint64) for _ in range(3))
+        if len(some):
+            low[some] = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), bit), edges)
+            high[some] = np.bitwise_xor.reduceat(np.where(upper, bit, np.uint64(0)), edges)
+            # texts of the same words, in any order, share a chunk of no bytes of its own
+            same[some] = _mixed(np.add.reduceat(wide[distinct], edges), 1)
+        for k in np.flatnonzero(n == 0):
+            same[k] = xxhash.xxh64_intdigest("\0" + texts[k])
+
+        starts = cut(key[flat] & 0xFFFFFFFF, begins, ends)
+        length = np.diff(starts, append=len(flat))
+        pieces, sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(starts):
+            pieces = _mixed(np.add.reduceat(wide[flat] * _POWERS[np.arange(len(flat)) - np.repeat(starts, length)], starts), 0)
+            sizes = np.add.reduceat(size[flat], starts) + length - 1
+        text = np.append(np.searchsorted(ends, starts, side="right"), every)
+        pieces, sizes = np.append(pieces, same), np.append(sizes, np.zeros(len(ids), np.int64))
+        by = np.lexsort((pieces, text))
+        by = by[np.append(True, (np.diff(text[by]) != 0) | (np.diff(pieces[by]) != 0))]  # a text's chunk once
+        text, pieces, sizes = text[by], pieces[by], sizes[by]
+
+        for k in set(n.tolist()) - self.firsts.keys():
+            self.firsts[k] = first_words(k, self.near)
+        first = np.minimum([self.firsts[k] for k in n.tolist()], n)
+        prefix = tokens[np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(first, n)]
+        words = np.zeros(int(np.maximum(n, 1).sum()), np.uint64)
+        worded = np.repeat(n > 0, np.maximum(n, 1))
+        words[worded], words[~worded] = wide[distinct], same[n == 0]
+        columns = {
+            "id": pa.array(ids, pa.int64()),
+            "total": pa.array(np.bincount(text, sizes, len(ids)).astype(np.int32)),
+            "chunks": lists(pieces.view(np.int64), np.bincount(text, minlength=len(ids))),
+            "sizes": lists(sizes.astype(np.int32), np.bincount(text, minlength=len(ids))),
+            "n": pa.array(n.astype(np.int32)),
+            "low": pa.array(low.view(np.int64)),
+            "high": pa.array(high.view(np.int64)),
+            "prefix": lists(prefix, first),
+            "words": lists(words.view(np.int64), np.maximum(n, 1)),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def signatures(texts: DataFrame, order: list[int], *, near: float = 0.7, kept: int = 1_000_000) -> DataFrame:
@@ -110,75 +248,42 @@ def signatures(texts: DataFrame, order: list[int], *, near: float = 0.7, kept: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        h64 = xxhash.xxh64_intdigest
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        known: dict[str, int] = {}
-        wide: dict[str, int] = {}
+        signer = Signer(held.value, near)
         met: dict[int, int] = {}
-        place, bits, firsts = held.value, [1 << k for k in range(64)], {}
         for b in batches:
-            rows = []
             if len(met) > kept:
                 met.clear()
-            if len(known) > 300_000:
-                known.clear()
-                wide.clear()
+            ids, new = [], []
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                same = h64(text)
-                if met.get(same, id_ + 1) <= id_:
-                    continue
-                met[same] = id_
-                words = words_of(text)
-                hs = []
-                for w in words:
-                    h = known.get(w)
-                    if h is None:
-                        h = xxhash.xxh32_intdigest(w)
-                        wide[w] = signed(h64(w))
-                        h = known[w] = place.get(h, 0) << 32 | h  # sorts in the order; cut() reads the lower 32 bits
-                    hs.append(h)
-                parts = {}
-                for a, z in cut(words, hs):
-                    piece = " ".join(words[a:z])
-                    parts[signed(h64(piece))] = len(piece)
-                # texts of the same words, in any order, share a chunk of no bytes of its own
-                # words of one hash stay two and lie side by side, so the order is one of words all the same
-                distinct = set(words)
-                tokens = sorted([known[w] for w in distinct])
-                parts[signed(h64(array("q", tokens).tobytes() if words else "\0" + text))] = 0
-                n, low, high = len(tokens), 0, 0
-                for h in tokens:
-                    if h & 64:
-                        high ^= bits[h & 63]
-                    else:
-                        low ^= bits[h & 63]
-                if n not in firsts:
-                    firsts[n] = first_words(n, near) if n else 0
-                rows.append((id_, sum(parts.values()), list(parts), list(parts.values()), n, signed(low), signed(high), tokens[: firsts[n]], [wide[w] for w in distinct] or [signed(h64("\0" + text))]))
-            cols = list(zip(*rows)) if rows else [()] * 9
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "total", "chunks", "sizes", "n", "low", "high", "prefix", "words"])
+                same = xxhash.xxh64_intdigest(text)
+                if met.get(same, id_ + 1) > id_:
+                    met[same] = id_
+                    ids.append(id_)
+                    new.append(text)
+            yield from signer.batches(ids, new)
 
     held = texts.sparkSession.sparkContext.broadcast({h: k + 1 for k, h in enumerate(order)})
 
     return texts.where(_solid()).mapInArrow(run, _SIGNATURE)
 
 
-def sketch_pairs(word, id_, n, low, high, first, asked, near: float, small: int = 48):
-    """(id, other) that may be near, of rows sorted by word and n: one of them asked, a word in both prefixes, sizes and sketches close enough."""
+def sketch_pairs(word, id_, n, low, high, pos, asked, near: float, small: int = 200):
+    """(id, other) that may be near, of rows sorted by word and n: one of them asked, a word in both prefixes, sizes, sketches and places close enough.
+
+    Of the words that two texts share, one is the first in both. What lies from
+    there on must hold all that they share, so a row's place ``pos`` bounds the
+    words of the other text (``most``).
+    """
     out_a, out_b = [], []
     differ = (1 - near) / (1 + near)
     allowed = np.minimum(np.floor(np.arange(2 * int(n.max(initial=0)) + 1) * differ + 1e-6), 255).astype(np.uint8)
-    most = np.floor(n / near + 1e-6).astype(n.dtype)  # words of the longest text near one of n
+    most = np.minimum(np.floor(n / near + 1e-6), np.floor((n - pos) * (1 + near) / near + 1e-6) - n).astype(np.int64)
+    first = most >= n  # can be the shorter text
 
     def keep(i, j) -> None:
         out_a.append(id_[i])
         out_b.append(id_[j])
 
-    def few(i, j) -> None:
-        near_ = np.bitwise_count(low[i] ^ low[j]) + np.bitwise_count(high[i] ^ high[j]) <= allowed[n[i] + n[j]]
-        keep(i[near_], j[near_])
-
     edge = np.flatnonzero(np.diff(word, prepend=word[:1] - 1)) if len(word) else np.zeros(0, np.int64)
     ends = np.append(edge[1:], len(word))
     length = ends - edge
@@ -186,32 +291,40 @@ def sketch_pairs(word, id_, n, low, high, first, asked, near: float, small: int
     i = np.flatnonzero(np.repeat(length <= small, length) & first)
     for s in range(1, small):
         i = i[i + s < end[i]]
+        i = i[n[i + s] <= most[i]]  # rows further on are longer still
         if not len(i):
             break
-        j = i + s
-        ok = (n[j] <= most[i]) & (asked[i] | asked[j])
-        few(i[ok], j[ok])
+        x = i[(n[i] <= most[i + s]) & (asked[i] | asked[i + s])]
+        y = x + s
+        near_ = np.bitwise_count(low[x] ^ low[y]) + np.bitwise_count(high[x] ^ high[y]) <= allowed[n[x] + n[y]]
+        keep(x[near_], y[near_])
     for a, z in zip(edge[length > small], ends[length > small]):
         every = np.arange(a, z)
         some = every[asked[a:z]]
         short = every[first[a:z]]
-        cuts = np.flatnonzero(np.diff(n[short])) + 1
-        for x in np.split(short, cuts):
-            if not len(x):
+        for xs, ys in ((short[asked[short]], every), (short[~asked[short]], some)):
+            if not len(xs) or not len(ys):
                 continue
-            k = n[x[0]]
-            for xs, ys in ((x[asked[x]], every), (x[~asked[x]], some)):
-                ys = ys[np.searchsorted(n[ys], k) : np.searchsorted(n[ys], most[x[0]], side="right")]
-                if not len(xs) or not len(ys):
-                    continue
-                bound, ly, hy = allowed[k + n[ys]], low[ys], high[ys]
-                step = max(1, 500_000 // len(ys))
-                for at in range(0, len(xs), step):
-                    part = xs[at : at + step]
-                    at_ = np.flatnonzero(np.bitwise_count(low[part][:, None] ^ ly) <= bound)
-                    r, c = np.divmod(at_, len(ys))
-                    both = np.bitwise_count(low[part[r]] ^ ly[c]) + np.bitwise_count(high[part[r]] ^ hy[c]) <= bound[c]
-                    keep(part[r[both]], ys[c[both]])
+            # rows of much the same size and bound are held against the others together
+            xs = xs[np.lexsort((most[xs], n[xs] >> 2))]
+            blocks = np.flatnonzero(np.diff(n[xs] >> 2, prepend=-1))
+            for b, e in zip(blocks, np.append(blocks[1:], len(xs))):
+                for at in range(b, e, 64):
+                    x = xs[at : min(at + 64, e)]
+                    k, longest = n[x].min(), n[x].max()
+                    y = ys[np.searchsorted(n[ys], k) : np.searchsorted(n[ys], most[x].max(), side="right")]
+                    y = y[most[y] >= k]
+                    bound, ly, hy, ny, my = allowed[longest + n[y]], low[y], high[y], n[y], most[y]
+                    step = max(1, 60_000 // max(1, len(y)))
+                    for c in range(0, len(x), step):
+                        part = x[c : c + step]
+                        differing = np.bitwise_count(low[part][:, None] ^ ly)
+                        differing += np.bitwise_count(high[part][:, None] ^ hy)
+                        at_ = np.flatnonzero(differing <= bound)
+                        r, q = np.divmod(at_, max(1, len(y)))
+                        i, j = part[r], y[q]
+                        near_ = (differing.ravel()[at_] <= allowed[n[i] + ny[q]]) & (n[i] <= ny[q]) & (ny[q] <= most[i]) & (n[i] <= my[q])
+                        keep(i[near_], j[near_])
     if not out_a:
         return np.zeros((2, 0), np.int64)
     a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -230,8 +343,8 @@ def word_pairs(rows: DataFrame, asked: Column, near: float, words: DataFrame | N
 
         def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
-            word, id_, n, low, high, first, ask = (t.column(c).to_numpy() for c in ("word", "id", "n", "low", "high", "first", "asked"))
-            a, b = sketch_pairs(word, id_, n, low.view(np.uint64), high.view(np.uint64), first, ask, near)
+            word, id_, n, low, high, pos, ask = (t.column(c).to_numpy() for c in ("word", "id", "n", "low", "high", "pos", "asked"))
+            a, b = sketch_pairs(word, id_, n, low.view(np.uint64), high.view(np.uint64), pos, ask, near)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "other"])
 
         for b in batches:
@@ -247,8 +360,7 @@ def word_pairs(rows: DataFrame, asked: Column, near: float, words: DataFrame | N
         if held:
             yield pairs(held)
 
-    t = rows.select("id", "n", "low", "high", asked.alias("asked"), F.posexplode("prefix").alias("pos", "word"))
-    t = t.select("word", "id", "n", "low", "high", (F.col("pos") < first_words(F.col("n"), 2 * near / (1 + near))).alias("first"), "asked")
+    t = rows.select(F.posexplode("prefix").alias("pos", "word"), "id", "n", "low", "high", asked.alias("asked")).select("word", "id", "n", "low", "high", "pos", "asked")
     t = t if words is None else t.join(_few(words), "word", "left_semi")
     return t.repartition("word").sortWithinPartitions("word", "n").mapInArrow(run, "id bigint, other bigint").distinct()
 
@@ -258,9 +370,13 @@ def chunk_table(signed: DataFrame) -> DataFrame:
     return signed.select("id", F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.min("id").alias("lead"), F.count("*").alias("df"))
 
 
+def _is_few(df: DataFrame) -> bool:
+    return df.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS
+
+
 def _few(df: DataFrame) -> DataFrame:
     """``df`` of one number a row with a broadcast hint where it is counted to be small."""
-    return F.broadcast(df) if df.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS else df
+    return F.broadcast(df) if _is_few(df) else df
 
 
 def _solid() -> Column:
@@ -321,9 +437,12 @@ class History:
         """(id) of the items (id, text) that are duplicates or near-duplicates; the others join the history where ``append``."""
         items = items.select("id", "text").where(_solid())
         batch = workspace.materialise(signatures(items, self._order(items), near=self.near), "batch")
-        mine = workspace.materialise(chunk_table(batch), "chunks")
-        theirs = self._read("chunks", _CHUNKS).join(_few(mine.select("chunk")), "chunk", "left_semi")
-        stats = mine.unionByName(theirs).groupBy("chunk").agg(F.min("lead").alias("lead"), F.sum("df").alias("df")).where("df > 1")
+        mine = batch.select(F.explode("chunks").alias("chunk"), F.col("id").alias("lead"), F.lit(1).cast("bigint").alias("df"), F.lit(True).alias("mine"))
+        theirs = self._read("chunks", _CHUNKS).withColumn("mine", F.lit(False))
+        if _is_few(mine):
+            theirs = theirs.join(F.broadcast(mine.select("chunk")), "chunk", "left_semi")
+        # otherwise the history's chunks of no text of the batch fall away where both meet, with no join before
+        stats = mine.unionByName(theirs).groupBy("chunk").agg(F.min("lead").alias("lead"), F.sum("df").alias("df"), F.max("mine").alias("mine")).where("df > 1 and mine").drop("mine")
         shared = (
             batch.select("id", "total", F.explode(F.arrays_zip("chunks", "sizes")).alias("c"))
             .select(F.col("c.chunks").alias("chunk"), "id", "total", F.col("c.sizes").alias("size"))

@@ -260,6 +260,60 @@ def test_dedup_of_nothing(spark):
     assert h.check(spark.createDataFrame([], "id bigint, text string")).count() == 0
 
 
+def test_a_run_of_characters_is_taken_apart_once():
+    rng = random.Random(5)
+    letters = list("abcΣσßéİ½ﷺ日_7-.,<>/'") + ["e\u0301", "\u00a0", "\x1c", "\n", " ", " ", " ", "<b>", "</p>", "<p\nclass=x>"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(2000)]
+    known = ingest_dedup.Vocabulary({})
+    for t in texts:
+        found = list(known.words(t))
+        names = list(known.number)
+        assert [names[k] for k in found] == ingest_dedup.words_of(t)
+    taken = []
+    known = type("Counting", (ingest_dedup.Vocabulary,), {"__missing__": lambda self, run: taken.append(run) or super(type(self), self).__missing__(run)})({})
+    for k in range(500):
+        list(known.words(f"The same Words come <b>again</b> {k % 5}"))
+    assert len(taken) == 10
+
+
+def test_signatures_do_not_depend_on_how_texts_are_put_together():
+    rng = random.Random(6)
+    vocab = ["The", "of", *(f"w{k}x" for k in range(80))]
+    texts = [" ".join(rng.choices(vocab, k=rng.randrange(1, 90))) for _ in range(120)] + ["???", "a", "a a a", "!"]
+    rows = lambda **at: [r for b in ingest_dedup.Signer({7: 1}, 0.7, **at).batches(list(range(len(texts))), texts) for r in b.to_pylist()]
+    whole = rows()
+    key = lambda r: {c: sorted(v) if isinstance(v, list) else v for c, v in r.items()}
+    assert [key(r) for r in whole] == [key(r) for r in rows(rows=1)] == [key(r) for r in rows(words=50, kept=20)]
+    for r, t in zip(whole, texts):
+        w = ingest_dedup.words_of(t)
+        assert r["n"] == len(set(w)) and len(r["words"]) == max(1, r["n"]) and len(set(r["chunks"])) == len(r["chunks"]) == len(r["sizes"])
+        assert r["total"] == sum(r["sizes"]) and len(r["prefix"]) == (ingest_dedup.first_words(r["n"], 0.7) if w else 0)
+    assert len({tuple(sorted(r["words"])) for r in whole[-4:]}) == 3  # texts without words are told apart, "a" and "a a a" are one
+
+
+@pytest.mark.parametrize("small", [2, 200])
+def test_pairs_of_words_are_bounded_by_their_places(small):
+    rng = random.Random(8)
+    base = [rng.sample(range(300), rng.randrange(12, 40)) for _ in range(40)]
+    sets = [sorted(set(w)) for w in base] + [sorted({rng.randrange(300) if rng.random() < 0.12 else x for x in rng.choice(base)}) for _ in range(160)]
+    rows = []
+    for k, w in enumerate(sets):
+        sketch = np.zeros(2, np.uint64)
+        for x in w:
+            sketch[x >> 6 & 1] ^= np.uint64(1 << (x & 63))
+        rows += [(x, k, len(w), sketch[0], sketch[1], at, k % 3 > 0) for at, x in enumerate(w[: ingest_dedup.first_words(len(w), 0.7)])]
+    rows.sort(key=lambda r: (r[0], r[2]))
+    columns = [np.array(c) for c in zip(*rows)]
+    got = set(zip(*(x.tolist() for x in ingest_dedup.sketch_pairs(*columns, 0.7, small))))
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(a, b) for a in range(200) for b in range(a) if (a % 3 or b % 3) and share(sets[a], sets[b]) >= 0.7}
+    assert len(want) > 100 and want <= got
+    # a pair that first meets too late for all that it would have to share is not held up
+    late = [np.array(c) for c in zip((9, 0, 10, 0, 0, 3, True), (9, 1, 10, 0, 0, 3, True))]
+    late[3] = late[4] = np.zeros(2, np.uint64)
+    assert ingest_dedup.sketch_pairs(*late, 0.7, small).shape == (2, 0)
+
+
 # --- 7: neighbours
 
 
