@@ -343,8 +343,8 @@ def word_pairs(rows: DataFrame, asked: Column, near: float, words: DataFrame | N
 
         def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
-            word, id_, n, low, high, pos, ask = (t.column(c).to_numpy() for c in ("word", "id", "n", "low", "high", "pos", "asked"))
-            a, b = sketch_pairs(word, id_, n, low.view(np.uint64), high.view(np.uint64), pos, ask, near)
+            word, id_, low, high, place = (t.column(c).to_numpy() for c in ("word", "id", "low", "high", "place"))
+            a, b = sketch_pairs(word, id_, place >> 32, low.view(np.uint64), high.view(np.uint64), (place & 0xFFFFFFFF) >> 1, place & 1 == 1, near)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "other"])
 
         for b in batches:
@@ -360,9 +360,11 @@ def word_pairs(rows: DataFrame, asked: Column, near: float, words: DataFrame | N
         if held:
             yield pairs(held)
 
-    t = rows.select(F.posexplode("prefix").alias("pos", "word"), "id", "n", "low", "high", asked.alias("asked")).select("word", "id", "n", "low", "high", "pos", "asked")
+    # n, the word's place and whether the text is asked in one number, by which rows are sorted too
+    head = F.shiftleft(F.col("n").cast("bigint"), 32) + asked.cast("bigint")
+    t = rows.select("id", "low", "high", head.alias("head"), F.posexplode("prefix").alias("pos", "word")).select("word", (F.col("head") + F.col("pos") * 2).alias("place"), "id", "low", "high")
     t = t if words is None else t.join(_few(words), "word", "left_semi")
-    return t.repartition("word").sortWithinPartitions("word", "n").mapInArrow(run, "id bigint, other bigint").distinct()
+    return t.repartition("word").sortWithinPartitions("word", "place").mapInArrow(run, "id bigint, other bigint").distinct()
 
 
 def chunk_table(signed: DataFrame) -> DataFrame:
@@ -448,12 +450,10 @@ class History:
             .select(F.col("c.chunks").alias("chunk"), "id", "total", F.col("c.sizes").alias("size"))
             .join(stats, "chunk")
         )
-        # chunks of no other text come first in a text's ranking; they weigh what its shared ones leave
-        own = Window.partitionBy("id")
-        before = F.sum("size").over(own.orderBy("df", "chunk").rowsBetween(Window.unboundedPreceding, -1))
-        alone = F.col("total") - F.sum("size").over(own)
+        # chunks of no other text come first in a text's ranking, so before a chunk lies all but it and the commoner ones
+        onward = F.sum("size").over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("chunk")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
         probes = workspace.materialise(
-            shared.withColumn("rank", alone + F.coalesce(before, F.lit(0)))
+            shared.withColumn("rank", F.col("total") - onward)
             .where(((F.col("size") == 0) | (F.col("rank") <= (1 - self.coverage) * F.col("total"))) & (F.col("lead") < F.col("id")))
             .select("id", "chunk", "lead", "size", "total"),
             "probes",
